@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analysed workload reads one finite table per run: no event time,
+watermark, window over time or state exists in it, so no streaming operator
+is provided.  Every batch operator here is a plain DataFrame transformation
+and can be applied per micro-batch with ``foreachBatch`` if a table is fed
+incrementally; the fitted states (medians, encoders, thresholds) are small
+DataFrames that can be joined into such a batch.
+"""
