@@ -78,3 +78,109 @@ def q_grouped_median_lineitem(spark, sf):
     li = read_table(spark, sf, "lineitem")
     return grouped_median(li, ["l_returnflag", "l_linestatus"], "l_extendedprice",
                           out="median_price")
+
+
+# --- step 2: profiling ------------------------------------------------------
+
+from ..operators import profile as PR  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+NUM = list(FX.NUMERIC_TESTED)
+CAT = list(FX.CATEGORICAL_TESTED)
+CORR_COLS = ["age", "has_hypertension", "has_heart_disease", "marital_status", "glucose_level",
+             "bmi_value", "stroke_event"]
+
+
+@query("class_counts")
+def q_class_counts(spark, sf):
+    return PR.class_counts(FX.patients(spark, sf), FX.TARGET)
+
+
+@query("prevalence")
+def q_prevalence(spark, sf):
+    return PR.prevalence(C.clean(FX.patients_raw(spark, sf)), FX.TARGET)
+
+
+@query("class_ratio")
+def q_class_ratio(spark, sf):
+    return PR.class_ratio(FX.patients(spark, sf), FX.TARGET)
+
+
+@query("balanced_weights")
+def q_balanced_weights(spark, sf):
+    return PR.balanced_weights(FX.patients(spark, sf), FX.TARGET)
+
+
+@query("class_extremes")
+def q_class_extremes(spark, sf):
+    return PR.class_extremes(FX.patients(spark, sf), FX.TARGET)
+
+
+@query("null_counts")
+def q_null_counts(spark, sf):
+    return PR.null_counts(FX.patients(spark, sf))
+
+
+@query("contingency_long")
+def q_contingency_long(spark, sf):
+    return PR.contingency_long(FX.patients(spark, sf), CAT, FX.TARGET)
+
+
+@query("category_counts")
+def q_category_counts(spark, sf):
+    return PR.category_counts(FX.patients(spark, sf), list(FX.CATEGORICAL), FX.TARGET)
+
+
+@query("level_prevalence")
+def q_level_prevalence(spark, sf):
+    return PR.level_prevalence(FX.patients(spark, sf), CAT, FX.TARGET)
+
+
+@query("class_means")
+def q_class_means(spark, sf):
+    m = PR.class_means(FX.patients(spark, sf), NUM, FX.TARGET)
+    return m.select("feature", *[F.round(c, 8).alias(c) for c in ("mean_neg", "mean_pos", "mean_diff")])
+
+
+@query("box_summary")
+def q_box_summary(spark, sf):
+    return PR.box_summary(FX.patients(spark, sf), NUM, FX.TARGET)
+
+
+@query("correlation_matrix")
+def q_correlation_matrix(spark, sf):
+    return PR.correlation_matrix(FX.patients(spark, sf), CORR_COLS, digits=8)
+
+
+@query("target_correlations")
+def q_target_correlations(spark, sf):
+    return PR.target_correlations(FX.patients(spark, sf), CORR_COLS, FX.TARGET, digits=8)
+
+
+@query("snapshot")
+def q_snapshot(spark, sf):
+    return PR.snapshot(C.clean(FX.patients_raw(spark, sf)), FX.TARGET, "patients_cleaned")
+
+
+@query("avg_ranks_age")
+def q_avg_ranks_age(spark, sf):
+    long = PR.unpivot_numeric(FX.patients(spark, sf), ["age"], FX.TARGET)
+    return ST.average_ranks(long, ["feature"], "value").select(
+        "feature", "value", "n0", "n1", "t", "avg_rank")
+
+
+@query("mann_whitney")
+def q_mann_whitney(spark, sf):
+    m = ST.mann_whitney(FX.patients(spark, sf), NUM, FX.TARGET)
+    return m.select("feature", "n0", "n1", "u_stat", F.round("z", 9).alias("z"))
+
+
+@query("chi_square")
+def q_chi_square(spark, sf):
+    c = ST.chi_square(FX.patients(spark, sf), CAT, FX.TARGET)
+    return c.select("feature", F.round("statistic", 9).alias("statistic"), "dof")
+
+
+@query("test_battery")
+def q_test_battery(spark, sf):
+    return ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET)

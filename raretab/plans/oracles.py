@@ -93,3 +93,186 @@ ORACLES["global_median_bmi"] = with_fixtures(
 
 ORACLES["grouped_median_lineitem"] = median_sql(
     "lineitem", ["l_returnflag", "l_linestatus"], "l_extendedprice", "median_price")
+
+
+# --- step 2: profiling ------------------------------------------------------
+
+NUM = ["age", "glucose_level", "bmi_value"]
+CAT = ["gender", "smoking_habit", "employment_type", "residence", "has_hypertension",
+       "has_heart_disease"]
+CORR_COLS = ["age", "has_hypertension", "has_heart_disease", "marital_status", "glucose_level",
+             "bmi_value", "stroke_event"]
+PATIENT_ALL = ["patient_id", *[c.strip() for c in PATIENT_COLS.split(",")]]
+
+
+def unpivot_num_sql(src: str, feats: list[str], target: str = "stroke_event") -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS value, CAST({target} AS INTEGER) AS y "
+        f"FROM {src} WHERE {f} IS NOT NULL" for f in feats)
+
+
+def unpivot_lvl_sql(src: str, feats: list[str], target: str = "stroke_event",
+                    keep_null: bool = False) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, CAST({target} AS INTEGER) AS y "
+        f"FROM {src}" + ("" if keep_null else f" WHERE {f} IS NOT NULL") for f in feats)
+
+
+ORACLES["class_counts"] = with_fixtures("""
+  SELECT stroke_event AS class, CAST(count(*) AS BIGINT) AS count,
+         CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () AS share
+  FROM patients GROUP BY stroke_event""", "patients")
+
+ORACLES["prevalence"] = with_fixtures("""
+  SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(coalesce(sum(stroke_event), 0) AS BIGINT) AS n_pos,
+         coalesce(avg(CAST(stroke_event AS DOUBLE)), 0.0) AS prevalence FROM cleaned""",
+                                      "patients_raw", extra=CLEAN)
+
+ORACLES["class_ratio"] = with_fixtures("""
+  SELECT sum(CASE WHEN stroke_event = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE
+         / greatest(sum(CASE WHEN stroke_event = 1 THEN 1.0 ELSE 0.0 END)::DOUBLE, 1.0::DOUBLE)
+         AS class_ratio FROM patients""", "patients")
+
+ORACLES["balanced_weights"] = with_fixtures("""
+  SELECT class, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight
+  FROM (SELECT stroke_event AS class, count(*) AS n FROM patients GROUP BY 1) t""", "patients")
+
+ORACLES["class_extremes"] = with_fixtures("""
+  SELECT class, count,
+         first(class ORDER BY count, class) OVER () AS min_class,
+         first(class ORDER BY count DESC, class) OVER () AS max_class
+  FROM (SELECT stroke_event AS class, CAST(count(*) AS BIGINT) AS count FROM patients GROUP BY 1) t""",
+                                          "patients")
+
+ORACLES["null_counts"] = with_fixtures(
+    "SELECT * FROM (" + " UNION ALL ".join(
+        f"SELECT '{c}' AS column, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null, "
+        f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS null_rate FROM patients"
+        for c in PATIENT_ALL) + ") t WHERE n_null > 0", "patients")
+
+ORACLES["contingency_long"] = with_fixtures(f"""
+  SELECT feature, level, y, CAST(count(*) AS BIGINT) AS count
+  FROM ({unpivot_lvl_sql("patients", CAT)}) u GROUP BY ALL""", "patients")
+
+ORACLES["category_counts"] = with_fixtures(f"""
+  SELECT c.feature, c.level,
+         row_number() OVER (PARTITION BY c.feature ORDER BY lt.tot DESC, c.level ASC NULLS LAST) * 0
+           + r.freq_rank AS freq_rank, c.y, c.count
+  FROM (SELECT feature, level, y, CAST(count(*) AS BIGINT) AS count
+        FROM ({unpivot_lvl_sql("patients", ["gender", "employment_type", "residence", "smoking_habit"], keep_null=True)}) u
+        GROUP BY ALL) c
+  JOIN (SELECT feature, level, sum(count) AS tot FROM (
+          SELECT feature, level, count(*) AS count
+          FROM ({unpivot_lvl_sql("patients", ["gender", "employment_type", "residence", "smoking_habit"], keep_null=True)}) u2
+          GROUP BY ALL) z GROUP BY ALL) lt
+    ON c.feature = lt.feature AND c.level IS NOT DISTINCT FROM lt.level
+  JOIN (SELECT feature, level,
+               row_number() OVER (PARTITION BY feature ORDER BY tot DESC, level ASC NULLS LAST) AS freq_rank
+        FROM (SELECT feature, level, count(*) AS tot
+              FROM ({unpivot_lvl_sql("patients", ["gender", "employment_type", "residence", "smoking_habit"], keep_null=True)}) u3
+              GROUP BY ALL) q) r
+    ON c.feature = r.feature AND c.level IS NOT DISTINCT FROM r.level""", "patients")
+
+ORACLES["level_prevalence"] = with_fixtures(f"""
+  SELECT feature, level, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_pos,
+         avg(CAST(y AS DOUBLE)) AS prevalence
+  FROM ({unpivot_lvl_sql("patients", CAT)}) u GROUP BY ALL""", "patients")
+
+ORACLES["class_means"] = with_fixtures(f"""
+  SELECT feature, round(avg(value) FILTER (WHERE y = 0), 8) AS mean_neg,
+         round(avg(value) FILTER (WHERE y = 1), 8) AS mean_pos,
+         round(avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0), 8) AS mean_diff
+  FROM ({unpivot_num_sql("patients", NUM)}) u GROUP BY feature""", "patients")
+
+
+def _lerp_sql(q: float, name: str) -> str:
+    h = f"((n - 1) * {q}::DOUBLE)"
+    a = f"max(CASE WHEN rn = CAST(floor({h}) AS BIGINT) + 1 THEN value END)"
+    b = f"max(CASE WHEN rn = CAST(ceil({h}) AS BIGINT) + 1 THEN value END)"
+    t = f"max({h} - floor({h}))"
+    return (f"CASE WHEN {t} >= 0.5 THEN {b} - ({b} - {a}) * (1.0::DOUBLE - {t}) "
+            f"ELSE {a} + ({b} - {a}) * {t} END AS {name}")
+
+
+ORACLES["box_summary"] = with_fixtures(f"""
+  SELECT f.feature, f.y AS class, f.n, f.q1, f.median, f.q3,
+         min(u.value) FILTER (WHERE u.value >= f.q1 - 1.5 * (f.q3 - f.q1)) AS whisker_lo,
+         max(u.value) FILTER (WHERE u.value <= f.q3 + 1.5 * (f.q3 - f.q1)) AS whisker_hi,
+         CAST(count(*) FILTER (WHERE u.value < f.q1 - 1.5 * (f.q3 - f.q1)
+                                OR u.value > f.q3 + 1.5 * (f.q3 - f.q1)) AS BIGINT) AS n_outliers
+  FROM ({unpivot_num_sql("patients", NUM)}) u
+  JOIN (SELECT feature, y, max(n) AS n, {_lerp_sql(0.25, "q1")}, {_lerp_sql(0.5, "median")},
+               {_lerp_sql(0.75, "q3")}
+        FROM (SELECT feature, y, value,
+                     row_number() OVER (PARTITION BY feature, y ORDER BY value) AS rn,
+                     count(*) OVER (PARTITION BY feature, y) AS n
+              FROM ({unpivot_num_sql("patients", NUM)}) v) r
+        GROUP BY feature, y) f
+    ON u.feature = f.feature AND u.y = f.y
+  GROUP BY f.feature, f.y, f.n, f.q1, f.median, f.q3""", "patients")
+
+_pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
+ORACLES["correlation_matrix"] = with_fixtures(
+    " UNION ALL ".join(
+        [f"SELECT '{a}' AS col_i, '{b}' AS col_j, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8) AS r FROM patients"
+         for a, b in _pairs]
+        + [f"SELECT '{b}' AS col_i, '{a}' AS col_j, round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8) AS r FROM patients"
+           for a, b in _pairs]
+        + [f"SELECT '{c}' AS col_i, '{c}' AS col_j, 1.0::DOUBLE AS r" for c in CORR_COLS]),
+    "patients")
+
+ORACLES["target_correlations"] = with_fixtures(
+    "SELECT feature, r, row_number() OVER (ORDER BY abs(r) DESC NULLS LAST, feature) AS rank FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(corr(CAST({c} AS DOUBLE), CAST(stroke_event AS DOUBLE)), 8) AS r "
+        f"FROM patients" for c in CORR_COLS if c != "stroke_event") + ") t", "patients")
+
+ORACLES["snapshot"] = with_fixtures("""
+  SELECT * FROM (
+    SELECT 1 AS ord, 'Rows' AS Metric, format('{:,}', count(*)) AS Value FROM cleaned
+    UNION ALL SELECT 2, 'Stroke cases', format('{:,}', CAST(sum(stroke_event) AS BIGINT)) FROM cleaned
+    UNION ALL SELECT 3, 'Stroke prevalence', printf('%.2f%%', avg(CAST(stroke_event AS DOUBLE)) * 100) FROM cleaned
+    UNION ALL SELECT 4, 'Source file', 'patients_cleaned') t""", "patients_raw", extra=CLEAN)
+
+RANKS_SQL = """
+  SELECT feature, value, n0, n1, t,
+         CAST(coalesce(sum(t) OVER (PARTITION BY feature ORDER BY value
+                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+           + (t + 1) / 2.0::DOUBLE AS avg_rank
+  FROM (SELECT feature, value, CAST(sum(CASE WHEN y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n0,
+               CAST(sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n1,
+               CAST(count(*) AS BIGINT) AS t
+        FROM ({src}) u GROUP BY feature, value) vc"""
+
+ORACLES["avg_ranks_age"] = with_fixtures(RANKS_SQL.format(src=unpivot_num_sql("patients", ["age"])),
+                                         "patients")
+
+ORACLES["mann_whitney"] = with_fixtures(f"""
+  SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, u0 AS u_stat,
+         round((greatest(u0, n0 * n1 - u0) - n0 * n1 / 2 - 0.5)
+               / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1)))), 9) AS z
+  FROM (SELECT feature, CAST(sum(n0) AS DOUBLE) AS n0, CAST(sum(n1) AS DOUBLE) AS n1,
+               sum(n0 * avg_rank) - CAST(sum(n0) AS DOUBLE) * (CAST(sum(n0) AS DOUBLE) + 1) / 2 AS u0,
+               sum(CAST(t AS DOUBLE) * t * t - t) AS ties
+        FROM ({RANKS_SQL.format(src=unpivot_num_sql("patients", NUM))}) r GROUP BY feature) g""",
+                                        "patients")
+
+CHI_CTES = [
+    ("obs", f"SELECT feature, level, y, count(*) AS o FROM ({unpivot_lvl_sql('patients', CAT)}) u GROUP BY ALL"),
+    ("rws", "SELECT feature, level, sum(o) AS r_tot FROM obs GROUP BY ALL"),
+    ("cls", "SELECT feature, y, sum(o) AS c_tot FROM obs GROUP BY ALL"),
+    ("dims", """SELECT r.feature, r.n_levels, r.n, c.n_classes FROM
+             (SELECT feature, count(*) AS n_levels, sum(r_tot) AS n FROM rws GROUP BY feature) r
+             JOIN (SELECT feature, count(*) AS n_classes FROM cls GROUP BY feature) c USING (feature)"""),
+    ("cells", """SELECT rws.feature, rws.level, cls.y, coalesce(obs.o, 0) AS o,
+                   CAST(r_tot AS DOUBLE) * c_tot / n AS e,
+                   (n_levels - 1) * (n_classes - 1) AS dof
+            FROM rws JOIN cls USING (feature) JOIN dims USING (feature)
+            LEFT JOIN obs ON obs.feature = rws.feature AND obs.level = rws.level AND obs.y = cls.y"""),
+]
+ORACLES["chi_square"] = with_fixtures("""
+  SELECT feature,
+         round(sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), 9)
+           AS statistic,
+         CAST(max(dof) AS INTEGER) AS dof
+  FROM cells GROUP BY feature""", "patients", extra=CHI_CTES)
