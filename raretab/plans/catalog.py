@@ -184,3 +184,48 @@ def q_chi_square(spark, sf):
 @query("test_battery")
 def q_test_battery(spark, sf):
     return ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET)
+
+
+# --- step 3: splits, folds, permutation --------------------------------------
+
+from ..operators import splits as SP  # noqa: E402
+
+
+def _patient_split(spark, sf):
+    return SP.three_way_split(FX.patients(spark, sf), FX.TARGET, FX.ID_COL, 0.2, 0.2, seed=42)
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf):
+    return SP.split_report(_patient_split(spark, sf), "split", FX.TARGET)
+
+
+@query("split_membership")
+def q_split_membership(spark, sf):
+    return _patient_split(spark, sf).select(FX.ID_COL, "split")
+
+
+@query("fold_sizes")
+def q_fold_sizes(spark, sf):
+    f = SP.stratified_folds(FX.patients(spark, sf), FX.TARGET, FX.ID_COL, k=5, seed=42)
+    return f.groupBy("fold", FX.TARGET).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("fold_membership")
+def q_fold_membership(spark, sf):
+    f = SP.stratified_folds(FX.patients(spark, sf), FX.TARGET, FX.ID_COL, k=5, seed=42)
+    return f.select(FX.ID_COL, FX.TARGET, "fold")
+
+
+@query("early_stop_sizes")
+def q_early_stop_sizes(spark, sf):
+    train = _patient_split(spark, sf).where(F.col("split") == "train")
+    e = SP.early_stop_flag(train, FX.TARGET, FX.ID_COL, 0.12, seed=42)
+    return e.groupBy("is_validation", FX.TARGET).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("permuted_labels")
+def q_permuted_labels(spark, sf):
+    p = FX.patients(spark, sf).select(FX.ID_COL, FX.TARGET)
+    return SP.permute_labels(p, FX.TARGET, FX.ID_COL, seed=42, out="y_perm").select(
+        FX.ID_COL, FX.TARGET, "y_perm")

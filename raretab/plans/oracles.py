@@ -276,3 +276,71 @@ ORACLES["chi_square"] = with_fixtures("""
            AS statistic,
          CAST(max(dof) AS INTEGER) AS dof
   FROM cells GROUP BY feature""", "patients", extra=CHI_CTES)
+
+
+# --- step 3: splits, folds, permutation --------------------------------------
+
+def _h(key: str, salt: str) -> str:
+    return f"(('0x' || substr(md5('{salt}|' || CAST({key} AS VARCHAR)), 1, 8))::BIGINT)"
+
+
+def holdout_ctes(src: str, frac: float, salt: str, name: str) -> list[tuple[str, str]]:
+    """Stratified hold-out flag ``is_hold`` for every row of ``src``."""
+    p = f"{name}_"
+    return [
+        (f"{p}h", f"SELECT *, {_h('patient_id', '42:' + salt)} AS _h FROM {src}"),
+        (f"{p}a", f"SELECT stroke_event, count(*) AS n_c, sum(count(*)) OVER () AS n FROM {p}h GROUP BY 1"),
+        (f"{p}b", f"SELECT *, n - CAST(ceil(n * {frac}::DOUBLE) AS BIGINT) AS n_train FROM {p}a"),
+        (f"{p}c", f"SELECT *, (n_train * n_c) // n AS base, (n_train * n_c) % n AS rem FROM {p}b"),
+        (f"{p}d", f"""SELECT *, n_train - sum(base) OVER () AS need,
+                        row_number() OVER (ORDER BY rem DESC, stroke_event) AS ord FROM {p}c"""),
+        (f"{p}alloc", f"""SELECT stroke_event,
+                            n_c - (base + CASE WHEN ord <= need THEN 1 ELSE 0 END) AS take_c FROM {p}d"""),
+        (name, f"""SELECT r.* EXCLUDE (_h, rn), rn <= take_c AS is_hold
+                  FROM (SELECT *, row_number() OVER (PARTITION BY stroke_event ORDER BY _h, patient_id) AS rn
+                        FROM {p}h) r JOIN {p}alloc USING (stroke_event)"""),
+    ]
+
+
+SPLIT_CTES = (
+    holdout_ctes("patients", 0.2, "test", "t1")
+    + [("rest", "SELECT * EXCLUDE (is_hold) FROM t1 WHERE NOT is_hold")]
+    + holdout_ctes("rest", 0.2, "validation", "t2")
+    + [("splits", """SELECT * EXCLUDE (is_hold), 'test' AS split FROM t1 WHERE is_hold
+                     UNION ALL
+                     SELECT * EXCLUDE (is_hold), CASE WHEN is_hold THEN 'validation' ELSE 'train' END
+                     FROM t2""")]
+)
+
+ORACLES["split_sizes"] = with_fixtures("""
+  SELECT split, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(stroke_event) AS BIGINT) AS n_pos,
+         avg(CAST(stroke_event AS DOUBLE)) AS pos_rate FROM splits GROUP BY split""",
+                                       "patients", extra=SPLIT_CTES)
+
+ORACLES["split_membership"] = with_fixtures("SELECT patient_id, split FROM splits", "patients",
+                                            extra=SPLIT_CTES)
+
+FOLD_CTE = [("folds", f"""SELECT patient_id, stroke_event,
+    CAST((row_number() OVER (PARTITION BY stroke_event ORDER BY {_h('patient_id', '42:fold')}, patient_id) - 1) % 5
+         AS INTEGER) AS fold FROM patients""")]
+
+ORACLES["fold_sizes"] = with_fixtures(
+    "SELECT fold, stroke_event, CAST(count(*) AS BIGINT) AS n_rows FROM folds GROUP BY ALL",
+    "patients", extra=FOLD_CTE)
+
+ORACLES["fold_membership"] = with_fixtures("SELECT * FROM folds", "patients", extra=FOLD_CTE)
+
+ORACLES["early_stop_sizes"] = with_fixtures("""
+  SELECT is_hold AS is_validation, stroke_event, CAST(count(*) AS BIGINT) AS n_rows
+  FROM es GROUP BY ALL""", "patients",
+    extra=SPLIT_CTES + [("train_rows", "SELECT * EXCLUDE (split) FROM splits WHERE split = 'train'")]
+    + holdout_ctes("train_rows", 0.12, "early_stop", "es"))
+
+ORACLES["permuted_labels"] = with_fixtures(f"""
+  SELECT a.patient_id, a.stroke_event, b.stroke_event AS y_perm
+  FROM (SELECT patient_id, stroke_event,
+               row_number() OVER (ORDER BY {_h('patient_id', '42:perm_rows')}, patient_id) AS r
+        FROM patients) a
+  JOIN (SELECT stroke_event,
+               row_number() OVER (ORDER BY {_h('patient_id', '42:perm_labels')}, patient_id) AS r
+        FROM patients) b ON a.r = b.r""", "patients")
