@@ -229,3 +229,90 @@ def q_permuted_labels(spark, sf):
     p = FX.patients(spark, sf).select(FX.ID_COL, FX.TARGET)
     return SP.permute_labels(p, FX.TARGET, FX.ID_COL, seed=42, out="y_perm").select(
         FX.ID_COL, FX.TARGET, "y_perm")
+
+
+# --- step 5: evaluation on formula scores ------------------------------------
+
+from ..operators import evaluate as EV  # noqa: E402
+
+EVAL_MODELS = ["a", "b", "c", "voting"]
+
+
+def _scored_with_vote(spark, sf):
+    s = FX.scored(spark, sf)
+    return s.unionByName(EV.soft_vote(s, "voting", models=["a", "b", "c"]))
+
+
+def _tuned(spark, sf):
+    s = _scored_with_vote(spark, sf)
+    return s, EV.tune_thresholds(EV.threshold_sweep(s))
+
+
+@query("soft_vote")
+def q_soft_vote(spark, sf):
+    return EV.soft_vote(FX.scored(spark, sf), "voting", models=["a", "b", "c"])
+
+
+@query("wide_scores")
+def q_wide_scores(spark, sf):
+    return EV.wide_scores(FX.scored(spark, sf), ["a", "b", "c"])
+
+
+@query("roc_auc")
+def q_roc_auc(spark, sf):
+    return EV.roc_auc(_scored_with_vote(spark, sf))
+
+
+@query("average_precision")
+def q_average_precision(spark, sf):
+    return EV.average_precision(_scored_with_vote(spark, sf))
+
+
+@query("roc_curve")
+def q_roc_curve(spark, sf):
+    return EV.roc_curve(FX.scored(spark, sf))
+
+
+@query("pr_curve")
+def q_pr_curve(spark, sf):
+    return EV.pr_curve(FX.scored(spark, sf))
+
+
+@query("threshold_sweep")
+def q_threshold_sweep(spark, sf):
+    return EV.threshold_sweep(_scored_with_vote(spark, sf))
+
+
+@query("tuned_thresholds")
+def q_tuned_thresholds(spark, sf):
+    return _tuned(spark, sf)[1]
+
+
+@query("confusion_at_tuned")
+def q_confusion_at_tuned(spark, sf):
+    s, t = _tuned(spark, sf)
+    return EV.confusion(s, t)
+
+
+@query("results_table")
+def q_results_table(spark, sf):
+    s, t = _tuned(spark, sf)
+    return EV.results_table(s, t)
+
+
+@query("results_long")
+def q_results_long(spark, sf):
+    s, t = _tuned(spark, sf)
+    return EV.results_long(EV.results_table(s, t))
+
+
+@query("best_by_metric")
+def q_best_by_metric(spark, sf):
+    s, t = _tuned(spark, sf)
+    return EV.best_by_metric(EV.results_table(s, t))
+
+
+@query("metric_matrix")
+def q_metric_matrix(spark, sf):
+    s, t = _tuned(spark, sf)
+    return EV.metric_matrix(EV.results_table(s, t), EVAL_MODELS)

@@ -344,3 +344,115 @@ ORACLES["permuted_labels"] = with_fixtures(f"""
   JOIN (SELECT stroke_event,
                row_number() OVER (ORDER BY {_h('patient_id', '42:perm_labels')}, patient_id) AS r
         FROM patients) b ON a.r = b.r""", "patients")
+
+
+# --- step 5: evaluation on formula scores ------------------------------------
+
+VOTE = ("vote", """SELECT 'voting' AS model, row_id, y, round(avg(p), 12) AS p
+                   FROM scored GROUP BY row_id, y""")
+SV = ("sv", "SELECT * FROM scored UNION ALL SELECT * FROM vote")
+
+SC_CTE = ("sc", """SELECT model, p, sum(CASE WHEN y = 1 THEN 1 ELSE 0 END) AS pos,
+                          sum(CASE WHEN y = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY model, p""")
+CUM_CTE = ("cum", """SELECT model, p, pos, neg,
+                  sum(pos) OVER (PARTITION BY model ORDER BY p DESC) AS tps,
+                  sum(neg) OVER (PARTITION BY model ORDER BY p DESC) AS fps,
+                  sum(pos) OVER (PARTITION BY model) AS PT, sum(neg) OVER (PARTITION BY model) AS NT
+                  FROM sc""")
+
+
+def _sd(n: str, d: str) -> str:
+    return f"CASE WHEN ({d}) = 0 THEN 0.0::DOUBLE ELSE CAST({n} AS DOUBLE) / ({d}) END"
+
+
+SWEEP = f"""
+  SELECT model, k, threshold, tp, fp, fn, tn,
+         {_sd('tp', 'tp + fp')} AS precision, {_sd('tp', 'tp + fn')} AS recall,
+         {_sd('2 * tp', '2 * tp + fp + fn')} AS f1, {_sd('tp + tn', 'tp + tn + fp + fn')} AS accuracy
+  FROM (SELECT s.model, CAST(t.k AS INTEGER) AS k, t.k / 100.0::DOUBLE AS threshold,
+               CAST(count(*) FILTER (WHERE y = 1 AND p >= t.k / 100.0::DOUBLE) AS BIGINT) AS tp,
+               CAST(count(*) FILTER (WHERE y <> 1 AND p >= t.k / 100.0::DOUBLE) AS BIGINT) AS fp,
+               CAST(count(*) FILTER (WHERE y = 1 AND p < t.k / 100.0::DOUBLE) AS BIGINT) AS fn,
+               CAST(count(*) FILTER (WHERE y <> 1 AND p < t.k / 100.0::DOUBLE) AS BIGINT) AS tn
+        FROM sv s, range(1, 99) t(k) GROUP BY s.model, t.k) c"""
+
+TUNED = """
+  SELECT m.mode, a.model,
+         coalesce((SELECT k FROM (SELECT k, CASE WHEN m.objective = 'recall' THEN recall ELSE f1 END AS sc
+                                  FROM sweep w WHERE w.model = a.model AND w.precision >= m.min_precision) q
+                   ORDER BY sc DESC, k ASC LIMIT 1) / 100.0::DOUBLE, 0.5::DOUBLE) AS threshold
+  FROM (SELECT DISTINCT model FROM sv) a,
+       (VALUES ('High Sensitivity', 0.08::DOUBLE, 'recall'), ('Balanced', 0.10::DOUBLE, 'f1'))
+         m(mode, min_precision, objective)"""
+
+CONF = f"""
+  SELECT mode, model, threshold, tn, fp, fn, tp,
+         {_sd('tp', 'tp + fp')} AS precision, {_sd('tp', 'tp + fn')} AS recall,
+         {_sd('2 * tp', '2 * tp + fp + fn')} AS f1, {_sd('tp + tn', 'tp + tn + fp + fn')} AS accuracy
+  FROM (SELECT t.mode, t.model, t.threshold,
+               CAST(count(*) FILTER (WHERE y <> 1 AND p < t.threshold) AS BIGINT) AS tn,
+               CAST(count(*) FILTER (WHERE y <> 1 AND p >= t.threshold) AS BIGINT) AS fp,
+               CAST(count(*) FILTER (WHERE y = 1 AND p < t.threshold) AS BIGINT) AS fn,
+               CAST(count(*) FILTER (WHERE y = 1 AND p >= t.threshold) AS BIGINT) AS tp
+        FROM sv JOIN tuned t USING (model) GROUP BY t.mode, t.model, t.threshold) c"""
+
+AUC = """
+  SELECT model, sum(CAST(pos AS DOUBLE) * (nb + neg / 2.0::DOUBLE)) / (CAST(max(PT) AS DOUBLE) * max(NT)) AS auc_roc
+  FROM (SELECT model, p, pos, neg,
+               coalesce(sum(neg) OVER (PARTITION BY model ORDER BY p
+                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb,
+               sum(pos) OVER (PARTITION BY model) AS PT, sum(neg) OVER (PARTITION BY model) AS NT
+        FROM sc) r GROUP BY model"""
+
+AP = """
+  SELECT model, round(CASE WHEN max(PT) = 0 THEN 0.0::DOUBLE
+                           ELSE sum(pos * (CAST(tps AS DOUBLE) / (tps + fps))) / max(PT) END, 10) AS auc_pr,
+         CAST(max(PT) AS DOUBLE) / (max(PT) + max(NT)) AS baseline
+  FROM cum GROUP BY model"""
+
+RESULTS = """
+  SELECT c.mode, c.model, c.threshold, a.auc_roc, ap.auc_pr, c.recall, c.precision, c.f1, c.accuracy
+  FROM conf c JOIN auc a USING (model) JOIN ap USING (model)"""
+
+EVAL_CTES = [VOTE, SV, (SC_CTE[0], SC_CTE[1].format(src="sv")), CUM_CTE, ("sweep", SWEEP),
+             ("tuned", TUNED), ("conf", CONF), ("auc", AUC), ("ap", AP), ("results", RESULTS)]
+
+ORACLES["soft_vote"] = with_fixtures("SELECT * FROM vote", "scored", extra=[VOTE])
+
+ORACLES["wide_scores"] = with_fixtures("""
+  SELECT row_id, y, first(p) FILTER (WHERE model = 'a') AS a, first(p) FILTER (WHERE model = 'b') AS b,
+         first(p) FILTER (WHERE model = 'c') AS c FROM scored GROUP BY row_id, y""", "scored")
+
+ORACLES["roc_auc"] = with_fixtures("SELECT * FROM auc", "scored", extra=EVAL_CTES)
+ORACLES["average_precision"] = with_fixtures("SELECT * FROM ap", "scored", extra=EVAL_CTES)
+
+ORACLES["roc_curve"] = with_fixtures(f"""
+  SELECT model, p AS threshold, {_sd('fps', 'NT')} AS fpr, {_sd('tps', 'PT')} AS tpr FROM cum
+  UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM scored""",
+                                     "scored", extra=[(SC_CTE[0], SC_CTE[1].format(src="scored")), CUM_CTE])
+
+ORACLES["pr_curve"] = with_fixtures(f"""
+  SELECT model, p AS threshold, {_sd('tps', 'tps + fps')} AS precision,
+         CASE WHEN PT = 0 THEN 1.0::DOUBLE ELSE CAST(tps AS DOUBLE) / PT END AS recall FROM cum
+  UNION ALL SELECT DISTINCT model, NULL::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE FROM scored""",
+                                    "scored", extra=[(SC_CTE[0], SC_CTE[1].format(src="scored")), CUM_CTE])
+
+ORACLES["threshold_sweep"] = with_fixtures("SELECT * FROM sweep", "scored", extra=EVAL_CTES)
+ORACLES["tuned_thresholds"] = with_fixtures("SELECT * FROM tuned", "scored", extra=EVAL_CTES)
+ORACLES["confusion_at_tuned"] = with_fixtures("SELECT * FROM conf", "scored", extra=EVAL_CTES)
+ORACLES["results_table"] = with_fixtures("SELECT * FROM results", "scored", extra=EVAL_CTES)
+
+RESULTS_LONG = " UNION ALL ".join(
+    f"SELECT mode, model, '{m}' AS metric, {m} AS value FROM results"
+    for m in ("auc_roc", "auc_pr", "recall", "precision", "f1"))
+ORACLES["results_long"] = with_fixtures(RESULTS_LONG, "scored", extra=EVAL_CTES)
+
+ORACLES["best_by_metric"] = with_fixtures(f"""
+  SELECT mode, metric, first(model ORDER BY value DESC, model) AS best_model, max(value) AS best_value
+  FROM ({RESULTS_LONG}) l GROUP BY mode, metric""", "scored", extra=EVAL_CTES)
+
+ORACLES["metric_matrix"] = with_fixtures(f"""
+  SELECT mode, metric, first(value) FILTER (WHERE model = 'a') AS a,
+         first(value) FILTER (WHERE model = 'b') AS b, first(value) FILTER (WHERE model = 'c') AS c,
+         first(value) FILTER (WHERE model = 'voting') AS voting
+  FROM ({RESULTS_LONG}) l GROUP BY mode, metric""", "scored", extra=EVAL_CTES)
