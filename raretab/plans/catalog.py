@@ -316,3 +316,39 @@ def q_best_by_metric(spark, sf):
 def q_metric_matrix(spark, sf):
     s, t = _tuned(spark, sf)
     return EV.metric_matrix(EV.results_table(s, t), EVAL_MODELS)
+
+
+# --- step 6: oversampling ------------------------------------------------------
+
+from ..operators import oversample as OV  # noqa: E402
+
+
+def _embed_plan(spark, sf):
+    e = FX.embed_binary(spark, sf)
+    return e, OV.plan_oversampling(e, "y", OV.DEFAULT_RATIO, OV.DEFAULT_K)
+
+
+def _round_vec(c: str, digits: int = 6):
+    return F.transform(F.col(c), lambda x: F.round(x, digits)).alias(c)
+
+
+@query("knn_minority")
+def q_knn_minority(spark, sf):
+    e, plan = _embed_plan(spark, sf)
+    mino = e.where(F.col("y") == plan.min_class)
+    k = OV.knn_within(mino, "vec_id", "features", plan.k_eff, plan.n_min)
+    return k.select("vec_id", "nbr_id", "rank", F.round("dist2", 9).alias("dist2"))
+
+
+@query("smote_synthetic")
+def q_smote_synthetic(spark, sf):
+    e, plan = _embed_plan(spark, sf)
+    s = OV.synthetic_rows(spark, e, "vec_id", "features", "y", plan, seed=42)
+    return s.select("draw", "src_id", "nbr_id", "gap", _round_vec("features"))
+
+
+@query("smote_counts")
+def q_smote_counts(spark, sf):
+    e = FX.embed_binary(spark, sf)
+    o = OV.oversample(spark, e, "vec_id", "features", "y")
+    return o.groupBy("origin", "y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))

@@ -456,3 +456,46 @@ ORACLES["metric_matrix"] = with_fixtures(f"""
          first(value) FILTER (WHERE model = 'b') AS b, first(value) FILTER (WHERE model = 'c') AS c,
          first(value) FILTER (WHERE model = 'voting') AS voting
   FROM ({RESULTS_LONG}) l GROUP BY mode, metric""", "scored", extra=EVAL_CTES)
+
+
+# --- step 6: oversampling ------------------------------------------------------
+
+DIST = ("list_reduce(list_transform(range(1, len(a.features) + 1), "
+        "lambda i: (a.features[i] - b.features[i]) * (a.features[i] - b.features[i])), lambda x, y: x + y)")
+
+OV_CTES = [
+    ("cnt", """SELECT max(n) FILTER (WHERE y = 1) AS n_min, max(n) FILTER (WHERE y = 0) AS n_maj
+               FROM (SELECT y, count(*) AS n FROM embed_binary GROUP BY y) t"""),
+    ("plan", """SELECT n_min, n_maj, greatest(0, CAST(ceil(0.35::DOUBLE * n_maj) AS BIGINT) - n_min) AS n_gen,
+                       least(5, n_min - 1) AS k_eff FROM cnt"""),
+    ("mino", f"""SELECT vec_id, features,
+                   row_number() OVER (ORDER BY {_h('vec_id', '42:minority')}, vec_id) - 1 AS idx
+                 FROM embed_binary WHERE y = 1"""),
+    ("knn", f"""SELECT vec_id, nbr_id, rank, dist2 FROM (
+                  SELECT a.vec_id, b.vec_id AS nbr_id, {DIST} AS dist2,
+                         row_number() OVER (PARTITION BY a.vec_id ORDER BY {DIST}, b.vec_id) AS rank
+                  FROM mino a JOIN mino b ON a.vec_id <> b.vec_id) t, plan
+                WHERE rank <= plan.k_eff"""),
+    ("draws", f"""SELECT g AS draw,
+                    CAST(floor(CAST({_h('g', '42:base')} AS DOUBLE) / 4294967296.0::DOUBLE * n_min) AS BIGINT) AS idx,
+                    CAST(floor(CAST({_h('g', '42:slot')} AS DOUBLE) / 4294967296.0::DOUBLE * k_eff) AS INTEGER) + 1 AS rank,
+                    CAST({_h('g', '42:gap')} AS DOUBLE) / 4294967296.0::DOUBLE AS gap
+                  FROM plan, range(plan.n_gen) t(g)"""),
+    ("syn", """SELECT d.draw, m.vec_id AS src_id, k.nbr_id, d.gap,
+                 list_transform(range(1, len(m.features) + 1),
+                   lambda i: round(m.features[i] + d.gap * (n.features[i] - m.features[i]), 6)) AS features
+               FROM draws d JOIN mino m ON d.idx = m.idx
+               JOIN knn k ON k.vec_id = m.vec_id AND k.rank = d.rank
+               JOIN mino n ON n.vec_id = k.nbr_id"""),
+]
+
+ORACLES["knn_minority"] = with_fixtures(
+    "SELECT vec_id, nbr_id, CAST(rank AS INTEGER) AS rank, round(dist2, 9) AS dist2 FROM knn",
+    "embed_binary", extra=OV_CTES)
+
+ORACLES["smote_synthetic"] = with_fixtures("SELECT * FROM syn", "embed_binary", extra=OV_CTES)
+
+ORACLES["smote_counts"] = with_fixtures("""
+  SELECT 'majority' AS origin, 0 AS y, CAST(count(*) AS BIGINT) AS n_rows FROM embed_binary WHERE y = 0
+  UNION ALL SELECT 'minority', 1, CAST(count(*) AS BIGINT) FROM embed_binary WHERE y = 1
+  UNION ALL SELECT 'synthetic', 1, CAST(count(*) AS BIGINT) FROM syn""", "embed_binary", extra=OV_CTES)
