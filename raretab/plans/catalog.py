@@ -352,3 +352,15 @@ def q_smote_counts(spark, sf):
     e = FX.embed_binary(spark, sf)
     o = OV.oversample(spark, e, "vec_id", "features", "y")
     return o.groupBy("origin", "y").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+# --- step 8: density ------------------------------------------------------------
+
+from ..operators.density import kde_grid  # noqa: E402
+
+
+@query("kde_grid")
+def q_kde_grid(spark, sf):
+    d = kde_grid(FX.patients(spark, sf), NUM, FX.TARGET)
+    return d.select("feature", "class", "j", F.round("x", 6).alias("x"),
+                    F.round("density", 9).alias("density"))

@@ -499,3 +499,25 @@ ORACLES["smote_counts"] = with_fixtures("""
   SELECT 'majority' AS origin, 0 AS y, CAST(count(*) AS BIGINT) AS n_rows FROM embed_binary WHERE y = 0
   UNION ALL SELECT 'minority', 1, CAST(count(*) AS BIGINT) FROM embed_binary WHERE y = 1
   UNION ALL SELECT 'synthetic', 1, CAST(count(*) AS BIGINT) FROM syn""", "embed_binary", extra=OV_CTES)
+
+
+# --- step 8: density ------------------------------------------------------------
+
+KDE_CTES = [
+    ("lg", unpivot_num_sql("patients", NUM)),
+    ("vc", "SELECT feature, y, value, count(*) AS c FROM lg GROUP BY ALL"),
+    ("st", """SELECT feature, y, count(*) AS n,
+                     stddev_samp(value) * pow(CAST(count(*) AS DOUBLE), -0.2::DOUBLE) AS h,
+                     min(value) AS mn, max(value) AS mx FROM lg GROUP BY ALL"""),
+    ("g", """SELECT feature, y, n, h, j,
+               CASE WHEN j = 199 THEN mx + h * 3.0::DOUBLE
+                    ELSE (mn - h * 3.0::DOUBLE)
+                         + j * (((mx + h * 3.0::DOUBLE) - (mn - h * 3.0::DOUBLE)) / 199.0::DOUBLE) END AS x
+             FROM st, range(0, 200) t(j)"""),
+]
+ORACLES["kde_grid"] = with_fixtures("""
+  SELECT g.feature, g.y AS class, CAST(g.j AS INTEGER) AS j, round(g.x, 6) AS x,
+         round(sum(vc.c * exp(-0.5::DOUBLE * ((g.x - vc.value) / g.h) * ((g.x - vc.value) / g.h)))
+               / (max(g.n) * max(g.h) * sqrt(2 * pi())), 9) AS density
+  FROM g JOIN vc ON g.feature = vc.feature AND g.y = vc.y
+  GROUP BY g.feature, g.y, g.j, g.x""", "patients", extra=KDE_CTES)
