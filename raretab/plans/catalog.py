@@ -192,7 +192,8 @@ from ..operators import splits as SP  # noqa: E402
 
 
 def _patient_split(spark, sf):
-    return SP.three_way_split(FX.patients(spark, sf), FX.TARGET, FX.ID_COL, 0.2, 0.2, seed=42)
+    from ..session import cut_lineage
+    return cut_lineage(SP.three_way_split(FX.patients(spark, sf), FX.TARGET, FX.ID_COL, 0.2, 0.2, seed=42))
 
 
 @query("split_sizes")
@@ -364,3 +365,107 @@ def q_kde_grid(spark, sf):
     d = kde_grid(FX.patients(spark, sf), NUM, FX.TARGET)
     return d.select("feature", "class", "j", F.round("x", 6).alias("x"),
                     F.round("density", 9).alias("density"))
+
+
+# --- step 4: sources, projections, preprocessing --------------------------------
+
+from ..operators import features as FE  # noqa: E402
+from ..operators.encode import fit_label_codes, fit_preprocess  # noqa: E402
+from ..sources import io as IO  # noqa: E402
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """S5 -> S1/S2/S4: write the patients table as header CSV (with an extra
+    index column) into the session's checkpoint folder, read it back with
+    the missing-token reader and typed safe casts."""
+    import uuid
+    from pyspark.sql import types as T
+    from ..session import ensure_checkpoint_dir
+    p = FX.patients(spark, sf)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    out = p.select(F.col("patient_id").alias(IO.INDEX_COLUMN), *p.columns)
+    IO.write_table(out, path, fmt="csv")
+    schema = {f.name: f.dataType.simpleString() for f in p.schema.fields}
+    back = IO.read_csv(spark, path, schema)
+    return back.select(*[F.col(c).cast(T._parse_datatype_string(schema[c])).alias(c) for c in p.columns])
+
+
+@query("model_features")
+def q_model_features(spark, sf):
+    p = FE.drop_present(FX.patients(spark, sf).withColumn("row_id", F.col(FX.ID_COL)))
+    x = FE.model_features(p)
+    return x.select("row_id", *[c for c in FE.MODEL_FEATURES if c != "log_glucose"],
+                    F.round("log_glucose", 10).alias("log_glucose"))
+
+
+@query("fill_zero")
+def q_fill_zero(spark, sf):
+    p = FX.patients(spark, sf).select("patient_id", "bmi_value", "bmi_category")
+    return FE.fill_zero(p)
+
+
+@query("high_risk_profile")
+def q_high_risk_profile(spark, sf):
+    h = FE.high_risk_profile(FX.patients(spark, sf))
+    return h.groupBy("risk_criteria", "high_risk", FX.TARGET).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+
+
+@query("extra_features")
+def q_extra_features(spark, sf):
+    from ..operators.quantiles import grouped_median
+    p = FX.patients(spark, sf)
+    med = grouped_median(p, [], "bmi_value", "_m").select("_m").scalar()
+    a, g, b = F.col("age"), F.col("glucose_level"), F.col("bmi_value")
+    return p.select("patient_id", (a / 10).alias("age_over_10"),
+                    F.round(g / F.nullif(b, F.lit(0.0)), 10).alias("glucose_per_bmi"),
+                    F.round(b - med, 10).alias("bmi_deviation"))
+
+
+@query("label_codes")
+def q_label_codes(spark, sf):
+    return fit_label_codes(FX.patients(spark, sf), list(FX.CATEGORICAL))
+
+
+@query("preprocess_train_apply")
+def q_preprocess_train_apply(spark, sf):
+    """State fitted on the training split only, applied to the test split."""
+    sp = _patient_split(spark, sf)
+    train = sp.where(F.col("split") != "test").drop("split")
+    test = sp.where(F.col("split") == "test").drop("split")
+    pre = fit_preprocess(train, list(FX.CATEGORICAL))
+    return pre.transform(test).select(FX.ID_COL, "bmi_value", *FX.CATEGORICAL)
+
+
+# --- step 7: models (rows-only checks) ------------------------------------------
+
+def _small_specs():
+    from ..operators import models as MD
+    specs = MD.default_specs(trees=20, rounds=20)
+    specs[0].params["maxIter"] = 200
+    return specs
+
+
+@query("base_model_results")
+def q_base_model_results(spark, sf):
+    """Base models fit on the full training split (oversampled), scored on
+    test, evaluated with thresholds tuned on the same scores' sweep
+    (reduced tree counts: 20 trees / 20 rounds)."""
+    from . import ensemble as EN
+    from ..session import cut_lineage
+    data = cut_lineage(EN.prepare(FX.patients_raw(spark, sf)))
+    sp = cut_lineage(SP.three_way_split(data, FX.TARGET, "row_id", 0.2, 0.2, 42))
+    full = sp.where(F.col("split") != "test").drop("split")
+    test = sp.where(F.col("split") == "test").drop("split")
+    pre = fit_preprocess(full, list(FX.CATEGORICAL))
+    tr, te = cut_lineage(EN.design(pre, full)), cut_lineage(EN.design(pre, test))
+    fitted = EN._fit_all(spark, _small_specs(), tr, 42, 1.0)
+    s = cut_lineage(EN._score_all(fitted, te))
+    return EV.results_table(s, EV.tune_thresholds(EV.threshold_sweep(s)))
+
+
+@query("label_shuffle_auc")
+def q_label_shuffle_auc(spark, sf):
+    from . import ensemble as EN
+    return EN.label_shuffle_auc(spark, FX.patients_raw(spark, sf), _small_specs())

@@ -146,7 +146,7 @@ ORACLES["class_extremes"] = with_fixtures("""
 
 ORACLES["null_counts"] = with_fixtures(
     "SELECT * FROM (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS column, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null, "
+        f"SELECT '{c}' AS \"column\", CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_null, "
         f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) / count(*) AS null_rate FROM patients"
         for c in PATIENT_ALL) + ") t WHERE n_null > 0", "patients")
 
@@ -521,3 +521,65 @@ ORACLES["kde_grid"] = with_fixtures("""
                / (max(g.n) * max(g.h) * sqrt(2 * pi())), 9) AS density
   FROM g JOIN vc ON g.feature = vc.feature AND g.y = vc.y
   GROUP BY g.feature, g.y, g.j, g.x""", "patients", extra=KDE_CTES)
+
+
+# --- step 4: sources, projections, preprocessing --------------------------------
+
+ORACLES["csv_roundtrip"] = with_fixtures("SELECT * FROM patients", "patients")
+
+ORACLES["model_features"] = with_fixtures("""
+  SELECT patient_id AS row_id, age * has_hypertension AS age_x_hypertension,
+         age * has_heart_disease AS age_x_heart_disease,
+         coalesce(glucose_level * bmi_value, 0.0::DOUBLE) AS glucose_x_bmi,
+         age * age AS age_squared, has_hypertension + has_heart_disease AS cvd_count,
+         CAST(age >= 55 AS INTEGER) AS is_senior, round(ln(glucose_level + 1.0::DOUBLE), 10) AS log_glucose
+  FROM patients""", "patients")
+
+ORACLES["fill_zero"] = with_fixtures("""
+  SELECT patient_id, coalesce(bmi_value, 0.0::DOUBLE) AS bmi_value, coalesce(bmi_category, '0') AS bmi_category
+  FROM patients""", "patients")
+
+ORACLES["high_risk_profile"] = with_fixtures("""
+  SELECT risk_criteria, CAST(risk_criteria >= 3 AS INTEGER) AS high_risk, stroke_event,
+         CAST(count(*) AS BIGINT) AS n_rows
+  FROM (SELECT *, CAST(age > 60 AS INTEGER) + CAST(has_hypertension = 1 AS INTEGER)
+                  + CAST(glucose_level > 140 AS INTEGER) + CAST(has_heart_disease = 1 AS INTEGER) AS risk_criteria
+        FROM patients) t GROUP BY ALL""", "patients")
+
+ORACLES["extra_features"] = with_fixtures("""
+  SELECT patient_id, age / 10 AS age_over_10,
+         round(glucose_level / nullif(bmi_value, 0.0::DOUBLE), 10) AS glucose_per_bmi,
+         round(bmi_value - (SELECT _m FROM gm), 10) AS bmi_deviation
+  FROM patients""", "patients", extra=[("gm", median_sql("patients", [], "bmi_value", "_m"))])
+
+CODES_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", coalesce(CAST({c} AS VARCHAR), 'nan') AS value FROM {{src}}"
+    for c in ["gender", "employment_type", "residence", "smoking_habit"])
+
+ORACLES["label_codes"] = with_fixtures(f"""
+  SELECT "column", value, CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT "column", value FROM ({CODES_SQL.format(src="patients")}) u) d""", "patients")
+
+PRE_CTES = SPLIT_CTES + [
+    ("trn", "SELECT * FROM splits WHERE split <> 'test'"),
+    ("tst", "SELECT * FROM splits WHERE split = 'test'"),
+    ("tb", f"SELECT *, {AGE_BIN} AS _bin FROM trn"),
+    ("tgm", median_sql("(SELECT * FROM tb WHERE gender IS NOT NULL AND _bin IS NOT NULL)",
+                       ["gender", "_bin"], "bmi_value", "_gm")),
+    ("tglob", median_sql("trn", [], "bmi_value", "_glob")),
+    ("codes", f"""SELECT "column", value,
+                         CAST(dense_rank() OVER (PARTITION BY "column" ORDER BY value) - 1 AS INTEGER) AS code
+                  FROM (SELECT DISTINCT "column", value FROM ({CODES_SQL.format(src="trn")}) u) d"""),
+]
+
+
+def _code(c: str) -> str:
+    return (f"coalesce((SELECT code FROM codes WHERE \"column\" = '{c}' "
+            f"AND value = coalesce(CAST(x.{c} AS VARCHAR), 'nan')), -1) AS {c}")
+
+
+ORACLES["preprocess_train_apply"] = with_fixtures(f"""
+  SELECT x.patient_id, coalesce(x.bmi_value, tgm._gm, tglob._glob) AS bmi_value,
+         {_code('gender')}, {_code('employment_type')}, {_code('residence')}, {_code('smoking_habit')}
+  FROM (SELECT *, {AGE_BIN} AS _bin FROM tst) x
+  LEFT JOIN tgm ON x.gender = tgm.gender AND x._bin = tgm._bin, tglob""", "patients", extra=PRE_CTES)
