@@ -14,12 +14,15 @@ from ..operators.dedup import dedup
 from ..operators.features import cleaning_interactions
 from ..operators.impute import impute_grouped_median
 from ..sources.fixtures import ID_COL, TARGET
+from ..session import cut_lineage
 from ..sources.io import drop_index_column
 
 
 def clean(raw: DataFrame, id_col: str = ID_COL, n_buckets: int = 64) -> DataFrame:
     df = drop_index_column(raw)
-    df = dedup(df, id_col)
+    # The deduplicated table is read twice (median fit, then fill): write it
+    # once to the checkpoint folder rather than shuffling the raw rows twice.
+    df = cut_lineage(dedup(df, id_col))
     df = impute_grouped_median(df, "bmi_value", ("gender",), n_buckets=n_buckets)
     return cleaning_interactions(df)
 
