@@ -469,3 +469,70 @@ def q_base_model_results(spark, sf):
 def q_label_shuffle_auc(spark, sf):
     from . import ensemble as EN
     return EN.label_shuffle_auc(spark, FX.patients_raw(spark, sf), _small_specs())
+
+
+# --- step 8: sinks, chart tables, report extras -----------------------------------
+
+@query("snapshot_preferred_source")
+def q_snapshot_preferred_source(spark, sf):
+    """S3 + S5 + A25: write the cleaned table to the shared folder, then
+    load 'cleaned if present, else raw' and report the snapshot with the
+    source name."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    cleaned_path = f"{base}/patients_cleaned-{uuid.uuid4().hex}.parquet"
+    IO.write_table(C.clean(FX.patients_raw(spark, sf)), cleaned_path)
+    df, source = IO.load_preferred(spark, cleaned_path, f"{sf.rstrip('/')}/orders.parquet")
+    return PR.snapshot(df, FX.TARGET, source.split("-")[0])
+
+
+@query("test_summary_sink")
+def q_test_summary_sink(spark, sf):
+    """The test table written as header CSV and read back."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tests-{uuid.uuid4().hex}"
+    IO.write_table(ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET), path, fmt="csv")
+    return IO.read_csv(spark, path, {"p_value": "double", "statistic": "double",
+                                     "neg_log10_p": "double"})
+
+
+@query("contingency_wide_smoking")
+def q_contingency_wide_smoking(spark, sf):
+    w = PR.contingency_wide(FX.patients(spark, sf), "smoking_habit", FX.TARGET)
+    return w.select("level", F.col("0").cast("bigint").alias("n_neg"), F.col("1").cast("bigint").alias("n_pos"))
+
+
+EXT_NUM = [*NUM, "age_squared", "age_x_hypertension"]
+EXT_CAT = [*CAT, "marital_status"]
+
+
+@query("mann_whitney_extended")
+def q_mann_whitney_extended(spark, sf):
+    """T-5: the battery's rank test over the longer feature list (cleaned table)."""
+    m = ST.mann_whitney(C.clean(FX.patients_raw(spark, sf)), EXT_NUM, FX.TARGET)
+    return m.select("feature", "n0", "n1", "u_stat", F.round("z", 9).alias("z"))
+
+
+@query("chi_square_extended")
+def q_chi_square_extended(spark, sf):
+    c = ST.chi_square(C.clean(FX.patients_raw(spark, sf)), EXT_CAT, FX.TARGET)
+    return c.select("feature", F.round("statistic", 9).alias("statistic"), "dof")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """M9 + K3: boosted-model importances on the full training split
+    (reduced to 20 rounds)."""
+    from . import ensemble as EN
+    from ..operators import models as MD
+    from ..session import cut_lineage
+    data = cut_lineage(EN.prepare(FX.patients_raw(spark, sf)))
+    sp = cut_lineage(SP.three_way_split(data, FX.TARGET, "row_id", 0.2, 0.2, 42))
+    full = sp.where(F.col("split") != "test").drop("split")
+    pre = fit_preprocess(full, list(FX.CATEGORICAL))
+    tr = cut_lineage(EN.design(pre, full))
+    gbt = [s for s in _small_specs() if s.kind == "boosted"]
+    fitted = EN._fit_all(spark, gbt, tr, 42, 1.0)
+    return MD.feature_importance(spark, fitted[gbt[0].name], EN.FEATURE_COLS)

@@ -583,3 +583,35 @@ ORACLES["preprocess_train_apply"] = with_fixtures(f"""
          {_code('gender')}, {_code('employment_type')}, {_code('residence')}, {_code('smoking_habit')}
   FROM (SELECT *, {AGE_BIN} AS _bin FROM tst) x
   LEFT JOIN tgm ON x.gender = tgm.gender AND x._bin = tgm._bin, tglob""", "patients", extra=PRE_CTES)
+
+
+# --- step 8: sinks, chart tables, report extras -----------------------------------
+
+ORACLES["snapshot_preferred_source"] = ORACLES["snapshot"].replace("'patients_cleaned'", "'patients_cleaned'")
+
+ORACLES["contingency_wide_smoking"] = with_fixtures("""
+  SELECT smoking_habit AS level,
+         CAST(count(*) FILTER (WHERE stroke_event = 0) AS BIGINT) AS n_neg,
+         CAST(count(*) FILTER (WHERE stroke_event = 1) AS BIGINT) AS n_pos
+  FROM patients WHERE smoking_habit IS NOT NULL GROUP BY 1""", "patients")
+
+EXT_NUM = [*NUM, "age_squared", "age_x_hypertension"]
+EXT_CAT = [*CAT, "marital_status"]
+
+ORACLES["mann_whitney_extended"] = with_fixtures(f"""
+  SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, u0 AS u_stat,
+         round((greatest(u0, n0 * n1 - u0) - n0 * n1 / 2 - 0.5)
+               / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1)))), 9) AS z
+  FROM (SELECT feature, CAST(sum(n0) AS DOUBLE) AS n0, CAST(sum(n1) AS DOUBLE) AS n1,
+               sum(n0 * avg_rank) - CAST(sum(n0) AS DOUBLE) * (CAST(sum(n0) AS DOUBLE) + 1) / 2 AS u0,
+               sum(CAST(t AS DOUBLE) * t * t - t) AS ties
+        FROM ({RANKS_SQL.format(src=unpivot_num_sql("cleaned", EXT_NUM))}) r GROUP BY feature) g""",
+                                                 "patients_raw", extra=CLEAN)
+
+CHI_EXT_CTES = CLEAN + [("obs", f"SELECT feature, level, y, count(*) AS o FROM ({unpivot_lvl_sql('cleaned', EXT_CAT)}) u GROUP BY ALL")] + CHI_CTES[1:]
+ORACLES["chi_square_extended"] = with_fixtures("""
+  SELECT feature,
+         round(sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), 9)
+           AS statistic,
+         CAST(max(dof) AS INTEGER) AS dof
+  FROM cells GROUP BY feature""", "patients_raw", extra=CHI_EXT_CTES)
