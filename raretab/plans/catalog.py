@@ -536,3 +536,24 @@ def q_feature_importance(spark, sf):
     gbt = [s for s in _small_specs() if s.kind == "boosted"]
     fitted = EN._fit_all(spark, gbt, tr, 42, 1.0)
     return MD.feature_importance(spark, fitted[gbt[0].name], EN.FEATURE_COLS)
+
+
+# --- the same operators on real labels and on the largest table -------------------
+
+@query("doc_labels_chi_square")
+def q_doc_labels_chi_square(spark, sf):
+    c = ST.chi_square(FX.doc_labels(spark, sf), ["lang", "source", "quality"], "toxic")
+    return c.select("feature", F.round("statistic", 9).alias("statistic"), "dof")
+
+
+@query("doc_labels_mann_whitney")
+def q_doc_labels_mann_whitney(spark, sf):
+    m = ST.mann_whitney(FX.doc_labels(spark, sf), ["n_chars"], "toxic")
+    return m.select("feature", "n0", "n1", "u_stat", F.round("z", 9).alias("z"))
+
+
+@query("lineitem_correlation")
+def q_lineitem_correlation(spark, sf):
+    from ..sources.io import read_table
+    li = read_table(spark, sf, "lineitem")
+    return PR.correlation_matrix(li, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], digits=8)

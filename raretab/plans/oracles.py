@@ -615,3 +615,38 @@ ORACLES["chi_square_extended"] = with_fixtures("""
            AS statistic,
          CAST(max(dof) AS INTEGER) AS dof
   FROM cells GROUP BY feature""", "patients_raw", extra=CHI_EXT_CTES)
+
+
+# --- the same operators on real labels and on the largest table -------------------
+
+def chi_ctes(src: str, feats: list[str], target: str) -> list[tuple[str, str]]:
+    return [("obs", f"SELECT feature, level, y, count(*) AS o FROM ({unpivot_lvl_sql(src, feats, target)}) u "
+                    f"GROUP BY ALL")] + CHI_CTES[1:]
+
+
+CHI_FINAL = """
+  SELECT feature,
+         round(sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e), 9)
+           AS statistic,
+         CAST(max(dof) AS INTEGER) AS dof
+  FROM cells GROUP BY feature"""
+
+ORACLES["doc_labels_chi_square"] = with_fixtures(
+    CHI_FINAL, "doc_labels", extra=chi_ctes("doc_labels", ["lang", "source", "quality"], "toxic"))
+
+ORACLES["doc_labels_mann_whitney"] = with_fixtures(f"""
+  SELECT feature, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, u0 AS u_stat,
+         round((greatest(u0, n0 * n1 - u0) - n0 * n1 / 2 - 0.5)
+               / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1)))), 9) AS z
+  FROM (SELECT feature, CAST(sum(n0) AS DOUBLE) AS n0, CAST(sum(n1) AS DOUBLE) AS n1,
+               sum(n0 * avg_rank) - CAST(sum(n0) AS DOUBLE) * (CAST(sum(n0) AS DOUBLE) + 1) / 2 AS u0,
+               sum(CAST(t AS DOUBLE) * t * t - t) AS ties
+        FROM ({RANKS_SQL.format(src=unpivot_num_sql("doc_labels", ["n_chars"], "toxic"))}) r GROUP BY feature) g""",
+                                                   "doc_labels")
+
+_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+_li_pairs = [(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1:]]
+ORACLES["lineitem_correlation"] = " UNION ALL ".join(
+    [f"SELECT '{a}' AS col_i, '{b}' AS col_j, round(corr({a}, {b}), 8) AS r FROM lineitem" for a, b in _li_pairs]
+    + [f"SELECT '{b}' AS col_i, '{a}' AS col_j, round(corr({a}, {b}), 8) AS r FROM lineitem" for a, b in _li_pairs]
+    + [f"SELECT '{c}' AS col_i, '{c}' AS col_j, 1.0::DOUBLE AS r" for c in _LI])
