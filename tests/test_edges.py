@@ -170,13 +170,16 @@ def test_synthetic_points_on_segment(spark):
         assert r["features"] == pytest.approx([x + g * (z - x) for x, z in zip(a, b)])
 
 
-def test_blocked_knn_recall(spark):
+def test_blocked_knn_is_exact(spark):
     import random
     rnd = random.Random(3)
     pts = [(i, [rnd.random() for _ in range(4)]) for i in range(600)]
+    # a tight cluster of duplicates and near-duplicates (hot region)
+    pts += [(1000 + i, [0.5, 0.5, 0.5, 0.5 + (i % 3) * 1e-9]) for i in range(150)]
     df = spark.createDataFrame(pts, "id long, features array<double>")
-    exact = {(r["id"], r["nbr_id"]) for r in knn_within(df, "id", "features", 3, 600).collect()}
-    approx = {(r["id"], r["nbr_id"]) for r in
-              knn_within(df, "id", "features", 3, 600, block_size=100, n_projections=6).collect()}
-    assert len(approx) == len(exact) == 1800
-    assert len(exact & approx) / len(exact) > 0.6
+    n = len(pts)
+    exact = {(r["id"], r["nbr_id"], r["rank"]) for r in knn_within(df, "id", "features", 3, n).collect()}
+    blocked = {(r["id"], r["nbr_id"], r["rank"]) for r in
+               knn_within(df, "id", "features", 3, n, block_size=64, n_projections=3).collect()}
+    assert len(exact) == 3 * n
+    assert blocked == exact
