@@ -57,7 +57,7 @@ def _desc_cumulative(sc: DataFrame, groups: Sequence[str], score: str, n_buckets
 
 
 def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-            label: str = "y", n_buckets: int = 64) -> DataFrame:
+            label: str = "y", n_buckets: int = 256) -> DataFrame:
     """AUC = sum_s pos_s * (neg below s + neg_s / 2) / (P * N)."""
     sc = score_counts(scored, groups, score, label)
     r = prefix_before(sc, groups, [score], ["neg", "pos"], n_buckets=n_buckets, with_totals=True)
@@ -68,7 +68,7 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-              label: str = "y", n_buckets: int = 64) -> DataFrame:
+              label: str = "y", n_buckets: int = 256) -> DataFrame:
     """(groups..., threshold, fpr, tpr) for every distinct score, plus
     the (0, 0) start at threshold +inf."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
@@ -81,7 +81,7 @@ def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str
 
 
 def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-             label: str = "y", n_buckets: int = 64) -> DataFrame:
+             label: str = "y", n_buckets: int = 256) -> DataFrame:
     """(groups..., threshold, precision, recall) per distinct score plus
     the end point (precision 1, recall 0, threshold null)."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
@@ -96,7 +96,7 @@ def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def average_precision(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-                      label: str = "y", n_buckets: int = 64, digits: int = 10) -> DataFrame:
+                      label: str = "y", n_buckets: int = 256, digits: int = 10) -> DataFrame:
     """W6 + W7: AP = sum_s (pos_s / P) * precision_s (step interpolation),
     and the no-skill baseline P / (P + N)."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
@@ -192,7 +192,7 @@ def confusion(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str] =
 
 
 def results_table(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str] = ("model",),
-                  score: str = "p", label: str = "y", n_buckets: int = 64) -> DataFrame:
+                  score: str = "p", label: str = "y", n_buckets: int = 256) -> DataFrame:
     """(mode, group, threshold, auc_roc, auc_pr, recall, precision, f1,
     accuracy)."""
     auc = roc_auc(scored, groups, score, label, n_buckets)

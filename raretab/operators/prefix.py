@@ -46,7 +46,7 @@ def _two_level_bucket(x: Column, cuts: Column, side: int) -> Column:
 def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int,
                           descending: bool = False, accuracy: int = 10000) -> DataFrame:
     """Adds ``_bkt`` in [0, B) from approximate quantile cut points of
-    ``order_col``; B is rounded to a square (64 = 8 x 8 by default).
+    ``order_col``; B is rounded to a square (256 = 16 x 16 by default).
 
     The cut points are a one-row aggregate (B-1 doubles whatever the data
     size) broadcast to every task, so the input is not shuffled and nothing
@@ -67,7 +67,7 @@ def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int,
 
 
 def prefix_before(df: DataFrame, parts: Sequence[str], order_cols: Sequence[str],
-                  weights: Sequence[str], n_buckets: int = 64,
+                  weights: Sequence[str], n_buckets: int = 256,
                   bucket_col: Column | None = None, descending: bool = False,
                   with_totals: bool = False) -> DataFrame:
     """Adds ``<w>_before`` for each weight: the sum of ``w`` over rows of the

@@ -151,7 +151,7 @@ def class_means(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 
 
 def box_summary(df: DataFrame, features: Sequence[str], target: str,
-                n_buckets: int = 64) -> DataFrame:
+                n_buckets: int = 256) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme value inside the
     fences) and the number of values outside, per feature and class."""
     long = unpivot_numeric(df, features, target)

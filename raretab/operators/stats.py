@@ -22,7 +22,7 @@ from .profile import unpivot_levels, unpivot_numeric
 
 
 def average_ranks(long: DataFrame, parts: Sequence[str], value: str, target: str = "y",
-                  n_buckets: int = 64) -> DataFrame:
+                  n_buckets: int = 256) -> DataFrame:
     """Distinct (parts, value) rows with per-class counts and the
     average (mid) rank of the value within its part."""
     vc = long.groupBy(*parts, value).agg(
@@ -34,7 +34,7 @@ def average_ranks(long: DataFrame, parts: Sequence[str], value: str, target: str
 
 
 def mann_whitney(df: DataFrame, features: Sequence[str], target: str,
-                 n_buckets: int = 64) -> DataFrame:
+                 n_buckets: int = 256) -> DataFrame:
     """T-1: (feature, n0, n1, u_stat, z) — U of class 0 as reported, |z| of
     the tie- and continuity-corrected normal approximation."""
     ranks = average_ranks(unpivot_numeric(df, features, target), ["feature"], "value",
@@ -80,7 +80,7 @@ def chi_square(df: DataFrame, features: Sequence[str], target: str,
 
 
 def test_battery(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                 target: str, n_buckets: int = 64) -> DataFrame:
+                 target: str, n_buckets: int = 256) -> DataFrame:
     """T-4 + T-3 + P16 + K4: (Feature, Test, p_value, statistic, neg_log10_p),
     ordered by significance within each test."""
     mw = mann_whitney(df, numeric, target, n_buckets).select(
@@ -89,5 +89,6 @@ def test_battery(df: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     cs = chi_square(df, categorical, target).select(
         F.col("feature").alias("Feature"), F.lit("Chi-square").alias("Test"),
         p_from_chi2(F.col("statistic"), F.col("dof")).alias("p_value"), "statistic")
-    out = mw.unionByName(cs)
-    return out.withColumn("neg_log10_p", neg_log10_floor("p_value"))
+    out = mw.unionByName(cs).withColumn("neg_log10_p", neg_log10_floor("p_value"))
+    # one row per tested feature: the sort is over a handful of rows
+    return out.orderBy(F.col("Test").desc(), F.col("neg_log10_p").asc())

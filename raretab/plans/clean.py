@@ -18,7 +18,7 @@ from ..session import cut_lineage
 from ..sources.io import drop_index_column
 
 
-def clean(raw: DataFrame, id_col: str = ID_COL, n_buckets: int = 64) -> DataFrame:
+def clean(raw: DataFrame, id_col: str = ID_COL, n_buckets: int = 256) -> DataFrame:
     df = drop_index_column(raw)
     # The deduplicated table is read twice (median fit, then fill): write it
     # once to the checkpoint folder rather than shuffling the raw rows twice.
