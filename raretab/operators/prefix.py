@@ -43,44 +43,76 @@ def _two_level_bucket(x: Column, cuts: Column, side: int) -> Column:
     return F.lit(side) * coarse + fine
 
 
-def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int,
-                          descending: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Adds ``_bkt`` in [0, B) from approximate quantile cut points of
-    ``order_col``; B is rounded to a square (256 = 16 x 16 by default).
+# Target rows per bucket window; fewer rows use fewer buckets (down to one).
+ROWS_PER_BUCKET = 100_000
+
+
+def _coarsen(bkt: Column, nb: int, rows: Column, rows_per_bucket: int | None) -> Column:
+    """Map a bucket in [0, nb) onto ``eff = clamp(ceil(rows / R), 1, nb)``
+    buckets, keeping it monotone; ``rows`` comes from the same one-row
+    aggregate, so the bucket count adapts to the data without a driver step."""
+    rows_per_bucket = rows_per_bucket or ROWS_PER_BUCKET
+    eff = F.least(F.lit(nb), F.greatest(F.lit(1), F.ceil(rows / F.lit(float(rows_per_bucket)))))
+    return F.floor(bkt * eff / F.lit(nb)).cast("int")
+
 
-    The cut points are a one-row aggregate (B-1 doubles whatever the data
-    size) broadcast to every task, so the input is not shuffled and nothing
-    reaches the driver; a dense value range receives many cut points.
+def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int,
+                          descending: bool = False, accuracy: int = 10000,
+                          rows_per_bucket: int | None = None) -> DataFrame:
+    """Adds ``_bkt`` from approximate quantile cut points of ``order_col``;
+    at most B buckets (B rounded to a square, 256 = 16 x 16 by default),
+    fewer when the input is small (about ``rows_per_bucket`` rows each).
+
+    The cut points and the row count are a one-row aggregate (B-1 doubles
+    whatever the data size) broadcast to every task, so the input is not
+    shuffled and nothing reaches the driver; a dense value range receives
+    many cut points.
     """
     side = max(1, int(round(n_buckets ** 0.5)))
     if side <= 1:
         return df.withColumn(BUCKET, F.lit(0))
     nb = side * side
     fr = [i / nb for i in range(1, nb)]
-    cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fr, accuracy).alias("_cuts"))
+    cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fr, accuracy).alias("_cuts"),
+                  F.count(F.lit(1)).alias("_rows"))
     # Exactly one row: a size-proven broadcast.
     j = df.join(F.broadcast(cuts), how="inner", on=F.lit(True))
     bkt = _two_level_bucket(F.col(order_col).cast("double"), F.col("_cuts"), side)
     if descending:
         bkt = F.lit(nb - 1) - bkt
-    return j.withColumn(BUCKET, bkt).drop("_cuts")
+    bkt = _coarsen(bkt, nb, F.col("_rows"), rows_per_bucket)
+    return j.withColumn(BUCKET, bkt).drop("_cuts", "_rows")
+
+
+def with_hash_buckets(df: DataFrame, hash_col: str, bits: int,
+                      rows_per_bucket: int | None = None) -> DataFrame:
+    """Adds ``_bkt`` from the top bits of a uniform 32-bit hash, coarsened to
+    about ``rows_per_bucket`` rows per bucket by a one-row count."""
+    cnt = df.agg(F.count(F.lit(1)).alias("_rows"))
+    j = df.join(F.broadcast(cnt), how="inner", on=F.lit(True))
+    bkt = _coarsen(hash_bucket(hash_col, bits), 1 << bits, F.col("_rows"), rows_per_bucket)
+    return j.withColumn(BUCKET, bkt).drop("_rows")
 
 
 def prefix_before(df: DataFrame, parts: Sequence[str], order_cols: Sequence[str],
                   weights: Sequence[str], n_buckets: int = 256,
                   bucket_col: Column | None = None, descending: bool = False,
-                  with_totals: bool = False) -> DataFrame:
+                  with_totals: bool = False, hash_bits: int | None = None) -> DataFrame:
     """Adds ``<w>_before`` for each weight: the sum of ``w`` over rows of the
     same part that sort strictly before this row; with ``with_totals`` also
     ``<w>_total``, the sum over the whole part.
 
     Rows must be distinct on ``parts + order_cols`` (pre-aggregate ties into
     one row with counts).  ``bucket_col`` must be monotone in the first order
-    column (non-increasing when ``descending``); by default quantile buckets
-    of the first order column are used.
+    column (non-increasing when ``descending``); with ``hash_bits`` the first
+    order column is a uniform 32-bit hash bucketed by its top bits; by
+    default quantile buckets of the first order column are used.
     """
     parts = list(parts)
-    if bucket_col is None:
+    if hash_bits is not None:
+        # first order column is a uniform 32-bit hash: its top bits are buckets
+        b = with_hash_buckets(df, order_cols[0], hash_bits)
+    elif bucket_col is None:
         b = with_quantile_buckets(df, order_cols[0], n_buckets, descending)
     else:
         b = df.withColumn(BUCKET, bucket_col)

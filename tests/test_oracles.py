@@ -34,3 +34,16 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["age_bin", "n_rows", "n_pos", "prevalence", "mean_bmi"]
     assert df.count() >= 1
+
+
+PREFIX_QUERIES = ["grouped_median_bmi", "global_median_bmi", "grouped_median_lineitem", "box_summary",
+                  "avg_ranks_age", "mann_whitney", "roc_auc", "roc_curve", "pr_curve",
+                  "average_precision", "fold_membership", "permuted_labels", "clean_table"]
+
+
+@pytest.mark.parametrize("name", PREFIX_QUERIES)
+def test_prefix_queries_many_buckets(spark, con, name, monkeypatch):
+    """Force tiny bucket windows so the multi-bucket prefix path is used."""
+    from raretab.operators import prefix
+    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 7)
+    test_query_matches_oracle(spark, con, name)
