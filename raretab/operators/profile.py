@@ -153,20 +153,24 @@ def class_means(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 def box_summary(df: DataFrame, features: Sequence[str], target: str,
                 n_buckets: int = 256) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme value inside the
-    fences) and the number of values outside, per feature and class."""
-    long = unpivot_numeric(df, features, target)
-    q = grouped_quantiles(long, ["feature", "y"], "value", [0.25, 0.5, 0.75],
-                          ["q1", "median", "q3"], n_buckets=n_buckets)
+    fences) and the number of values outside, per feature and class.
+    Everything is computed from one (feature, class, value) count table:
+    quartiles by bucketed ranks, whiskers and outliers by a join of that
+    table with the fences (one row per feature and class)."""
+    from .quantiles import value_counts
+    vc = value_counts(unpivot_numeric(df, features, target), ["feature", "y"], "value")
+    q = grouped_quantiles(None, ["feature", "y"], "value", [0.25, 0.5, 0.75],
+                          ["q1", "median", "q3"], n_buckets=n_buckets, counts=vc)
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("feature", "y", "n", "q1", "median", "q3",
                       (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
-    # fences: one row per (feature, class); AQE broadcasts it when small.
-    j = long.join(fences, ["feature", "y"])
+    j = vc.join(fences, ["feature", "y"])
     v = F.col("value")
     w = j.groupBy("feature", "y").agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi"),
-        F.count_if((v < F.col("_lo")) | (v > F.col("_hi"))).cast("bigint").alias("n_outliers"))
+        F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_n")).otherwise(F.lit(0)))
+        .cast("bigint").alias("n_outliers"))
     return fences.drop("_lo", "_hi").join(w, ["feature", "y"]).withColumnRenamed("y", "class")
 
 

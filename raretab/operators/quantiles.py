@@ -80,10 +80,12 @@ def median_scalar(df: DataFrame, value: str, n_buckets: int = 256) -> Column:
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                       qs: Sequence[float], names: Sequence[str] | None = None,
-                      n_buckets: int = 256) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per q."""
+                      n_buckets: int = 256, counts: DataFrame | None = None) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one column per q.
+    ``counts`` may pass a ready (keys..., value, _n) value-count table."""
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in qs])
-    r = _ranked(value_counts(df, keys, value), keys, value, n_buckets)
+    vc = counts if counts is not None else value_counts(df, keys, value)
+    r = _ranked(vc, keys, value, n_buckets)
     v = F.col(value).cast("double")
     aggs, finals, hits = [], [], []
     for q, name in zip(qs, names):
