@@ -183,3 +183,25 @@ def test_blocked_knn_is_exact(spark):
                knn_within(df, "id", "features", 3, n, block_size=64, n_projections=3).collect()}
     assert len(exact) == 3 * n
     assert blocked == exact
+
+
+def test_partition_invariance_median_and_auc(spark):
+    from raretab.operators import prefix
+    rows = [(("g%d" % (i % 3)), float((i * 37) % 101) / 7.0, int(i % 5 == 0)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "g string, v double, y int")
+    sc = df.select(F.lit("m").alias("model"), F.monotonically_increasing_id().alias("row_id"),
+                   "y", F.col("v").alias("p"))
+    out = []
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    saved = prefix.ROWS_PER_BUCKET
+    try:
+        for parts, rpb in ((1, 100_000), (16, 9)):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            prefix.ROWS_PER_BUCKET = rpb
+            med = sorted(tuple(r) for r in grouped_median(df.repartition(parts), ["g"], "v").collect())
+            auc = EV.roc_auc(sc.repartition(parts)).first()["auc_roc"]
+            out.append((med, auc))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        prefix.ROWS_PER_BUCKET = saved
+    assert out[0] == out[1]
