@@ -68,10 +68,22 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-              label: str = "y", n_buckets: int = 256) -> DataFrame:
-    """(groups..., threshold, fpr, tpr) for every distinct score, plus
-    the (0, 0) start at threshold +inf."""
+              label: str = "y", n_buckets: int = 256, drop_intermediate: bool = True) -> DataFrame:
+    """(groups..., threshold, fpr, tpr) per distinct score plus the
+    (0, 0) start at threshold +inf.  With ``drop_intermediate`` a point is
+    dropped when it is collinear with its neighbours (its successor in
+    descending score order adds the same positives and negatives); the
+    first and last points are kept.  The successor is found by an equi-join
+    on the cumulative row count, which is unique per distinct score."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
+    if drop_intermediate:
+        seen = F.col("tps") + F.col("fps")
+        succ = c.select(*groups, (seen - F.col("pos") - F.col("neg")).alias("_k"),
+                        F.col("pos").alias("_sp"), F.col("neg").alias("_sn"))
+        j = c.withColumn("_k", seen).join(succ, [*groups, "_k"], "left")
+        first = (seen - F.col("pos") - F.col("neg")) == 0
+        keep = first | F.col("_sp").isNull() | (F.col("_sp") != F.col("pos")) | (F.col("_sn") != F.col("neg"))
+        c = j.where(keep)
     pts = c.select(*groups, F.col(score).alias("threshold"),
                    safe_div(F.col("fps"), F.col("n_neg_all")).alias("fpr"),
                    safe_div(F.col("tps"), F.col("n_pos_all")).alias("tpr"))

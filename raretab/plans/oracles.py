@@ -427,7 +427,11 @@ ORACLES["roc_auc"] = with_fixtures("SELECT * FROM auc", "scored", extra=EVAL_CTE
 ORACLES["average_precision"] = with_fixtures("SELECT * FROM ap", "scored", extra=EVAL_CTES)
 
 ORACLES["roc_curve"] = with_fixtures(f"""
-  SELECT model, p AS threshold, {_sd('fps', 'NT')} AS fpr, {_sd('tps', 'PT')} AS tpr FROM cum
+  SELECT model, p AS threshold, {_sd('fps', 'NT')} AS fpr, {_sd('tps', 'PT')} AS tpr
+  FROM (SELECT *, lead(pos) OVER (PARTITION BY model ORDER BY p DESC) AS sp,
+               lead(neg) OVER (PARTITION BY model ORDER BY p DESC) AS sn,
+               row_number() OVER (PARTITION BY model ORDER BY p DESC) AS rn FROM cum) c
+  WHERE rn = 1 OR sp IS NULL OR sp <> pos OR sn <> neg
   UNION ALL SELECT DISTINCT model, 'inf'::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM scored""",
                                      "scored", extra=[(SC_CTE[0], SC_CTE[1].format(src="scored")), CUM_CTE])
 
