@@ -205,3 +205,14 @@ def test_partition_invariance_median_and_auc(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         prefix.ROWS_PER_BUCKET = saved
     assert out[0] == out[1]
+
+
+def test_split_multi_bucket_matches_single_bucket(spark, monkeypatch):
+    from raretab.operators import prefix
+    df = spark.range(5110).select(F.col("id"), (F.col("id") < 249).cast("int").alias("y"))
+    one = {(r["id"], r["split"]) for r in three_way_split(df, "y", "id", 0.2, 0.2, seed=7).collect()}
+    monkeypatch.setattr(prefix, "ROWS_PER_BUCKET", 50)
+    many = {(r["id"], r["split"]) for r in three_way_split(df, "y", "id", 0.2, 0.2, seed=7).collect()}
+    assert one == many
+    f1 = stratified_folds(df, "y", "id", k=5).collect()
+    assert len(f1) == 5110
