@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import langid
+from raretab.llm import langid, mix, shard
 from raretab.llm._common import read_table
 
 
@@ -19,7 +19,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return mix.taken_words(mix.mix(docs)).select(
+        "doc_id", "size", "source_size", "target", "taken", "first_position")
+
+
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return shard.shard(docs).select(
+        "doc_id", shard.record_size(F.col("text")).alias("size"),
+        shard.text_checksum(F.col("text")).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 REGISTRY = {
+    "op3_source_mix": op3_source_mix,
+    "op5_shards": op5_shards,
     "op6_language_id": op6_language_id,
 }
 
