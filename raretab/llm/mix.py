@@ -108,7 +108,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     per_source = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     rows, total = per_source.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
     block = max(1, min(block_words, total // least_blocks))
-    buckets = max(16, -(-rows // ROWS_PER_BUCKET))
+    buckets = max(128, -(-rows // ROWS_PER_BUCKET))
     sources = stage(source_targets(per_source.drop("_rows"), weights, max_repeat), "mix-sources")
 
     placed = (words.join(sources.select("source", "source_size", "_k", "target", "_want"),

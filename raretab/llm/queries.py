@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import langid, mix, shard
+from raretab.llm import langid, mix, quality, shard
 from raretab.llm._common import read_table
 
 
@@ -25,6 +25,13 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.quality(docs.select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "failed_rule")
+
+
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return shard.shard(docs).select(
@@ -35,6 +42,7 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op3_source_mix": op3_source_mix,
+    "op4_quality_rules": op4_quality_rules,
     "op5_shards": op5_shards,
     "op6_language_id": op6_language_id,
 }
