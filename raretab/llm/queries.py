@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import langid, mix, quality, shard
+from raretab.llm import jaccard, langid, mix, quality, shard
 from raretab.llm._common import read_table
 
 
@@ -40,10 +40,16 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "set_id")
+
+
 REGISTRY = {
     "op3_source_mix": op3_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op5_shards": op5_shards,
+    "op10_jaccard_join": op10_jaccard_join,
     "op6_language_id": op6_language_id,
 }
 
