@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import jaccard, langid, mix, quality, shard
+from raretab.llm import jaccard, langid, mix, quality, shard, substring
 from raretab.llm._common import read_table
 
 
@@ -40,6 +40,11 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_shingles", "component_id", "set_id")
@@ -49,6 +54,7 @@ REGISTRY = {
     "op3_source_mix": op3_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op5_shards": op5_shards,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op6_language_id": op6_language_id,
 }
