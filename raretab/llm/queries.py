@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import jaccard, langid, mix, quality, shard, substring
+from raretab.llm import jaccard, langid, mix, pack, quality, shard, substring
 from raretab.llm._common import read_table
 
 
@@ -19,6 +19,18 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """Paths of the public byte-level vocabulary and its rank file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack(read_table(spark, sf_dir, "documents"), *tokenizer_files()).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return mix.taken_words(mix.mix(docs)).select(
@@ -51,6 +63,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_packing": op2_packing,
     "op3_source_mix": op3_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op5_shards": op5_shards,
