@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\f\r"
 
-BLOCK_BYTES = 2_000_000     # text bytes handled at once inside a task
+BLOCK_BYTES = 500_000       # text bytes handled at once inside a task
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import jaccard, langid, mix, pack, quality, shard, substring
+from raretab.llm import jaccard, langid, mix, pack, pii, quality, shard, substring
 from raretab.llm._common import read_table
 
 
@@ -52,6 +52,14 @@ def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.count_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS],
+        F.sha2(pii.span_string(F.col("base")), 256).alias("base_sha256"),
+        pii.span_string(F.col("spans")).alias("spans"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -67,6 +75,7 @@ REGISTRY = {
     "op3_source_mix": op3_source_mix,
     "op4_quality_rules": op4_quality_rules,
     "op5_shards": op5_shards,
+    "op7_personal_data": op7_personal_data,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op6_language_id": op6_language_id,
