@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import jaccard, langid, mix, pack, pii, quality, shard, substring, suffix
+from raretab.llm import jaccard, langid, mix, pack, pii, quality, search, shard, substring, suffix
 from raretab.llm._common import read_table
 
 
@@ -19,6 +19,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "lang_pred", "score"))
 
 
+def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every document whose id is divisible by 20, against all."""
+    docs = read_table(spark, sf_dir, "documents")
+    queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, queries)
+
+
 def tokenizer_files() -> tuple[str, str]:
     """Paths of the public byte-level vocabulary and its rank file."""
     import public_tokenizers
@@ -76,6 +83,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_bm25_search": op1_bm25_search,
     "op2_packing": op2_packing,
     "op3_source_mix": op3_source_mix,
     "op4_quality_rules": op4_quality_rules,
