@@ -125,7 +125,7 @@ def block_max_wand(lists: list[tuple[list, list, list]], k: int, rank: list) ->
         else:
             # no document before the first block end (or the next list) can do it
             nxt = min([lists[i][0][min(len(lists[i][0]), (cursor[i] // BLOCK + 1) * BLOCK) - 1] for i in here]) + 1
-            others = [lists[i][0][cursor[i]] for i in live[pivot + 1:]]
+            others = [lists[i][0][cursor[i]] for i in live if i not in here and cursor[i] < len(lists[i][0])]
             nxt = max(doc + 1, min([nxt, *others]))
         for i in here:
             cursor[i] = _advance(lists[i][0], cursor[i], nxt)
