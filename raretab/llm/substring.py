@@ -7,7 +7,8 @@ cover is a block, the seed extended as far as that seed reaches to both sides.
 Documents are joined on seeds that occur twice or more.  Blocks that are equal
 as a whole are repeats at once; where blocks of one seed differ, the extension
 stops inside them, and their windows are compared one by one, one block of each
-kind standing for its copies.  Covered words of all repeated windows merge into
+kind standing for its copies.  Equal blocks met in one batch leave the task as
+one row with its further places.  Covered words of all repeated windows merge into
 maximal repeats.
 
 Joins are on (seed, block) or (seed, window) keys against grouped counts; no
@@ -84,10 +85,19 @@ def _emit_runs(window: int, gram: int):
             for lo, _, data, off in text_blocks(batch.column("text")):
                 h, _, _, first = word_hashes(data, off, letters)
                 seed, block, row, begin, size = seed_runs(h, first, window, gram, words)
+                kind, at, weight = np.unique(block, return_inverse=True, return_counts=True)
+                order = np.argsort(at, kind="stable")               # equal blocks side by side
+                head = np.concatenate([[0], np.cumsum(weight)])
+                one = order[head[:-1]]
+                more = np.delete(order, head[:-1])
+                key, begin = keys[lo + row], begin.astype(np.int32)
+                others = pa.ListArray.from_arrays(
+                    pa.array((head - np.arange(len(head))).astype(np.int32)),
+                    pa.StructArray.from_arrays([pa.array(key[more]), pa.array(begin[more])], ["row_key", "begin"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(seed).view(np.int64)), pa.array(block.view(np.int64)), pa.array(keys[lo + row]),
-                     pa.array(begin.astype(np.int32)), pa.array(size.astype(np.int32))],
-                    ["seed", "block", "row_key", "begin", "n"])
+                    [pa.array(mix64(seed[one]).view(np.int64)), pa.array(kind.view(np.int64)), pa.array(key[one]),
+                     pa.array(begin[one]), pa.array(size[one].astype(np.int32)), pa.array(weight.astype(np.int64)), others],
+                    ["seed", "block", "row_key", "begin", "n", "weight", "others"])
     return runs
 
 
@@ -151,12 +161,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     def runs() -> DataFrame:
         return texts.select("row_key", "text").mapInArrow(
-            _emit_runs(window, gram), "seed long, block long, row_key long, begin int, n int")
+            _emit_runs(window, gram), "seed long, block long, row_key long, begin int, n int, weight long, "
+            "others array<struct<row_key: long, begin: int>>")
 
-    again = runs().groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed")
+    again = runs().groupBy("seed").agg(F.sum("weight").alias("_c")).where("_c > 1").select("seed")
     shared = stage(runs().join(again, "seed"), "substring-runs")
-    blocks = shared.groupBy("seed", "block").agg(F.count("*").alias("weight"), F.min(F.struct("row_key", "begin", "n")).alias("r"))
-    whole = shared.join(blocks.where("weight > 1").select("seed", "block"), ["seed", "block"]).select("row_key", "begin", "n")
+    blocks = shared.groupBy("seed", "block").agg(F.sum("weight").alias("weight"), F.min(F.struct("row_key", "begin", "n")).alias("r"))
+    twice = shared.join(blocks.where("weight > 1").select("seed", "block"), ["seed", "block"])
+    whole = twice.select("row_key", "begin", "n").union(
+        twice.select("n", F.explode("others").alias("o")).select("o.row_key", "o.begin", "n"))
 
     several = blocks.groupBy("seed").agg(F.count("*").alias("_c")).where("_c > 1").select("seed")
     open_runs = (blocks.join(several, "seed").select("r.row_key", F.struct("r.begin", "r.n", "seed", "weight").alias("run"))
