@@ -59,13 +59,6 @@ def safe_div(num: Column, den: Column) -> Column:
     return F.coalesce(num.cast("double") / F.nullif(den.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
-def flag_at(score: str | Column, threshold: str | Column | float) -> Column:
-    """Decision ``score >= threshold`` as 0/1 int."""
-    thr = threshold if isinstance(threshold, Column) else (
-        F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold)))
-    return (col(score) >= thr).cast("int")
-
-
 def neg_log10_floor(p: str | Column, floor: float = 1e-300) -> Column:
     """``-log10(max(p, floor))``."""
     return -F.log10(F.greatest(col(p), F.lit(floor)))

@@ -26,31 +26,33 @@ def normal_two_sided(z: float) -> float:
     return min(1.0, math.erfc(z / math.sqrt(2.0)))
 
 
+def _log_sum(logs: list[float]) -> float:
+    """log(sum(exp(l))) without overflow."""
+    top = max(logs)
+    return top + math.log(math.fsum(math.exp(x - top) for x in logs))
+
+
 def chi2_sf(x: float, k: int) -> float:
-    """Upper tail of the chi-square distribution with integer dof ``k``."""
+    """Upper tail of the chi-square distribution with integer dof ``k``.
+
+    The closed-form sums are taken over logarithms of their terms, so large
+    ``k`` and large ``x`` neither overflow nor lose the tail; NaN stays NaN."""
     if x is None or k is None or math.isnan(x):
         return float("nan")
     k = int(k)
-    if k <= 0:
-        return 1.0
-    if x <= 0:
+    if k <= 0 or x <= 0:
         return 1.0
+    if math.isinf(x):
+        return 0.0
     h = x / 2.0
+    log_h = math.log(h)
     if k % 2 == 0:
-        term, total = 1.0, 1.0
-        for i in range(1, k // 2):
-            term *= h / i
-            total += term
-        return min(1.0, math.exp(-h) * total)
-    total = math.erfc(math.sqrt(h))
-    # terms h^(i-1/2) / Gamma(i+1/2), i = 1..(k-1)/2, built by recurrence
-    term = math.sqrt(h) / math.gamma(1.5)
-    acc = 0.0
-    for i in range(1, (k - 1) // 2 + 1):
-        if i > 1:
-            term *= h / (i - 0.5)
-        acc += term
-    return min(1.0, total + math.exp(-h) * acc)
+        return min(1.0, math.exp(_log_sum([i * log_h - math.lgamma(i + 1.0) for i in range(k // 2)]) - h))
+    head = math.erfc(math.sqrt(h))
+    if k == 1:
+        return min(1.0, head)
+    logs = [(i - 0.5) * log_h - math.lgamma(i + 0.5) for i in range(1, (k - 1) // 2 + 1)]
+    return min(1.0, head + math.exp(_log_sum(logs) - h))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -34,6 +34,8 @@ def kde_grid(df: DataFrame, features: Sequence[str], target: str,
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("value").alias("_sd"),
         F.min("value").alias("_mn"), F.max("value").alias("_mx"))
     st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2)))
+    # a constant column (or a single value) has no bandwidth and no density rows
+    st = st.where(F.col("_h") > 0)
     st = (st.withColumn("_lo", F.col("_mn") - F.col("_h") * cut)
           .withColumn("_hi", F.col("_mx") + F.col("_h") * cut))
     step = (F.col("_hi") - F.col("_lo")) / F.lit(float(grid_size - 1))
@@ -42,8 +44,9 @@ def kde_grid(df: DataFrame, features: Sequence[str], target: str,
                      step.alias("_step"))
     grid = grid.withColumn("x", F.when(F.col("j") == grid_size - 1, F.col("_hi"))
                            .otherwise(F.col("_lo") + F.col("j") * F.col("_step")))
-    # grid: features x classes x 200 rows; AQE broadcasts it when small.
-    j = vc.join(grid.select("feature", "y", "j", "x", "_n", "_h"), ["feature", "y"])
+    # features x classes x 200 rows, whatever the data size: broadcast instead of
+    # shuffling the counts on a few (feature, class) keys
+    j = vc.join(F.broadcast(grid.select("feature", "y", "j", "x", "_n", "_h")), ["feature", "y"])
     z = (F.col("x") - F.col("value")) / F.col("_h")
     dens = j.groupBy("feature", "y", "j", "x").agg(
         (F.sum(F.col("_c") * F.exp(-0.5 * z * z))

@@ -64,7 +64,8 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
     g = r.groupBy(*groups).agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / 2.0)).alias("_s"),
         F.max("pos_total").alias("_P"), F.max("neg_total").alias("_N"))
-    return g.select(*groups, (F.col("_s") / (F.col("_P").cast("double") * F.col("_N"))).alias("auc_roc"))
+    # a group of one class has no AUC (null), the others keep theirs
+    return g.select(*groups, F.try_divide(F.col("_s"), F.col("_P").cast("double") * F.col("_N")).alias("auc_roc"))
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
@@ -108,14 +109,14 @@ def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def average_precision(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-                      label: str = "y", n_buckets: int = 256, digits: int = 10) -> DataFrame:
+                      label: str = "y", n_buckets: int = 256) -> DataFrame:
     """W6 + W7: AP = sum_s (pos_s / P) * precision_s (step interpolation),
     and the no-skill baseline P / (P + N)."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
     prec = F.col("tps").cast("double") / (F.col("tps") + F.col("fps"))
     g = c.groupBy(*groups).agg(F.sum(F.col("pos") * prec).alias("_s"), F.max("n_pos_all").alias("_P"),
                                F.max("n_neg_all").alias("_N"))
-    return g.select(*groups, F.round(safe_div(F.col("_s"), F.col("_P")), digits).alias("auc_pr"),
+    return g.select(*groups, safe_div(F.col("_s"), F.col("_P")).alias("auc_pr"),
                     (F.col("_P").cast("double") / (F.col("_P") + F.col("_N"))).alias("baseline"))
 
 
@@ -186,7 +187,8 @@ def decisions(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str] =
               score: str = "p") -> DataFrame:
     """Per (mode, group) row decisions ``p >= threshold``.  The
     threshold table has one row per (mode, group)."""
-    j = scored.join(thresholds, list(groups))
+    # modes x models rows, bounded by code: broadcast, so rows are not shuffled on a few models
+    j = scored.join(F.broadcast(thresholds), list(groups))
     return j.withColumn("pred", (F.col(score) >= F.col("threshold")).cast("int"))
 
 
@@ -241,12 +243,13 @@ def metric_matrix(results: DataFrame, models: Sequence[str], model_col: str = "m
 
 
 def soft_vote(scored: DataFrame, name: str = "voting", id_col: str = "row_id",
-              label: str = "y", score: str = "p", models: Sequence[str] | None = None,
-              digits: int = 12) -> DataFrame:
+              label: str = "y", score: str = "p", models: Sequence[str] | None = None) -> DataFrame:
     """Unweighted mean of the models' scores per row, as a new
-    model in the long table (rounded so the sum order cannot show)."""
+    model in the long table; scores are summed in sorted order, so the result
+    does not depend on the order in which rows arrive."""
     src = scored if models is None else scored.where(F.col("model").isin(list(models)))
-    v = src.groupBy(id_col, label).agg(F.round(F.avg(score), digits).alias(score))
+    v = src.groupBy(id_col, label).agg((F.aggregate(
+        F.sort_array(F.collect_list(score)), F.lit(0.0), lambda a, x: a + x) / F.count(score)).alias(score))
     return v.select(F.lit(name).alias("model"), id_col, label, score)
 
 

@@ -14,28 +14,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import safe_div
+from ..functions.exprs import nan_to_null, safe_div
 from .quantiles import grouped_quantiles
 
 
 # --- long forms --------------------------------------------------------------
 
 def unpivot_numeric(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """(feature, value double, y) with nulls dropped per feature (P10)."""
+    """(feature, value double, y) with missing values (null or NaN) dropped per
+    feature and rows without a label left out (P10)."""
     long = df.select(F.col(target).cast("int").alias("y"), F.explode(F.array(*[
-        F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"))
+        F.struct(F.lit(f).alias("feature"), nan_to_null(F.col(f).cast("double")).alias("value"))
         for f in features])).alias("_kv"))
     return (long.select(F.col("_kv.feature").alias("feature"), F.col("_kv.value").alias("value"), "y")
-            .where(F.col("value").isNotNull()))
+            .where(F.col("value").isNotNull() & F.col("y").isNotNull()))
 
 
 def unpivot_levels(df: DataFrame, features: Sequence[str], target: str,
                    keep_null: bool = False) -> DataFrame:
-    """(feature, level string, y); null levels dropped unless ``keep_null``."""
+    """(feature, level string, y); null levels dropped unless ``keep_null``;
+    rows without a label belong to no class and are left out."""
     long = df.select(F.col(target).cast("int").alias("y"), F.explode(F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("level"))
         for f in features])).alias("_kv"))
     out = long.select(F.col("_kv.feature").alias("feature"), F.col("_kv.level").alias("level"), "y")
+    out = out.where(F.col("y").isNotNull())
     return out if keep_null else out.where(F.col("level").isNotNull())
 
 
@@ -84,10 +87,17 @@ def class_extremes(df: DataFrame, target: str) -> DataFrame:
 # --- missing values ----------------------------------------------------------
 
 def null_counts(df: DataFrame, only_nonzero: bool = True) -> DataFrame:
-    """A8 + A9: (column, n_null, null_rate) from a single aggregation."""
+    """A8 + A9: (column, n_null, null_rate) from a single aggregation; NaN
+    counts as missing."""
     cols = df.columns
+    floating = {c for c, kind in df.dtypes if kind in ("double", "float")}
+
+    def missing(c: str) -> Column:
+        x = F.col(f"`{c}`")
+        return x.isNull() | F.isnan(x) if c in floating else x.isNull()
+
     agg = df.agg(F.count(F.lit(1)).alias("_rows"), *[
-        F.count_if(F.col(f"`{c}`").isNull()).alias(f"_nn{i}") for i, c in enumerate(cols)])
+        F.count_if(missing(c)).alias(f"_nn{i}") for i, c in enumerate(cols)])
     long = agg.select("_rows", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"_nn{i}").alias("n_null"))
         for i, c in enumerate(cols)])).alias("_kv"))
@@ -164,25 +174,37 @@ def box_summary(df: DataFrame, features: Sequence[str], target: str,
     iqr = F.col("q3") - F.col("q1")
     fences = q.select("feature", "y", "n", "q1", "median", "q3",
                       (F.col("q1") - 1.5 * iqr).alias("_lo"), (F.col("q3") + 1.5 * iqr).alias("_hi"))
-    j = vc.join(fences, ["feature", "y"])
+    # one row per feature and class: broadcast, so the counts are not shuffled on those few keys
+    j = vc.join(F.broadcast(fences), ["feature", "y"])
     v = F.col("value")
     w = j.groupBy("feature", "y").agg(
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
         F.max(F.when(v <= F.col("_hi"), v)).alias("whisker_hi"),
         F.sum(F.when((v < F.col("_lo")) | (v > F.col("_hi")), F.col("_n")).otherwise(F.lit(0)))
         .cast("bigint").alias("n_outliers"))
-    return fences.drop("_lo", "_hi").join(w, ["feature", "y"]).withColumnRenamed("y", "class")
+    # no value between a quartile and its fence: the whisker ends at the quartile
+    w = w.join(F.broadcast(fences), ["feature", "y"])
+    return w.select("feature", F.col("y").alias("class"), "n", "q1", "median", "q3",
+                    F.least("whisker_lo", "q1").alias("whisker_lo"),
+                    F.greatest("whisker_hi", "q3").alias("whisker_hi"), "n_outliers")
+
+
+def _pearson(a: str, b: str) -> Column:
+    """Pearson r over rows where both are known; null when one does not vary
+    (the built-in ``corr`` divides by zero there)."""
+    x, y = nan_to_null(F.col(a).cast("double")), nan_to_null(F.col(b).cast("double"))
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 10) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair (one agg)."""
     cols = list(columns)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    agg = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double"))
-                   .alias(f"_r{i}_{j}") for i, j in pairs]) if pairs else None
+    agg = df.agg(*[_pearson(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in pairs]) if pairs else None
     items = []
     for i, j in pairs:
-        r = F.round(F.col(f"_r{i}_{j}"), digits)
+        r = F.col(f"_r{i}_{j}")
         items.append(F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"), r.alias("r")))
         items.append(F.struct(F.lit(cols[j]).alias("col_i"), F.lit(cols[i]).alias("col_j"), r.alias("r")))
     for c in cols:
@@ -191,14 +213,12 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int = 10)
     return base.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*")
 
 
-def target_correlations(df: DataFrame, columns: Sequence[str], target: str,
-                        digits: int = 10) -> DataFrame:
+def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Correlation of each feature with the target, ranked by |r|."""
     feats = [c for c in columns if c != target]
-    agg = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(f"_r{i}")
-                   for i, c in enumerate(feats)])
+    agg = df.agg(*[_pearson(c, target).alias(f"_r{i}") for i, c in enumerate(feats)])
     long = agg.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.round(F.col(f"_r{i}"), digits).alias("r"))
+        F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r"))
         for i, c in enumerate(feats)])).alias("_kv")).select("_kv.*")
     return long.withColumn("rank", F.row_number().over(
         Window.orderBy(F.abs("r").desc_nulls_last(), F.col("feature"))))

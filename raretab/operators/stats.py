@@ -39,18 +39,21 @@ def mann_whitney(df: DataFrame, features: Sequence[str], target: str,
     the tie- and continuity-corrected normal approximation."""
     ranks = average_ranks(unpivot_numeric(df, features, target), ["feature"], "value",
                           n_buckets=n_buckets)
-    t = F.col("t").cast("double")
+    # exact sums: twice the mid-rank and t^3 - t are integers, summed as decimals
+    twice = (2 * F.col("t_before") + F.col("t") + 1).cast("decimal(19,0)")
+    t = F.col("t").cast("decimal(12,0)")
     g = ranks.groupBy("feature").agg(
         F.sum("n0").alias("n0"), F.sum("n1").alias("n1"),
-        F.sum(F.col("n0") * F.col("avg_rank")).alias("_r0"),
-        F.sum(t * t * t - t).alias("_ties"))
+        (F.sum(F.col("n0").cast("decimal(18,0)") * twice).cast("double") / 2).alias("_r0"),
+        F.sum((t * t - 1) * t).cast("double").alias("_ties"))
     n0, n1 = F.col("n0").cast("double"), F.col("n1").cast("double")
     n = n0 + n1
     u0 = F.col("_r0") - n0 * (n0 + 1) / 2
     mu = n0 * n1 / 2
     u_big = F.greatest(u0, n0 * n1 - u0)
-    sigma = F.sqrt(n0 * n1 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
-    z = (u_big - mu - 0.5) / sigma
+    sigma = F.sqrt(F.greatest(n0 * n1 / 12 * ((n + 1) - F.try_divide(F.col("_ties"), n * (n - 1))), F.lit(0.0)))
+    # one value throughout: no evidence either way, z = 0 (p = 1); an absent class has no test
+    z = F.when((n0 > 0) & (n1 > 0), F.coalesce(F.try_divide(u_big - mu - 0.5, sigma), F.lit(0.0)))
     return g.select("feature", F.col("n0").cast("bigint").alias("n0"),
                     F.col("n1").cast("bigint").alias("n1"),
                     u0.alias("u_stat"), z.alias("z"))

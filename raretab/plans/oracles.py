@@ -321,7 +321,7 @@ ORACLES["split_membership"] = with_fixtures("SELECT patient_id, split FROM split
                                             extra=SPLIT_CTES)
 
 FOLD_CTE = [("folds", f"""SELECT patient_id, stroke_event,
-    CAST((row_number() OVER (PARTITION BY stroke_event ORDER BY {_h('patient_id', '42:fold')}, patient_id) - 1) % 5
+    CAST((row_number() OVER (ORDER BY stroke_event, {_h('patient_id', '42:fold')}, patient_id) - 1) % 5
          AS INTEGER) AS fold FROM patients""")]
 
 ORACLES["fold_sizes"] = with_fixtures(
@@ -348,7 +348,7 @@ ORACLES["permuted_labels"] = with_fixtures(f"""
 
 # --- step 5: evaluation on formula scores ------------------------------------
 
-VOTE = ("vote", """SELECT 'voting' AS model, row_id, y, round(avg(p), 12) AS p
+VOTE = ("vote", """SELECT 'voting' AS model, row_id, y, list_reduce(list_prepend(0.0, list_sort(list(p))), lambda a, x: a + x) / count(p) AS p
                    FROM scored GROUP BY row_id, y""")
 SV = ("sv", "SELECT * FROM scored UNION ALL SELECT * FROM vote")
 

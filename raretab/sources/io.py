@@ -27,9 +27,43 @@ INDEX_COLUMN = "Unnamed: 0"
 
 
 def normalise_missing(c: str, tokens: Sequence[str] = MISSING_TOKENS) -> Column:
-    """A string column with any missing token (after trimming) -> NULL."""
+    """A string column with any missing token (compared as written) -> NULL."""
     x = F.col(f"`{c}`")
-    return F.when(F.trim(x).isin(list(tokens)), F.lit(None)).otherwise(x)
+    return F.when(x.isin(list(tokens)), F.lit(None)).otherwise(x)
+
+
+# Doubled quotes, quoted separators and quoted newlines, for reading and writing alike.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "multiLine": True,
+               "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def infer_types(raw: DataFrame) -> dict[str, str]:
+    """Column -> ``bigint`` / ``double`` when every non-missing text casts,
+    from one aggregation over all rows; other columns stay strings."""
+    cols = raw.columns
+    if not cols:
+        return {}
+    got = raw.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(F.col(f"`{c}`")).alias(f"_n{i}"),
+        F.count(F.col(f"`{c}`").try_cast("bigint")).alias(f"_l{i}"),
+        F.count(F.col(f"`{c}`").try_cast("double")).alias(f"_d{i}"))]).first()
+    out = {}
+    for i, c in enumerate(cols):
+        n, whole, real = got[f"_n{i}"], got[f"_l{i}"], got[f"_d{i}"]
+        if n and whole == n:
+            out[c] = "bigint"
+        elif n and real == n:
+            out[c] = "double"
+    return out
+
+
+def failed_casts(raw: DataFrame, targets: Mapping[str, str]) -> DataFrame:
+    """(column, n_failed): non-missing texts that a safe cast turns into NULL."""
+    named = [c for c in raw.columns if targets.get(c, "string") != "string"]
+    agg = raw.agg(*[F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(targets[c]).isNull())
+                    .alias(f"_f{i}") for i, c in enumerate(named)] or [F.lit(0).alias("_none")])
+    return agg.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_f{i}").alias("n_failed"))
+                                          for i, c in enumerate(named)])).alias("_kv")).select("_kv.*")
 
 
 def read_csv(spark: SparkSession, path: str,
@@ -38,20 +72,23 @@ def read_csv(spark: SparkSession, path: str,
     """S1 + S2 + S4: header CSV, missing tokens -> NULL, safe casts, and the
     accidental index column dropped when present.
 
-    ``schema`` gives target types per column; columns not named stay strings.
-    Without a schema, numeric columns are not guessed: pass one for typed use.
+    ``schema`` gives target types per column, columns not named staying
+    strings; without one, numeric columns are found by ``infer_types``.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = spark.read.options(**CSV_OPTIONS, inferSchema=False).csv(path)
+    raw = raw.select(*[normalise_missing(c, tokens).alias(c) for c in raw.columns])
     targets: dict[str, str] = {}
-    if isinstance(schema, T.StructType):
+    if schema is None:
+        targets = infer_types(raw)
+    elif isinstance(schema, T.StructType):
         targets = {f.name: f.dataType.simpleString() for f in schema.fields}
     elif schema:
         targets = dict(schema)
     cols = []
     for c in raw.columns:
-        v = normalise_missing(c, tokens)
+        v = F.col(f"`{c}`")
         if c in targets and targets[c] != "string":
-            v = F.try_cast(v, targets[c]) if hasattr(F, "try_cast") else v.try_cast(targets[c])
+            v = v.try_cast(targets[c])
         cols.append(v.alias(c))
     return drop_index_column(raw.select(*cols))
 
@@ -85,12 +122,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.options(**CSV_OPTIONS).csv(path)
     else:
         w.format(fmt).save(path)
 
-
-def long_results_table(spark: SparkSession, rows: Sequence[Mapping[str, object]],
-                       schema: str) -> DataFrame:
-    """A small literal results table (e.g. metrics reported elsewhere)."""
-    return spark.createDataFrame([tuple(r.values()) for r in rows], schema=schema)
