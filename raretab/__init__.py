@@ -7,7 +7,6 @@ functions  column expressions (hash uniforms, bins, safe ratios, p-values)
 operators  DataFrame operators: dedup, impute, encode, profile, prefix sums,
            statistical tests, splits, evaluation, oversampling, models
 plans      end-to-end jobs: cleaning, profiling report, two-phase ensemble
-streaming  (intentionally empty: the analysed workload is batch only)
 """
 
 __version__ = "0.1.0"

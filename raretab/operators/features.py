@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,13 +60,13 @@ def model_features(df: DataFrame) -> DataFrame:
     })
 
 
-def extra_features(df: DataFrame, bmi_median: float) -> DataFrame:
+def extra_features(df: DataFrame, bmi_median: Column) -> DataFrame:
     """Features named only in the documentation; our definitions."""
     a, g, b = F.col("age"), F.col("glucose_level"), F.col("bmi_value")
     return df.withColumns({
         "age_over_10": a / 10,
         "glucose_per_bmi": g / F.nullif(b, F.lit(0.0)),
-        "bmi_deviation": b - F.lit(float(bmi_median)),
+        "bmi_deviation": b - bmi_median,
     })
 
 
@@ -89,11 +89,6 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.NumericType) and f.name not in ex]
 
 
-def class_rows(df: DataFrame, target: str, cls: int, feature: str) -> DataFrame:
-    """P10: non-null values of one feature within one class."""
-    return df.where((F.col(target) == cls) & F.col(feature).isNotNull()).select(feature)
-
-
 # The documented high-risk profile (age, hypertension,
 # glucose, heart disease; flagged when at least 3 of 4 hold).
 PROFILE_AGE = 60

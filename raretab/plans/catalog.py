@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import dedup as D
@@ -420,13 +420,30 @@ def q_high_risk_profile(spark, sf):
 
 @query("extra_features")
 def q_extra_features(spark, sf):
-    from ..operators.quantiles import grouped_median
+    from ..operators.features import extra_features
+    from ..operators.quantiles import median_scalar
     p = FX.patients(spark, sf)
-    med = grouped_median(p, [], "bmi_value", "_m").select("_m").scalar()
-    a, g, b = F.col("age"), F.col("glucose_level"), F.col("bmi_value")
-    return p.select("patient_id", (a / 10).alias("age_over_10"),
-                    F.round(g / F.nullif(b, F.lit(0.0)), 10).alias("glucose_per_bmi"),
-                    F.round(b - med, 10).alias("bmi_deviation"))
+    x = extra_features(p, median_scalar(p, "bmi_value")).select(
+        "patient_id", "age_over_10", "glucose_per_bmi", "bmi_deviation")
+    return _rounded(_rounded(x, "glucose_per_bmi", 10), "bmi_deviation", 10)
+
+
+@query("correlation_by_type")
+def q_correlation_by_type(spark, sf):
+    """P11 + A19: every numeric column of the table, chosen by type."""
+    from ..operators.features import numeric_columns
+    p = FX.patients(spark, sf)
+    return _rounded(PR.correlation_matrix(p, numeric_columns(p, exclude=[FX.ID_COL])), "r", 8)
+
+
+@query("chart_labels")
+def q_chart_labels(spark, sf):
+    """Chart text: title-cased names and ``count (share%)`` per class."""
+    from ..functions.exprs import title_label
+    c = PR.class_counts(FX.patients(spark, sf), FX.TARGET)
+    total = F.sum("count").over(Window.partitionBy())
+    return c.select("class", title_label(F.lit(FX.TARGET)).alias("title"),
+                    PR.share_label(F.col("count"), total).alias("label"))
 
 
 @query("label_codes")
@@ -446,35 +463,20 @@ def q_preprocess_train_apply(spark, sf):
 
 # --- step 7: models (rows-only checks) ------------------------------------------
 
-def _small_specs():
-    from ..operators import models as MD
-    specs = MD.default_specs(trees=20, rounds=20)
-    specs[0].params["maxIter"] = 200
-    return specs
-
-
 @query("base_model_results")
 def q_base_model_results(spark, sf):
-    """Base models fit on the full training split (oversampled), scored on
-    test, evaluated with thresholds tuned on the same scores' sweep
-    (reduced tree counts: 20 trees / 20 rounds)."""
+    """Both phases for the base models and their vote, uncut settings: fit on
+    the inner training split, tune thresholds on validation, refit on the full
+    training split, evaluate on test with those thresholds."""
     from . import ensemble as EN
-    from ..session import cut_lineage
-    data = cut_lineage(EN.prepare(FX.patients_raw(spark, sf)))
-    sp = cut_lineage(SP.three_way_split(data, FX.TARGET, "row_id", 0.2, 0.2, 42))
-    full = sp.where(F.col("split") != "test").drop("split")
-    test = sp.where(F.col("split") == "test").drop("split")
-    pre = fit_preprocess(full, list(FX.CATEGORICAL))
-    tr, te = cut_lineage(EN.design(pre, full)), cut_lineage(EN.design(pre, test))
-    fitted = EN._fit_all(spark, _small_specs(), tr, 42, 1.0)
-    s = cut_lineage(EN._score_all(fitted, te))
-    return EV.results_table(s, EV.tune_thresholds(EV.threshold_sweep(s)))
+    return EN.run_ensemble(spark, FX.patients_raw(spark, sf), stacking=False).results
 
 
 @query("label_shuffle_auc")
 def q_label_shuffle_auc(spark, sf):
     from . import ensemble as EN
-    return EN.label_shuffle_auc(spark, FX.patients_raw(spark, sf), _small_specs())
+    from ..operators import models as MD
+    return EN.label_shuffle_auc(spark, FX.patients_raw(spark, sf), MD.default_specs())
 
 
 # --- step 8: sinks, chart tables, report extras -----------------------------------
@@ -529,8 +531,7 @@ def q_chi_square_extended(spark, sf):
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
-    """M9 + K3: boosted-model importances on the full training split
-    (reduced to 20 rounds)."""
+    """M9 + K3: boosted-model importances on the full training split."""
     from . import ensemble as EN
     from ..operators import models as MD
     from ..session import cut_lineage
@@ -539,8 +540,8 @@ def q_feature_importance(spark, sf):
     full = sp.where(F.col("split") != "test").drop("split")
     pre = fit_preprocess(full, list(FX.CATEGORICAL))
     tr = cut_lineage(EN.design(pre, full))
-    gbt = [s for s in _small_specs() if s.kind == "boosted"]
-    fitted = EN._fit_all(spark, gbt, tr, 42, 1.0)
+    gbt = [s for s in MD.default_specs() if s.kind == "boosted"]
+    fitted = EN._fit_all(spark, gbt, tr, 42, EN.positive_weight(tr))
     return MD.feature_importance(spark, fitted[gbt[0].name], EN.FEATURE_COLS)
 
 

@@ -156,8 +156,7 @@ ORACLES["contingency_long"] = with_fixtures(f"""
 
 ORACLES["category_counts"] = with_fixtures(f"""
   SELECT c.feature, c.level,
-         row_number() OVER (PARTITION BY c.feature ORDER BY lt.tot DESC, c.level ASC NULLS LAST) * 0
-           + r.freq_rank AS freq_rank, c.y, c.count
+         r.freq_rank, c.y, c.count
   FROM (SELECT feature, level, y, CAST(count(*) AS BIGINT) AS count
         FROM ({unpivot_lvl_sql("patients", ["gender", "employment_type", "residence", "smoking_habit"], keep_null=True)}) u
         GROUP BY ALL) c
@@ -211,6 +210,22 @@ ORACLES["box_summary"] = with_fixtures(f"""
     ON u.feature = f.feature AND u.y = f.y
   GROUP BY f.feature, f.y, f.n, f.q1, f.median, f.q3""", "patients")
 
+def correlation_sql(cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{a}' AS col_i, '{b}' AS col_j, " + (
+            "1.0::DOUBLE" if a == b else f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 8)") + " AS r"
+        + ("" if a == b else " FROM patients") for a in cols for b in cols)
+
+
+ORACLES["correlation_by_type"] = with_fixtures(correlation_sql(
+    ["age", "has_hypertension", "has_heart_disease", "marital_status", "glucose_level", "bmi_value",
+     "high_glucose", "risk_score", "stroke_event"]), "patients")
+
+ORACLES["chart_labels"] = with_fixtures("""
+  SELECT stroke_event AS class, 'Stroke Event' AS title,
+         printf('%d\n(%.1f%%)', count(*), count(*) * 100.0 / sum(count(*)) OVER ()) AS label
+  FROM patients GROUP BY stroke_event""", "patients")
+
 _pairs = [(a, b) for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:]]
 ORACLES["correlation_matrix"] = with_fixtures(
     " UNION ALL ".join(
