@@ -46,7 +46,7 @@ from raretab.llm.substring import seed_runs
 
 GRAM = 16
 BYTES = 0xD6E8FEB86659FD93
-BUCKET_BYTES = 32 << 20     # text bytes whose seeds share a bucket
+BUCKET_BYTES = 12 << 20     # text bytes whose seeds share a bucket
 NO_DOC = (1 << 63) - 1
 
 
