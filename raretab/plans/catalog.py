@@ -189,7 +189,13 @@ def q_chi_square(spark, sf):
 
 @query("test_battery")
 def q_test_battery(spark, sf):
-    return ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET)
+    return _rounded_tests(ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET))
+
+
+def _rounded_tests(t: DataFrame) -> DataFrame:
+    for c, digits in (("p_value", 12), ("statistic", 6), ("neg_log10_p", 6)):
+        t = _rounded(t, c, digits)
+    return t
 
 
 # --- step 3: splits, folds, permutation --------------------------------------
@@ -502,8 +508,8 @@ def q_test_summary_sink(spark, sf):
     from ..session import ensure_checkpoint_dir
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tests-{uuid.uuid4().hex}"
     IO.write_table(ST.test_battery(FX.patients(spark, sf), NUM, CAT, FX.TARGET), path, fmt="csv")
-    return IO.read_csv(spark, path, {"p_value": "double", "statistic": "double",
-                                     "neg_log10_p": "double"})
+    return _rounded_tests(IO.read_csv(spark, path, {"p_value": "double", "statistic": "double",
+                                                    "neg_log10_p": "double"}))
 
 
 @query("contingency_wide_smoking")

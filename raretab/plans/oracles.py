@@ -292,6 +292,44 @@ ORACLES["chi_square"] = with_fixtures("""
          CAST(max(dof) AS INTEGER) AS dof
   FROM cells GROUP BY feature""", "patients", extra=CHI_CTES)
 
+def erfc_sql(x: str) -> str:
+    """erfc for x >= 0: power series below 2, continued fraction from 2 on."""
+    series = (f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), "
+              f"lambda n: power(-1.0, n) * power({x}, 2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1))))")
+    steps = ", ".join(str(float(k)) for k in range(120, 0, -1))
+    fraction = f"list_reduce([1.0, {steps}], lambda a, k: 1.0 + k / (2 * {x} * {x}) / a)"
+    return (f"CASE WHEN {x} < 2 THEN {series} "
+            f"ELSE exp(-{x} * {x}) / ({x} * sqrt(pi())) / {fraction} END")
+
+
+def chi2_tail_sql(x: str, dof: str) -> str:
+    """Upper tail by the closed forms of 1 to 4 degrees of freedom."""
+    root = f"sqrt({x} / 2)"
+    return (f"CASE {dof} WHEN 1 THEN {erfc_sql(root)} WHEN 2 THEN exp(-{x} / 2) "
+            f"WHEN 3 THEN {erfc_sql(root)} + sqrt(2 * {x} / pi()) * exp(-{x} / 2) "
+            f"WHEN 4 THEN exp(-{x} / 2) * (1 + {x} / 2) END")
+
+
+# p-values and their logarithms agree to far more digits than are kept here.
+BATTERY = f"""
+  SELECT Feature, Test, round(p, 12) AS p_value, round(statistic, 6) AS statistic,
+         round(-log10(greatest(p, 1e-300)), 6) AS neg_log10_p
+  FROM (SELECT feature AS Feature, 'Mann-Whitney U' AS Test, u_stat AS statistic,
+               least(1.0, {erfc_sql("(greatest(z, 0) / sqrt(2.0))")}) AS p FROM mw
+        UNION ALL
+        SELECT feature, 'Chi-square', statistic, least(1.0, {chi2_tail_sql("statistic", "dof")}) FROM chi) b"""
+CHI_EXACT = ("chi", """SELECT feature, sum(power(abs(o - e) - CASE WHEN dof = 1 THEN least(0.5, abs(o - e)) ELSE 0 END, 2) / e)
+                         AS statistic, max(dof) AS dof FROM cells GROUP BY feature""")
+MW_EXACT = ("mw", f"""SELECT feature, u0 AS u_stat,
+         (greatest(u0, n0 * n1 - u0) - n0 * n1 / 2 - 0.5)
+           / sqrt(n0 * n1 / 12 * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1)))) AS z
+  FROM (SELECT feature, CAST(sum(n0) AS DOUBLE) AS n0, CAST(sum(n1) AS DOUBLE) AS n1,
+               sum(n0 * avg_rank) - CAST(sum(n0) AS DOUBLE) * (CAST(sum(n0) AS DOUBLE) + 1) / 2 AS u0,
+               sum(CAST(t AS DOUBLE) * t * t - t) AS ties
+        FROM ({RANKS_SQL.format(src=unpivot_num_sql("patients", NUM))}) r GROUP BY feature) g""")
+ORACLES["test_battery"] = ORACLES["test_summary_sink"] = with_fixtures(
+    BATTERY, "patients", extra=[*CHI_CTES, CHI_EXACT, MW_EXACT])
+
 
 # --- step 3: splits, folds, permutation --------------------------------------
 
