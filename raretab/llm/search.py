@@ -6,16 +6,19 @@ terms every shard holds (the directory); its sums are the global statistics
 sharding.  Query terms are joined with the directory, so a query visits only
 shards that hold one of its terms, and queries need not be broadcast.
 
-A shard's task builds the inverted index of all its documents (postings sorted
-by document, in blocks that keep their largest impact) and runs each of its
-queries document at a time: the pivot is the first document whose lists could
-together beat the k-th best score so far, and it is skipped to the end of the
-shortest block when the block maxima cannot.  Every shard returns its exact top
-k, and the k best of those are the answer.
+A shard's task builds the inverted index of all its documents.  Documents are
+cut into blocks of 64, the same for all lists, and every list knows its largest
+impact in each block.  A query sums the block maxima of its lists (the WAND
+bound, for all blocks at once), opens blocks by falling bound and stops at the
+first whose bound cannot beat the k-th best score so far.  A square root of the
+shards answers first; a query's k-th best score there is its floor in the
+others, so the rows to merge grow much slower than queries times shards.  Every
+shard returns its exact top k from the floor on, and the k best of those are the
+answer.
 
 A long query text is represented by its ``query_terms`` most informative terms
-(tf * idf over the whole text, terms that only one document has excepted; None
-takes all terms).
+(largest idf over the whole text, then tf, then term hash; terms that only one
+document has excepted; None takes all terms), each weighing tf * idf.
 
 Scores use float64 in a fixed term order; ties go to the smaller doc_id.
 
@@ -31,14 +34,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from raretab.llm._common import Powers, stage, text_blocks, word_hashes
 
 K1, B = 1.2, 0.75
-BLOCK = 64                  # postings of a block
-SHARD_BYTES = 8 << 20       # text bytes of a shard
+ALMOST = 1 - 1e-12          # sums in another order may differ in the last bits
+BLOCK = 64                  # documents of a block
+SHARD_BYTES = 12 << 20      # text bytes of a shard
 LETTERS = 0x9E3779B97F4A7C15
 
 
@@ -56,8 +60,8 @@ def shard_terms(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Index:
-    """Postings of one shard: for each term documents (ascending) and impacts,
-    and the largest impact of every block."""
+    """Postings of one shard: for each term documents (ascending) and impacts.
+    Blocks are runs of ``BLOCK`` documents, the same for all lists."""
 
     def __init__(self, arr: pa.Array, mean_length: float) -> None:
         term, doc, length = shard_terms(arr)
@@ -71,81 +75,84 @@ class Index:
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         self.terms, self.start = np.unique(term[head], return_index=True)
         self.end = np.append(self.start[1:], len(head))
-
-    def postings(self, term: np.uint64, weight: float) -> tuple[list, list, list] | None:
-        at = int(np.searchsorted(self.terms, term))
-        if at == len(self.terms) or self.terms[at] != term:
-            return None
-        a, b = self.start[at], self.end[at]
-        impact = self.impact[a:b] * weight
-        return self.doc[a:b].tolist(), impact.tolist(), np.maximum.reduceat(impact, np.arange(0, b - a, BLOCK)).tolist()
-
-
-def block_max_wand(lists: list[tuple[list, list, list]], k: int, rank: list) -> list[tuple[float, int]]:
-    """Top k (score, document) by score, then by ``rank`` of the document."""
-    best: list[tuple[float, int, int]] = []         # (score, -rank, document), the least first
-    cursor = [0] * len(lists)
-    most = [max(x[2]) for x in lists]
-    live = list(range(len(lists)))
-    floor = -1.0
-    while live:
-        live.sort(key=lambda i: lists[i][0][cursor[i]])
-        bound, pivot = 0.0, None
-        for n, i in enumerate(live):
-            bound += most[i]
-            if bound >= floor:
-                pivot = n
-                break
-        if pivot is None:
-            break
-        doc = lists[live[pivot]][0][cursor[live[pivot]]]
-        while pivot + 1 < len(live) and lists[live[pivot + 1]][0][cursor[live[pivot + 1]]] == doc:
-            pivot += 1
-        moved = live[:pivot + 1]
-        if lists[moved[0]][0][cursor[moved[0]]] < doc:
-            # bring the lists before the pivot to it
-            for i in moved:
-                cursor[i] = _advance(lists[i][0], cursor[i], doc)
-        here = [i for i in moved if cursor[i] < len(lists[i][0]) and lists[i][0][cursor[i]] == doc]
-        ceiling = sum(lists[i][2][cursor[i] // BLOCK] for i in here)
-        if ceiling >= floor:
-            score = 0.0
-            for i in sorted(here):
-                score += lists[i][1][cursor[i]]
-            entry = (score, -rank[doc], doc)
-            if len(best) < k:
-                best.append(entry)
-                best.sort()
-            elif entry > best[0]:
-                best[0] = entry
-                best.sort()
-            if len(best) == k:
-                floor = best[0][0] * (1 - 1e-12)    # sums in another order may differ in the last bits
-            nxt = doc + 1
-        else:
-            # no document before the first block end (or the next list) can do it
-            nxt = min([lists[i][0][min(len(lists[i][0]), (cursor[i] // BLOCK + 1) * BLOCK) - 1] for i in here]) + 1
-            others = [lists[i][0][cursor[i]] for i in live if i not in here and cursor[i] < len(lists[i][0])]
-            nxt = max(doc + 1, min([nxt, *others]))
-        for i in here:
-            cursor[i] = _advance(lists[i][0], cursor[i], nxt)
-        live = [i for i in live if cursor[i] < len(lists[i][0])]
-    return [(s, d) for s, _, d in sorted(best, reverse=True)]
-
-
-def _advance(docs: list, at: int, to: int) -> int:
-    """First place from ``at`` on with a document not below ``to``."""
-    step, n = 1, len(docs)
-    while at + step < n and docs[at + step] < to:
-        step *= 2
-    lo, hi = at + step // 2 if step > 1 else at, min(at + step, n)
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if docs[mid] < to:
-            lo = mid + 1
-        else:
-            hi = mid
-    return lo
+        self.blocks = -(-len(length) // BLOCK)
+        self.maxima: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and length of each term's postings (length 0: not here)."""
+        if not len(self.terms):
+            return np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        here = self.terms[at] == terms
+        return self.start[at], np.where(here, self.end[at] - self.start[at], 0)
+
+    def block_maxima(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks of one list and its largest impact in each, kept for the next query."""
+        if start not in self.maxima:
+            block = self.doc[start:start + n] // BLOCK
+            head = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+            self.maxima[start] = block[head], np.maximum.reduceat(self.impact[start:start + n], head)
+        return self.maxima[start]
+
+    def top(self, start: np.ndarray, n: np.ndarray, weight: np.ndarray, k: int,
+            rank: np.ndarray, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """Top k (documents, scores) of one query by block-max pruning: the
+        lists' block maxima bound every block's scores; blocks are taken by
+        falling bound, and none is opened whose bound is below the k-th best
+        score so far."""
+        bound = np.zeros(self.blocks)
+        for s, m, w in zip(start, n, weight, strict=True):
+            block, most = self.block_maxima(s, m)
+            bound[block] += most * w
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        docs, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order) and bound[order[at]] >= floor:
+            chosen = np.zeros(self.blocks, bool)
+            chosen[order[at:at + step]] = True
+            chosen &= bound >= floor
+            part, score = [], []
+            for s, m, w in zip(start, n, weight, strict=True):
+                d = self.doc[s:s + m]
+                here = np.flatnonzero(chosen[d // BLOCK])
+                part.append(d[here])
+                score.append(self.impact[s:s + m][here] * w)
+            found, which = np.unique(np.concatenate(part), return_inverse=True)
+            docs = np.concatenate([docs, found])
+            scores = np.concatenate([scores, np.bincount(which, np.concatenate(score), len(found))])
+            best = np.lexsort((rank[docs], -scores))[:k]
+            best = best[scores[best] >= floor]
+            docs, scores = docs[best], scores[best]
+            if len(docs) == k:
+                floor = max(floor, scores[-1] * ALMOST)
+            at += step
+            step *= 2
+        return docs, scores
+
+    def answer(self, query: np.ndarray, terms: np.ndarray, weight: np.ndarray, k: int,
+               rank: np.ndarray, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Top k of every query (codes 0..) with scores from ``floor[query]``
+        on: query, document, score.  Queries with at most k postings have
+        nothing to prune and are summed together."""
+        order = np.lexsort((terms, query))
+        query, terms, weight = query[order], terms[order], weight[order]
+        start, n = self.find(terms)
+        query, weight, start, n = (x[n > 0] for x in (query, weight, start, n))
+        if not len(query):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        few = np.bincount(query, n)[query] <= k
+        q, w, s, m = (x[few] for x in (query, weight, start, n))
+        at = np.arange(m.sum()) + np.repeat(s - np.cumsum(m) + m, m)
+        key, which = np.unique(np.repeat(q, m) * len(rank) + self.doc[at], return_inverse=True)
+        score = np.bincount(which, self.impact[at] * np.repeat(w, m), len(key))
+        keep = score >= floor[key // len(rank)]
+        out = [(key[keep] // len(rank), key[keep] % len(rank), score[keep])]
+        q, w, s, m = (x[~few] for x in (query, weight, start, n))
+        cut = np.flatnonzero(np.diff(q)) + 1
+        for part in np.split(np.arange(len(q)), cut) if len(q) else []:
+            docs, scores = self.top(s[part], m[part], w[part], k, rank, floor[q[part[0]]])
+            out.append((np.full(len(docs), q[part[0]]), docs, scores))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _directory(key: tuple, table: pa.Table) -> pa.Table:
@@ -176,7 +183,7 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["query_id", "term", "tf"])
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = 32, text: str = "text",
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = 8, text: str = "text",
            doc_id: str = "doc_id", query_id: str = "query_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per hit: query_id, rank (from 1), doc_id, score."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -199,34 +206,39 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int |
     idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = wanted.withColumn("weight", F.col("tf") * idf)
     if query_terms is not None:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("weight"), "term"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy("df", F.desc("tf"), "term"))
         wanted = wanted.where("df > 1").withColumn("_n", rank).where(F.col("_n") <= query_terms)
     wanted = stage(wanted.select("query_id", "term", "weight"), "search-queries")
     routed = wanted.join(held.select("term", "shard"), "term").select("shard", "query_id", "term", "weight")
 
     def answer(table: pa.Table, asked: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))
-        rank = [0] * len(ids)
-        for r, i in enumerate(order):
-            rank[i] = r
-        out: list[tuple] = []
+        rank = np.empty(len(ids), np.int64)
+        rank[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i]))] = np.arange(len(ids))
+        names = pa.array([], asked.schema.field("query_id").type)
+        query, doc, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if asked.num_rows and ids:
             index = Index(table.column("text").combine_chunks(), mean)
-            by_query: dict = {}
-            for q, t, w in zip(asked.column("query_id").to_pylist(),
-                               asked.column("term").to_numpy().view(np.uint64),
-                               asked.column("weight").to_pylist(), strict=True):
-                by_query.setdefault(q, []).append((t, w))
-            for q, terms in by_query.items():
-                lists = [x for t, w in sorted(terms) if (x := index.postings(t, w))]
-                out += [(q, ids[d], s) for s, d in block_max_wand(lists, k, rank)]
-        cols = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], asked.schema.field("query_id").type),
-                         "doc_id": pa.array(cols[1], table.schema.field("doc_id").type),
-                         "score": pa.array(cols[2], pa.float64())})
-
-    found = (texts.groupBy("shard").cogroup(routed.groupBy("shard"))
-             .applyInArrow(answer, f"query_id {query_type}, doc_id {id_type}, score double"))
+            coded = asked.column("query_id").combine_chunks().dictionary_encode()
+            names = coded.dictionary
+            code = coded.indices.to_numpy().astype(np.int64)
+            floor = np.zeros(len(names))
+            floor[code] = asked.column("floor").to_numpy() * ALMOST
+            query, doc, score = index.answer(code, asked.column("term").to_numpy().view(np.uint64),
+                                             asked.column("weight").to_numpy(), k, rank, floor)
+        return pa.table({"query_id": names.take(pa.array(query)),
+                         "doc_id": table.column("doc_id").combine_chunks().take(pa.array(doc)),
+                         "score": pa.array(score, pa.float64())})
+
+    def run(these: Column, asked: DataFrame) -> DataFrame:
+        return (texts.where(these).groupBy("shard").cogroup(asked.where(these).groupBy("shard"))
+                .applyInArrow(answer, f"query_id {query_type}, doc_id {id_type}, score double"))
+
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    head = F.col("shard") % max(1, round(shards ** 0.5)) == 0
+    early = stage(run(head, routed.withColumn("floor", F.lit(0.0))), "search-head")
+    floors = (early.withColumn("rank", place).where(F.col("rank") == k)
+              .select("query_id", F.col("score").alias("floor")))
+    late = run(~head, routed.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))))
+    return (early.union(late).withColumn("rank", place).where(F.col("rank") <= k)
+            .select("query_id", "rank", "doc_id", "score"))
