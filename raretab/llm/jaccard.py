@@ -11,12 +11,16 @@ joined.
   with the smallest of its subset group keeps every connection, so nothing is
   verified and no group is expanded.
 * Heavy sets enter inverted lists.  The elements are split by hash into parts;
-  a linked pair differs in at most H elements, so of H + 1 non-empty parts one
-  is equal on both sides.  The list key is the hash of such a part (a few
-  elements together), which keeps lists short where single elements are common.
-  Lists are scanned against one hub set each (grouped minimum and join, no
-  expansion); pairs that a hub leaves open, members of different components in
-  one list, are then compared directly.  Candidates are verified on the sets.
+  a linked pair differs in at most H elements, so of H + c non-empty parts c
+  are equal on both sides.  The list key is the hash of such a part (a few
+  elements together), which keeps lists short where single elements are common;
+  of these keys a set leaves out its c - 1 most frequent (shared passages), and
+  a linked pair still meets in one.
+  Lists are scanned against two hub sets each (grouped minimum and join, no
+  expansion).  Sets that share a list with another component after that enter
+  lists of single elements, rarest first, with prefix and position filters, and
+  are compared across components only.  Candidates are first held against parity sketches of the sets (a lower bound of their
+  difference) and those left are verified on the sets.
 * The boundary minimises the keys and verified elements of both ways, taken
   over a sample of set sizes.  It changes the work, never the links.
 
@@ -41,13 +45,15 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raretab.llm._common import Powers, mix64, range_hashes, stage, text_blocks, word_hashes
 from raretab.llm._components import components
 from raretab.llm.mix import word_count
 
+SPARE = 64                  # a level of sets below 2**l shares 1 + 2**l / SPARE equal parts
+LEVEL_BITS = np.uint64(63)
 LARGEST_BOUNDARY = 24       # sizes up to which the subset way is costed
 SIZE_SAMPLE = 20_000        # bound of the sample of set sizes
 
@@ -97,6 +103,11 @@ class Levels:
         n = self.t.den * m // self.t.num
         return (m + n) * (self.t.den - self.t.num) // (self.t.num + self.t.den) + 1
 
+    @staticmethod
+    def spare(level: int) -> int:
+        """Equal parts that linked sets of a level share at least."""
+        return 1 + (1 << level) // SPARE
+
     def of(self, m: int) -> list[tuple[int, int]]:
         """(level, parts) that a set of size m enters: its own, and the next
         when a set there can link with it."""
@@ -105,18 +116,18 @@ class Levels:
         out = []
         for level in levels:
             self.upto(1 << level)
-            most = int(self.differ[(1 << level) - 1])
-            out.append((level, most + 3 + most // 4))
+            most = int(self.differ[(1 << level) - 1]) + self.spare(level)
+            out.append((level, most + 2 + most // 4))
         return out
 
 
 def part_keys(u: np.ndarray, levels: Levels) -> np.ndarray:
-    """List keys of one sorted set: hashes of its first H + 1 non-empty parts,
-    and of each element when it has fewer."""
+    """List keys of one sorted set: hashes of its first H + c non-empty parts,
+    and of each element when it has fewer.  The low bits hold the level."""
     m = len(u)
     keys = []
     for level, parts in levels.of(m):
-        need = int(levels.differ[m]) + 1
+        need = int(levels.differ[m]) + levels.spare(level)
         salt = np.uint64((level * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64))
         spread = mix64(u ^ salt)
         part = (spread >> np.uint64(33)) % np.uint64(parts)
@@ -125,9 +136,10 @@ def part_keys(u: np.ndarray, levels: Levels) -> np.ndarray:
         cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         whole = np.add.reduceat(spread[order], cut)
         size = np.diff(np.append(cut, m)).astype(np.uint64)
-        keys.append(mix64(whole + part[cut] * np.uint64(0xD6E8FEB86659FD93) + size * salt)[:need])
+        got = mix64(whole + part[cut] * np.uint64(0xD6E8FEB86659FD93) + size * salt)[:need]
+        keys.append(got & ~LEVEL_BITS | np.uint64(level))
         if len(cut) < need:
-            keys.append(mix64(spread + np.uint64(0x5DEECE66D)))
+            keys.append(mix64(spread + np.uint64(0x5DEECE66D)) & ~LEVEL_BITS)   # level 0 keeps all
     return np.concatenate(keys)
 
 
@@ -171,6 +183,25 @@ def set_hash(u: np.ndarray) -> int:
         return int(mix64(np.array([s * np.uint64(0x9E3779B97F4A7C15) + x], np.uint64)).astype(np.int64)[0])
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Parity bits: bit i tells whether an odd number of elements hash to i.
+    Two sketches differ in at most as many bits as the sets differ in elements.
+    There are at least as many bits as elements."""
+    bits = max(256, 1 << (len(u) - 1).bit_length()) if len(u) else 256
+    place = (mix64(u ^ np.uint64(0x3C6EF372FE94F82B)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """Differing bits; the longer sketch is folded onto the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def boundary(docs: DataFrame, text: str, n: int, t: Threshold) -> int:
     """Light up to this size: least keys and verified elements on the sample."""
     rows = docs.count()
@@ -192,15 +223,16 @@ def boundary(docs: DataFrame, text: str, n: int, t: Threshold) -> int:
 
 def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
                    t: Threshold = Threshold(85, 100)) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_shingles, set_id), (links between set_ids)."""
+    """(rows: doc_id, text_key, n_shingles, set_id), (links between set_ids)."""
     light_to = boundary(docs, text, n, t)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size, sid, light = [], [], []
+            size, sid, light, bits = [], [], [], []
             for u in sets_of(batch.column("text"), n):
                 size.append(len(u))
                 sid.append(set_hash(u))
+                bits.append(sketch(u))
                 if 0 < len(u) <= light_to:
                     s, k = subset_keys(u, t)
                     light.append([{"size": a, "key": int(b)} for a, b in zip(s, k.astype(np.int64), strict=True)])
@@ -208,18 +240,19 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     light.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("_text_key"), pa.array(size, pa.int64()), pa.array(sid, pa.int64()),
-                 pa.array(light, pa.list_(pa.struct([("size", pa.int32()), ("key", pa.int64())])))],
-                ["doc_id", "text_key", "n_shingles", "set_id", "light"])
+                 pa.array(bits, pa.binary()), pa.array(light, pa.list_(pa.struct([("size", pa.int32()), ("key", pa.int64())])))],
+                ["doc_id", "text_key", "n_shingles", "set_id", "bits", "light"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(t)
         for batch in batches:
-            keys, sid = [], []
+            keys, sid, seen = [], [], set()
             for u in sets_of(batch.column("text"), n):
                 # light sets enter too when a heavier set can link with them
-                if len(u) and t.den * len(u) // t.num > light_to:
+                if len(u) and t.den * len(u) // t.num > light_to and (name := set_hash(u)) not in seen:
+                    seen.add(name)
                     keys.append(part_keys(u, levels))
-                    sid.append(np.full(len(keys[-1]), set_hash(u), np.int64))
+                    sid.append(np.full(len(keys[-1]), name, np.int64))
                 if len(keys) >= 256:
                     yield _key_batch(keys, sid)
                     keys, sid = [], []
@@ -230,9 +263,9 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                         F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_key"))
     id_type = texts.schema["doc_id"].dataType.simpleString()
     rows = stage(texts.mapInArrow(describe, f"doc_id {id_type}, text_key long, n_shingles long, set_id long, "
-                                  "light array<struct<size: int, key: long>>"), "jaccard-sets")
+                                  "bits binary, light array<struct<size: int, key: long>>"), "jaccard-sets")
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(
-        F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"))
+        F.min("n_shingles").alias("n"), F.min("text_key").alias("text_key"), F.min("bits").alias("bits"))
 
     # light: the smallest member of a subset group links all that it can
     subsets = (rows.where(F.col("light").isNotNull())
@@ -245,32 +278,78 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     # heavy: lists with two or more classes
     listed = texts.select("text").mapInArrow(lists, "key long, set_id long")
-    ends = (listed.groupBy("key").agg(F.min("set_id").alias("hub"), F.max("set_id").alias("_last"))
-            .where("hub < _last").drop("_last"))
-    members = stage(listed.join(ends, "key").distinct(), "jaccard-lists")
-    wanted = members.select("set_id").distinct().join(classes, "set_id")
+    often = listed.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    # linked sets of a level share c lists, so each may leave out its c - 1 most frequent
+    level = F.col("key").bitwiseAND(F.lit(int(LEVEL_BITS))).cast("int")
+    by_length = Window.partitionBy("set_id", level).orderBy(F.desc("f"), "key")
+    spare = F.expr(f"1 + (1L << (key & {int(LEVEL_BITS)})) div {SPARE}")
+    members = stage(listed.join(often, "key").distinct().withColumn("_n", F.row_number().over(by_length))
+                    .where(F.col("_n") >= spare).select("key", "set_id"), "jaccard-lists")
+    # xor with the key orders each list its own way, so a set meets many different hubs
+    own = F.col("set_id").bitwiseXOR(F.col("key"))
+    ends = members.groupBy("key").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi")).where("_lo < _hi")
+    ends = ends.select("key", F.col("_lo").bitwiseXOR(F.col("key")).alias("hub"),
+                       F.col("_hi").bitwiseXOR(F.col("key")).alias("hub2"))
+    members = stage(members.join(ends, "key"), "jaccard-hubs")
+    wanted = stage(members.select("set_id").distinct().join(classes, "set_id"), "jaccard-wanted")
     found = (texts.join(wanted.select("set_id", "n", F.col("text_key").alias("_text_key")), "_text_key")
              .select("set_id", "n", "text").dropDuplicates(["set_id"]))
     found = stage(found, "jaccard-texts")
 
-    first = members.where("set_id <> hub").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct()
-    links = [stage(light_links, "jaccard-links"), stage(_verified(first, found, n, t), "jaccard-links")]
+    first = (members.select(F.explode(F.array("hub", "hub2")).alias("a"), F.col("set_id").alias("b")).where("a <> b")
+             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    links = [stage(light_links, "jaccard-links"), stage(_verified(_close(first, wanted, t), found, n, t), "jaccard-links")]
     root = components(links[0].union(links[1]))
 
-    # what the hubs left open: members of one list in different components
+    # what the hubs left open: sets that share a list with another component
     named = members.select("key", "set_id").join(root, members["set_id"] == root["node"], "left").select(
         "key", "set_id", F.coalesce("root", "set_id").alias("root"))
     mixed = (named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
              .where("_a < _b").select("key"))
-    named = stage(named.join(mixed, "key").join(wanted.select("set_id", "n"), "set_id"), "jaccard-open")
-    x, y = named.alias("x"), named.alias("y")
-    fits = reduce(lambda p, q: p & q, [
-        F.col("x.root") != F.col("y.root"), F.col("x.set_id") < F.col("y.set_id"),
-        F.col("x.n") * t.num <= F.col("y.n") * t.den, F.col("y.n") * t.num <= F.col("x.n") * t.den])
-    rest = (x.join(y, "key").where(fits).select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b")).distinct()
-            .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    links.append(stage(_verified(rest, found, n, t), "jaccard-links"))
-    return rows.select("doc_id", "n_shingles", "set_id"), reduce(DataFrame.union, links)
+    unsettled = named.join(mixed, "key").groupBy("set_id").agg(F.min("root").alias("root"))
+    rest = _open_pairs(found.join(unsettled, "set_id"), n, t).join(first, ["a", "b"], "left_anti")
+    links.append(stage(_verified(_close(rest, wanted, t), found, n, t), "jaccard-links"))
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id"), reduce(DataFrame.union, links)
+
+
+def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """Pairs (a < b) of different components that can link, from inverted lists
+    of single elements in order of frequency among these sets.
+
+    Only the first ``m - overlap + 1`` elements of a set are listed, rarest
+    first, and a pair is taken up where it can still reach its overlap behind
+    that place.  In each list the component with most sets meets the others but
+    not itself."""
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots = batch.column("set_id").to_numpy(), batch.column("root").to_numpy()
+            for i, u in enumerate(sets_of(batch.column("text"), n)):
+                size = len(u)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(u.view(np.int64)), pa.array(np.full(size, ids[i])), pa.array(np.full(size, roots[i])),
+                     pa.array(np.full(size, size, np.int32))], ["element", "set_id", "root", "m"])
+
+    listed = stage(texts.select("set_id", "root", "text")
+                   .mapInArrow(elements, "element long, set_id long, root long, m int"), "jaccard-elements")
+    common = listed.groupBy("element").agg(F.count("*").alias("f")).where("f > 1")
+    shared = listed.join(common, "element")
+    per_set = Window.partitionBy("set_id")
+    place = F.row_number().over(per_set.orderBy("f", "element")) + F.col("m") - F.count("*").over(per_set) - 1
+    prefix = (shared.withColumn("at", place)
+              .where(F.expr(f"at <= m - ({t.num} * m + {t.den - 1}) div {t.den}"))
+              .select("element", "set_id", "root", "m", "at"))
+    prefix = stage(prefix, "jaccard-prefix")
+    sizes = prefix.groupBy("element", "root").agg(F.count("*").alias("c"))
+    major = (sizes.groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("c"))
+             .where("c > 1").select("element", "major"))
+    y = prefix.join(major, "element")
+    x = y.where("root <> major").drop("major")
+    need = f"({t.num} * (x.m + y.m) + {t.num + t.den - 1}) div {t.num + t.den}"
+    meets = (x.alias("x").join(y.alias("y"), F.expr(
+        "x.element = y.element and x.root <> y.root and (y.root = y.major or x.set_id < y.set_id)"
+        f" and x.m - x.at >= {need} and y.m - y.at >= {need}")))
+    return meets.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
 
 
 def _key_batch(keys: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:
@@ -293,15 +372,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, t: Threshold) -> DataF
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    left = texts.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("text").alias("ta"))
-    right = texts.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("text").alias("tb"))
-    sized = (pairs.join(left.select("a", "na"), "a").join(right.select("b", "nb"), "b")
-             .where((F.col("na") * t.num <= F.col("nb") * t.den) & (F.col("nb") * t.num <= F.col("na") * t.den))
-             .select("a", "b"))
-    return (sized.join(right.drop("nb"), "b").join(left.drop("na"), "a").select("a", "b", "ta", "tb")
+    left = texts.select(F.col("set_id").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("set_id").alias("b"), F.col("text").alias("tb"))
+    return (pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
             .mapInArrow(check, "a long, b long"))
 
 
+def _close(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs that sizes and sketches allow to link (never drops a link)."""
+
+    @F.arrow_udf("boolean")
+    def near(x: pa.Array, y: pa.Array, most: pa.Array) -> pa.Array:
+        return pa.array([sketch_distance(a, b) <= k for a, b, k in
+                         zip(x.to_pylist(), y.to_pylist(), most.to_pylist(), strict=True)], pa.bool_())
+
+    left = sets.select(F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    right = sets.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+    both = F.col("na") + F.col("nb")
+    most = both - 2 * F.expr(f"({t.num} * (na + nb) + {t.num + t.den - 1}) div {t.num + t.den}")
+    sized = (pairs.join(left, "a").join(right, "b")
+             .where((F.col("na") * t.num <= F.col("nb") * t.den) & (F.col("nb") * t.num <= F.col("na") * t.den)))
+    return stage(sized.where(near("x", "y", most)).select("a", "b"), "jaccard-pairs")
+
+
 def _lazy(arr: pa.Array, n: int) -> Iterator:
     """Set of each text, computed only when asked for."""
     for i in range(len(arr)):
@@ -310,11 +403,31 @@ def _lazy(arr: pa.Array, n: int) -> Iterator:
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
                     num: int = 85, den: int = 100) -> DataFrame:
-    """One row per document: doc_id, n_shingles, set_id, component_id."""
+    """One row per document: doc_id, text_key, n_shingles, set_id, group (null
+    for an empty set) and component_id."""
     rows, links = linked_classes(docs, text, doc_id, n, Threshold(num, den))
     root = components(links)
     placed = rows.join(root, rows["set_id"] == root["node"], "left").withColumn(
-        "_group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")))
-    least = placed.where(F.col("_group").isNotNull()).groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    return placed.join(least, "_group", "left").select(
-        "doc_id", "n_shingles", "set_id", F.coalesce("_least", "doc_id").alias("component_id"))
+        "group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")))
+    least = placed.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("_least"))
+    return placed.join(least, "group", "left").select(
+        "doc_id", "text_key", "n_shingles", "set_id", "group", F.coalesce("_least", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 5,
+             num: int = 80, den: int = 100) -> DataFrame:
+    """One document of each group: the smallest doc_id (null last), then the
+    smallest text hash.  Documents with empty sets stay; rows that agree in id
+    and text stay once."""
+    found = near_duplicates(docs, text, doc_id, n, num, den)
+    best = (found.where(F.col("group").isNotNull()).groupBy("group")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_key")).alias("b"))
+            .select("b.doc_id", "b.text_key"))
+    alone = found.where(F.col("group").isNull()).select("doc_id", "text_key").distinct()
+    keys = best.union(alone).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
+                                    F.col("doc_id").isNull().alias("_no_id"), F.col("text_key").alias("_text_key"))
+    names = ["_id", "_no_id", "_text_key"]
+    keyed = (docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+             .withColumn("_no_id", F.col(doc_id).isNull())
+             .withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    return keyed.join(keys, names, "left_semi").dropDuplicates(names).select(*docs.columns)
