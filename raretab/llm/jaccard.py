@@ -292,7 +292,9 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                        F.col("_hi").bitwiseXOR(F.col("key")).alias("hub2"))
     members = stage(members.join(ends, "key"), "jaccard-hubs")
     wanted = stage(members.select("set_id").distinct().join(classes, "set_id"), "jaccard-wanted")
-    found = (texts.join(wanted.select("set_id", "n", F.col("text_key").alias("_text_key")), "_text_key")
+    # one plan at every size: texts are exchanged by their key, never against a broadcast
+    keys = wanted.select("set_id", "n", F.col("text_key").alias("_text_key")).hint("merge")
+    found = (texts.join(keys, "_text_key")
              .select("set_id", "n", "text").dropDuplicates(["set_id"]))
     found = stage(found, "jaccard-texts")
 
