@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import base64
 import re
-import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
 
@@ -203,7 +202,3 @@ def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         [pa.array(c, t) for c, t in zip(cols, types, strict=True)],
         ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-
-def checksum(ids: bytes) -> int:
-    """The checksum that the digest column carries, for tests."""
-    return zlib.crc32(ids)
