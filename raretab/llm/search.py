@@ -16,9 +16,10 @@ others, so the rows to merge grow much slower than queries times shards.  Every
 shard returns its exact top k from the floor on, and the k best of those are the
 answer.
 
-A long query text is represented by its ``query_terms`` most informative terms
-(largest idf over the whole text, then tf, then term hash; terms that only one
-document has excepted; None takes all terms), each weighing tf * idf.
+A query is its whole text: every term weighs tf * idf, terms that only one
+document has included.  ``query_terms`` cuts a query to that many terms (largest
+idf over the whole text, then tf, then term hash; terms that only one document
+has excepted); its result is exact for those terms only.
 
 Scores use float64 in a fixed term order; ties go to the smaller doc_id.
 
@@ -183,7 +184,7 @@ def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["query_id", "term", "tf"])
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = 8, text: str = "text",
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, query_terms: int | None = None, text: str = "text",
            doc_id: str = "doc_id", query_id: str = "query_id", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per hit: query_id, rank (from 1), doc_id, score."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]

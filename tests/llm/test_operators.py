@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from raretab.llm import jaccard, langid, mix, pack, pii, quality, search, shard, substring, suffix
-from raretab.llm.queries import tokenizer_files
+from raretab.llm.queries import op1_bm25_search, tokenizer_files
 from tests.llm import brute
 from tests.llm.conftest import CLASHING, EDGE
 
@@ -45,6 +45,25 @@ def test_search_equals_brute_force(edge, query_terms):
         assert [r for r, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
 
 
+def test_registered_search_asks_with_all_terms(spark, tmp_path):
+    """A text of unique words finds itself, and documents that share only the
+    frequent words of a long query are scored."""
+    common = [f"common{i}" for i in range(30)]
+    texts = [" ".join(f"only{i}" for i in range(12)), *(" ".join(common[k % 7:k % 7 + 9]) for k in range(1, 20)),
+             " ".join(common + [f"rare{i}" for i in range(12)]), " ".join(f"rare{i}" for i in range(12))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.defaultdict(list)
+    for r in op1_bm25_search(spark, str(tmp_path)).collect():
+        got[r["query_id"]].append((r["rank"], round(r["score"], 8), r["doc_id"]))
+    split = [t.encode().split() for t in texts]
+    df = collections.Counter(w for s in split for w in set(s))
+    assert set(got) == {0, 20}
+    for q, hits in got.items():
+        weight = {w: c * brute.idf(len(texts), df[w]) for w, c in collections.Counter(split[q]).items()}
+        assert [s for _, s, _ in sorted(hits)] == [round(s, 8) for s, _ in brute.bm25(texts, weight, 10)]
+    assert got[0][0][2] == 0 and len(got[20]) == 10
+
+
 def test_block_max_equals_exhaustive():
     """Random texts of few words: lists of many lengths, many ties."""
     rng = np.random.default_rng(3)
