@@ -38,7 +38,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, repeated as often as it takes them."""
+    """Documents in the mix, repeated as often as it takes them, in the order
+    of its schedule."""
     return mix.mixed_documents(docs)
 
 

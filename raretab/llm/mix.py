@@ -49,7 +49,8 @@ def word_count(text: Column) -> Column:
 @dataclass
 class Mix:
     """``documents``: one row per input row with its place in its source's
-    stream; ``sources``: targets; ``pieces``: what each slot takes."""
+    stream; ``sources``: targets; ``pieces``: what each slot takes (``at``: the
+    piece's first word in its source's stream)."""
 
     documents: DataFrame
     sources: DataFrame
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             .where(F.col("_b") > F.col("_a"))
             .withColumn("block", F.explode(F.sequence(F.expr(f"_a div {block}"), F.expr(f"(_b - 1) div {block}")))))
     lo = F.greatest(F.col("_a"), F.col("block") * block)
-    runs = runs.select("_row", "doc_id", "_k", "epoch", "block", (lo - F.col("_a")).alias("start"),
+    runs = runs.select("_row", "doc_id", "_k", "epoch", "block", lo.alias("at"), (lo - F.col("_a")).alias("start"),
                        (F.least(F.col("_b"), (F.col("block") + 1) * block) - lo).alias("length"))
     pieces = (runs.join(schedule(sources, n_slots), ["_k", "block"], "left")
               .withColumn("position", F.coalesce("slot", F.lit(n_slots) + F.col("block"))))
@@ -149,27 +150,31 @@ def taken_words(m: Mix) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, max_repeat: int = 3, seed: int = 17, **columns: str) -> DataFrame:
-    """Whole documents in the mix: a copy is taken when its first word is
-    (so a source is off by less than one document); rows without words are
-    kept once.  Returns the columns of ``docs``; rows are matched by doc_id,
-    size and hash order, so repeated rows share their copies evenly."""
-    key, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
+    """Whole documents in the order of the mix: a copy is taken when its first
+    word is (so a source is off by less than one document) and stands where the
+    slot that takes this word stands; rows without words are kept once, after
+    all others.  Returns the columns of ``docs``, globally sorted; rows are
+    matched by doc_id, source and size, and those that agree in all three (their
+    hash is the same) by their order of text hashes."""
+    key, text, source = (columns.get(c, c) for c in ("doc_id", "text", "source"))
     m = mix(docs, max_repeat=max_repeat, seed=seed, **columns)
-    first = m.documents.withColumn("_e", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
-    starts = F.col("_e") * F.col("source_size") + F.col("_start") < F.col("_want")
-    same_row = ["_key", "_null", "_size"]   # plain equality keys: one exchange serves window and join
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        return (df.withColumn("_key", F.coalesce(F.col(name).cast("string"), F.lit("")))
-                .withColumn("_null", F.col(name).isNull()))
-
-    copies = (keyed(first, "doc_id").withColumnRenamed("size", "_size").groupBy(same_row).agg(
-        F.sum(F.when(F.col("_size") > 0, starts.cast("long")).otherwise((F.col("_e") == 0).cast("long"))).alias("_copies"),
-        F.countDistinct("_row").alias("_same")))
-    rows = keyed(docs, key).withColumn("_size", word_count(F.col(text)))
-    nth = F.row_number().over(Window.partitionBy(same_row).orderBy(F.lit(0)))
-    wide = rows.withColumn("_nth", nth).join(copies, same_row)
-    share = F.floor((F.col("_copies") + F.col("_same") - F.col("_nth")) / F.col("_same")).cast("int")
-    return (wide.withColumn("_n", share).where(F.col("_n") > 0)
-            .withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-            .select(*[docs[c] for c in docs.columns]))
+    places = (m.pieces.where(F.col("start") == 0).groupBy("_row")
+              .agg(F.collect_list(F.struct("position", "_k", "at")).alias("_places")))
+    same_row = ["_key", "_null", "_source", "_no_source", "_size"]
+
+    def keyed(df: DataFrame, size: Column, key: str, source: str) -> DataFrame:
+        return df.select("*", *[x for c, name, null in ((key, "_key", "_null"), (source, "_source", "_no_source"))
+                                for x in (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name),
+                                          F.col(c).isNull().alias(null))], size.alias("_size"))
+
+    def numbered(df: DataFrame, order: Column) -> DataFrame:
+        return df.withColumn("_nth", F.row_number().over(Window.partitionBy(same_row).orderBy(order)))
+
+    streams = numbered(keyed(m.documents.where(F.col("size") > 0), F.col("size"), "doc_id", "source"), F.col("_row"))
+    streams = streams.join(places, "_row").select(*same_row, "_nth", "_places")
+    blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS)) == ""
+    rows = numbered(keyed(docs.where(~blank), word_count(F.col(text)), key, source), F.xxhash64(text))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    dealt = (rows.join(streams, [*same_row, "_nth"]).withColumn("_place", F.explode("_places"))
+             .orderBy("_place.position", "_place._k", "_place.at").select(*names))
+    return dealt.union(docs.where(blank).select(*names))

@@ -172,6 +172,34 @@ def test_mixed_documents_keep_columns(edge):
     assert {k for k in texts if not brute.words(k[1])} <= set(seen)     # nothing to take, kept once
 
 
+def test_mixed_documents_stand_in_scheduled_order(spark):
+    """Copies stand where the slot of their first word stands, by a plain
+    golden-ratio schedule; copies of a document are not side by side."""
+    rows = [(i, " ".join(f"w{j}" for j in range(5 + i % 9)), "abc"[min(i % 10, 2)]) for i in range(300)]
+    rows += [(None, "one two three", "a"), (None, "one two four", "b"), (None, "", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    m = mix.mix(docs)
+    total = sum(len(t.split()) for _, t, _ in rows)
+    source = {r["_k"]: r for r in m.sources.collect()}
+    block = m.pieces.agg(F.max("length")).first()[0]
+    nth, slot_of = collections.Counter(), {}
+    for slot in range(-(-total // block)):
+        point = slot * mix.GOLDEN % mix.TWO32 / mix.TWO32
+        k = next(k for k, r in source.items() if r["_lo"] <= point < r["_hi"])
+        slot_of[k, nth[k]] = slot
+        nth[k] += 1
+    want = []
+    for r in m.documents.where("size > 0").collect():
+        for epoch in range(3):
+            at = epoch * r["source_size"] + r["_start"]
+            if at < r["_want"]:
+                want.append((slot_of.get((r["_k"], at // block), -(-total // block) + at // block), r["_k"], at, r["doc_id"], r["source"]))
+    out = mix.mixed_documents(docs).collect()
+    assert [(r["doc_id"], r["source"]) for r in out] == [w[3:] for w in sorted(want, key=lambda w: w[:3])] + [(None, "a")]
+    ids = [r["doc_id"] for r in out]
+    assert max(collections.Counter(ids[:-1]).values()) > 1 and not any(a == b for a, b in zip(ids, ids[1:]) if a is not None)
+
+
 def test_schedule_is_spread(small):
     m = mix.mix(small)
     first = m.pieces.where("position < 2000").groupBy("_k").count().collect()
