@@ -1,20 +1,24 @@
 """Personal data: pattern spans plus information-theoretic sanitisation.
 
 Patterns find the protected entities (emails, addresses, cards, phones).  A
-term close to an entity reveals it when seeing the term tells most of what
-there is to know about the entity: with document counts over the whole corpus,
+term anywhere in the documents of an entity reveals it when seeing the term
+tells most of what there is to know about the entity: with document counts over
+the whole corpus and whole texts,
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t)))  >=  alpha * IC(e),
     IC(e) = log2(N / n(e)),
 
-and the pair is seen in at least ``min_texts`` different texts.  Revealing
-terms become spans of kind ``term`` in the documents that hold the entity, and
-``sanitise`` generalises every span to its kind's name.
+and the pair is seen in at least ``min_texts`` different texts.  Every
+occurrence of a revealing term becomes a span of kind ``term`` in the documents
+that hold the entity, and ``sanitise`` generalises every span to its kind's
+name.
 
-Everything is built-in column functions and joins: one pass finds spans and
-contexts, one counts terms (pre-aggregated per task), and (entity, term) pairs
-join those counts.  Patterns are written so that matching is linear: possessive
-where nothing can follow, and started only where a run starts.
+Everything is built-in column functions and joins: one pass finds spans, one
+counts terms (pre-aggregated per task), the distinct terms of documents with an
+entity are counted by (entity, term) and joined with those counts, and one pass
+over the documents that hold a revealing term finds its places.  Patterns are
+written so that matching is linear: possessive where nothing can follow, and
+started only where a run starts.
 
 Edge cases: null text is empty; text without spans has empty results; spans of
 different kinds may overlap, a term never overlaps a pattern span; repeated
@@ -40,14 +44,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}+"
+LETTER = r"\p{L}"
+TERM = rf"{LETTER}{{4,}}+"
 
 
 @dataclass(frozen=True)
 class Disclosure:
     alpha: float = 0.85         # share of an entity's information that a term may not give
     min_texts: int = 3          # different texts a pair must be seen in
-    reach: int = 80             # code points of context to each side
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -77,7 +81,7 @@ def _located(hits: str, gaps: str) -> Column:
     return F.aggregate(pairs, start, step)["out"]
 
 
-def _find(df: DataFrame, name: str, pattern: str, gate: Column | None = None) -> DataFrame:
+def _find(df: DataFrame, name: str, pattern: str | Column, gate: Column | None = None) -> DataFrame:
     """Adds array column ``name`` of (start, end, value) of all matches in
     column ``_t``."""
     none = F.array().cast("array<string>")
@@ -110,32 +114,29 @@ def _entity(k: Column, value: Column) -> Column:
     return F.concat_ws(":", k.cast("string"), plain)
 
 
-def _contexts(found: DataFrame, rule: Disclosure) -> DataFrame:
-    """(row_key, text_key, entity, term, start, end) for the terms near a span,
-    whole words only, none overlapping a span."""
-    near = found.where(F.size("spans") > 0).select(
-        "row_key", "text_key", "_t", "spans", F.explode("spans").alias("s"))
-    sides = []
-    for before in (True, False):
-        lo = F.greatest(F.col("s.start") - rule.reach, F.lit(0)) if before else F.col("s.end")
-        n = F.col("s.start") - lo if before else F.lit(rule.reach)
-        side = near.select("row_key", "text_key", "spans", _entity(F.col("s.k"), F.col("s.value")).alias("entity"),
-                           lo.alias("_lo"), F.length("_t").alias("_all"),
-                           F.substring(F.col("_t"), lo + 1, n).alias("_t"))
-        side = _find(side, "terms", TERM).withColumn("_hi", F.col("_lo") + F.length("_t"))
-        sides.append(side.select("row_key", "text_key", "spans", "entity", "_lo", "_hi", "_all", F.explode("terms").alias("x")))
-    both = sides[0].union(sides[1]).select(
-        "row_key", "text_key", "entity", F.lower("x.value").alias("term"), "spans", "_lo", "_hi", "_all",
-        (F.col("_lo") + F.col("x.start")).alias("start"), (F.col("_lo") + F.col("x.end")).alias("end"))
-    whole = ((F.col("start") > F.col("_lo")) | (F.col("_lo") == 0)) & ((F.col("end") < F.col("_hi")) | (F.col("_hi") >= F.col("_all")))
-    apart = ~F.exists("spans", lambda s: (s["start"] <= F.col("end")) & (s["end"] >= F.col("start")))
-    return both.where(whole & apart).select("row_key", "text_key", "entity", "term", "start", "end")
+def _words(text: Column) -> Column:
+    """Distinct terms of a text, in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
     """(term, n): documents that hold each term, over all documents."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col("_t")), F.lit(TERM), F.lit(0)))
-    return texts.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    return texts.select(F.explode(_words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+
+
+def _mentions(texts: DataFrame) -> DataFrame:
+    """(row_key, _t, spans, revealing) -> adds ``terms``: every occurrence of a
+    revealing term, whole words only, none overlapping a span."""
+    # the spellings that occur, so that matching needs no case folding
+    spelled = F.array_distinct(F.regexp_extract_all(F.col("_t"), F.lit(TERM), F.lit(0)))
+    spelled = F.array_join(F.filter(spelled, lambda x: F.array_contains("revealing", F.lower(x))), "|")
+    pattern = F.concat(F.lit(rf"(?<!{LETTER})(?:"), F.col("_spelled"), F.lit(rf")(?!{LETTER})"))
+    found = _find(texts.withColumn("_spelled", spelled).where(F.col("_spelled") != ""), "_mentioned", pattern)
+    apart = F.filter("_mentioned", lambda x: ~F.exists(
+        "spans", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    return found.withColumn("terms", F.transform(apart, lambda x: F.struct(
+        x["start"].alias("start"), F.lit(len(KINDS) - 1).alias("k"), x["end"].alias("end"),
+        F.lower(x["value"]).alias("value"))))
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Disclosure = Disclosure()) -> DataFrame:
@@ -147,20 +148,27 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Disc
     # text of documents without a span is not needed any more
     found = stage(found.withColumn("_t", F.when(F.size("spans") > 0, F.col("_t"))), "pii-spans")
 
-    near = stage(_contexts(found, rule).distinct(), "pii-contexts")
-    pairs = near.groupBy("entity", "term").agg(
-        F.countDistinct("row_key").alias("n_pair"), F.countDistinct("text_key").alias("texts"))
-    pairs = pairs.where(F.col("texts") >= rule.min_texts)
-    entities = (found.where(F.size("spans") > 0).select("row_key", F.explode("spans").alias("s"))
-                .select("row_key", _entity(F.col("s.k"), F.col("s.value")).alias("entity")).distinct()
-                .groupBy("entity").agg(F.count("*").alias("n_entity")))
+    # one row for repeated rows, with their number
+    holders = found.where(F.size("spans") > 0).groupBy("row_key").agg(
+        *[F.first(c).alias(c) for c in ("text_key", "_t", "spans")], F.count("*").alias("copies"))
     rows = float(max(docs.count(), 1))
+    held = stage(holders.select("row_key", "text_key", "copies", F.explode(F.array_distinct(F.transform(
+        "spans", lambda s: _entity(s["k"], s["value"])))).alias("entity")), "pii-entities")
+    # an entity in fewer texts has no pair in min_texts of them
+    entities = (held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.countDistinct("text_key").alias("texts"))
+                .where(F.col("texts") >= rule.min_texts).select("entity", "n_entity"))
+    asked = held.join(entities, "entity").groupBy("row_key").agg(F.collect_set("entity").alias("entities"))
+    pairs = (holders.join(asked, "row_key")
+             .select("text_key", "copies", "entities", F.explode(_words(F.col("_t"))).alias("term"))
+             .select("text_key", "copies", "term", F.explode("entities").alias("entity"))
+             .groupBy("entity", "term", "text_key").agg(F.sum("copies").alias("copies"))
+             .groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"), F.count("*").alias("texts"))
+             .where(F.col("texts") >= rule.min_texts))
     pmi = F.log2(F.lit(rows) * F.col("n_pair") / (F.col("n_entity").cast("double") * F.col("n_term")))
     revealing = (pairs.join(entities, "entity").join(term_counts(texts), "term")
                  .where(pmi >= rule.alpha * F.log2(F.lit(rows) / F.col("n_entity"))).select("entity", "term"))
-    k = len(KINDS) - 1
-    terms = (near.join(revealing, ["entity", "term"]).groupBy("row_key").agg(F.collect_set(F.struct(
-        "start", F.lit(k).alias("k"), "end", F.col("term").alias("value"))).alias("terms")))
+    told = held.join(revealing, "entity").groupBy("row_key").agg(F.collect_set("term").alias("revealing"))
+    terms = _mentions(holders.join(told, "row_key")).select("row_key", "terms")
     return (found.join(terms, "row_key", "left")
             .select("doc_id", "row_key", F.col("spans").alias("base"), F.when(
                 F.col("terms").isNull(), F.col("spans")).otherwise(F.sort_array(F.concat("spans", "terms"))).alias("spans")))

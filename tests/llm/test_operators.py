@@ -316,6 +316,27 @@ def test_revealing_terms(spark):
     assert "[TERM]" in clean[0] and "[EMAIL]" in clean[0] and "Zanzibar" not in clean[0] and clean[100] == rows[6][1]
 
 
+def spans_and_clean(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["x"].split(",") for r in pii.find(docs).select("doc_id", pii.span_string(F.col("spans")).alias("x")).collect()}
+    return got, {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+
+
+def test_revealing_terms_far_from_the_entity(spark):
+    """A name in the heading, the email in the footer: counted and masked over
+    the whole text, every mention."""
+    far = "since always this text goes on and on " * 8
+    rows = [(i, f"Report of Zanzibarian {far} by zanzibarian, {far}{i} zed@mail.example.org") for i in range(6)]
+    rows += [(100 + i, f"{far} nothing {i} report of by mail example org") for i in range(60)]
+    got, clean = spans_and_clean(spark, rows)
+    for i, text in rows[:6]:
+        for at in (text.index("Zanzibarian"), text.index("zanzibarian")):
+            assert f"term:{at}:{at + 11}" in got[i]
+        assert sum(x.startswith("term:") for x in got[i]) == 2
+        assert "anzibar" not in clean[i] and "since always" in clean[i]
+    assert all(got[i] == [""] and clean[i] == text for i, text in rows[6:])
+
+
 def test_sanitise_keeps_columns(edge):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns
