@@ -1,8 +1,9 @@
 """Personal data: pattern spans plus information-theoretic sanitisation.
 
 Patterns find the protected entities (emails, addresses, cards, phones).  A
-term anywhere in the documents of an entity reveals it when seeing the term
-tells most of what there is to know about the entity: with document counts over
+term (a run of letters and digits of any length) anywhere in the documents of an
+entity reveals it when seeing the term tells most of what there is to know about
+the entity: with document counts over
 the whole corpus and whole texts,
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t)))  >=  alpha * IC(e),
@@ -44,8 +45,8 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-LETTER = r"\p{L}"
-TERM = rf"{LETTER}{{4,}}+"
+LETTER = r"[\p{L}\p{N}]"
+TERM = rf"{LETTER}++"
 
 
 @dataclass(frozen=True)

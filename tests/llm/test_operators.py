@@ -337,6 +337,18 @@ def test_revealing_terms_far_from_the_entity(spark):
     assert all(got[i] == [""] and clean[i] == text for i, text in rows[6:])
 
 
+@pytest.mark.parametrize("name", ["Kim", "李明", "zed1987", "7", "004217"])
+def test_short_names_and_numbers_reveal(spark, name):
+    rows = [(i, f"so as to {name} of it {brute.sha(str(i))} from someone.else@mail.example.org") for i in range(6)]
+    rows += [(100 + i, f"so as to it of from no one {name}x") for i in range(60)]
+    got, clean = spans_and_clean(spark, rows)
+    for i, text in rows[:6]:
+        at = text.index(f" {name} ") + 1
+        assert [x for x in got[i] if x.startswith("term:")] == [f"term:{at}:{at + len(name)}"]
+        assert clean[i].startswith("so as to [TERM] of it ")
+    assert all(got[i] == [""] and clean[i] == text for i, text in rows[6:])
+
+
 def test_sanitise_keeps_columns(edge):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns
