@@ -36,6 +36,7 @@ WEIGHTS = (5, 2, 1)
 GOLDEN = 2654435769
 TWO32 = 1 << 32
 
+BLOCK_WORDS = 32            # words of a slot: small corpora have thousands of slots too
 ROWS_PER_BUCKET = 20_000
 SLOTS_PER_CHUNK = 8_192
 CELLS = 4_096
@@ -99,16 +100,14 @@ def schedule(sources: DataFrame, n_slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[int] = WEIGHTS, max_repeat: int = 3, block_words: int = 1024,
-        least_blocks: int = 50_000, seed: int = 17) -> Mix:
-    """Blocks have ``block_words`` words, fewer where the corpus would not give
-    ``least_blocks`` of them (finer cuts for small corpora)."""
+        weights: Sequence[int] = WEIGHTS, max_repeat: int = 3, block_words: int = BLOCK_WORDS,
+        seed: int = 17) -> Mix:
+    """Blocks have ``block_words`` words at every size of the corpus."""
     words = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
                         word_count(F.col(text)).alias("size"), F.monotonically_increasing_id().alias("_row"))
     words = stage(words.withColumn("_h", F.xxhash64(F.lit(seed), "doc_id", "size")), "mix-sizes")
     per_source = words.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     rows, total = per_source.agg(F.coalesce(F.sum("_rows"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0))).first()
-    block = max(1, min(block_words, total // least_blocks))
     buckets = max(128, -(-rows // ROWS_PER_BUCKET))
     sources = stage(source_targets(per_source.drop("_rows"), weights, max_repeat), "mix-sources")
 
@@ -125,16 +124,16 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
               .drop("_base", "_bucket"))
     placed = stage(placed, "mix-places")
 
-    n_slots = -(-total // block)
+    n_slots = -(-total // block_words)
     runs = (placed.where(F.col("size") > 0)
             .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_repeat - 1))))
             .withColumn("_a", F.col("epoch") * F.col("source_size") + F.col("_start"))
             .withColumn("_b", F.least(F.col("_a") + F.col("size"), F.col("_want")))
             .where(F.col("_b") > F.col("_a"))
-            .withColumn("block", F.explode(F.sequence(F.expr(f"_a div {block}"), F.expr(f"(_b - 1) div {block}")))))
-    lo = F.greatest(F.col("_a"), F.col("block") * block)
+            .withColumn("block", F.explode(F.sequence(F.expr(f"_a div {block_words}"), F.expr(f"(_b - 1) div {block_words}")))))
+    lo = F.greatest(F.col("_a"), F.col("block") * block_words)
     runs = runs.select("_row", "doc_id", "_k", "epoch", "block", lo.alias("at"), (lo - F.col("_a")).alias("start"),
-                       (F.least(F.col("_b"), (F.col("block") + 1) * block) - lo).alias("length"))
+                       (F.least(F.col("_b"), (F.col("block") + 1) * block_words) - lo).alias("length"))
     pieces = (runs.join(schedule(sources, n_slots), ["_k", "block"], "left")
               .withColumn("position", F.coalesce("slot", F.lit(n_slots) + F.col("block"))))
     return Mix(placed, sources, pieces)

@@ -181,7 +181,7 @@ def test_mixed_documents_stand_in_scheduled_order(spark):
     m = mix.mix(docs)
     total = sum(len(t.split()) for _, t, _ in rows)
     source = {r["_k"]: r for r in m.sources.collect()}
-    block = m.pieces.agg(F.max("length")).first()[0]
+    block = mix.BLOCK_WORDS
     nth, slot_of = collections.Counter(), {}
     for slot in range(-(-total // block)):
         point = slot * mix.GOLDEN % mix.TWO32 / mix.TWO32
@@ -200,6 +200,11 @@ def test_mixed_documents_stand_in_scheduled_order(spark):
     assert max(collections.Counter(ids[:-1]).values()) > 1 and not any(a == b for a, b in zip(ids, ids[1:]) if a is not None)
 
 
+def test_blocks_have_one_size(spark, small):
+    tiny = spark.createDataFrame([(i, "word " * 100, "ab"[i % 2]) for i in range(6)], "doc_id long, text string, source string")
+    assert {mix.mix(d).pieces.agg(F.max("length")).first()[0] for d in (tiny, small)} == {mix.BLOCK_WORDS}
+
+
 def test_schedule_is_spread(small):
     m = mix.mix(small)
     first = m.pieces.where("position < 2000").groupBy("_k").count().collect()
