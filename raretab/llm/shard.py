@@ -1,7 +1,8 @@
 """Sharding by a two-pass external shuffle.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded
-hash of the key (one exchange of the records).  Pass two shuffles each bucket in
+Pass one writes the records with a seeded hash of key, text and row number and
+scatters them uniformly into memory-sized buckets by it (one exchange of the
+records).  Pass two shuffles each bucket in
 memory (Spark's ``shuffle`` of an array is a seeded Fisher-Yates) and lays the
 buckets end to end; the global position decides shard and slot, so shard sizes
 differ by at most one row and a shard's file is written from a few buckets
@@ -10,8 +11,8 @@ without another exchange.
 The bucket count follows the corpus bytes, so a bucket stays within
 ``bucket_bytes`` (a longer single record makes its bucket larger).
 
-Edge cases: null text counts 16 bytes; a null key is scattered by the text's
-checksum; rows that agree in key and text share a bucket; an empty table gives
+Edge cases: null text counts 16 bytes; rows that agree in key and text, null
+keys among them, spread over all buckets by their number; an empty table gives
 no rows; input columns named ``shard`` or ``slot`` are replaced.
 """
 
@@ -36,8 +37,11 @@ def text_checksum(text: Column) -> Column:
 def shard(docs: DataFrame, n_shards: int = 40, seed: int = 23, key: str = "doc_id", text: str = "text",
           bucket_bytes: int = 8 << 20) -> DataFrame:
     """All columns of ``docs`` with ``shard`` and ``slot`` (gapless from 0)."""
-    scatter = F.xxhash64(F.lit(seed), F.col(key), text_checksum(F.col(text)))
-    sizes = stage(docs.select(scatter.alias("_h"), record_size(F.col(text)).alias("_bytes")), "shard-sizes")
+    # the row's number tells equal rows apart; written once with the record, it cannot change between the passes
+    scatter = F.xxhash64(F.lit(seed), F.col(key), text_checksum(F.col(text)), F.monotonically_increasing_id())
+    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
+    sizes = stage(docs.select(scatter.alias("_h"), record_size(F.col(text)).alias("_bytes"), record.alias("_record")),
+                  "shard-rows")
     rows, size = sizes.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
     n_buckets = max(1, -(-size // bucket_bytes))
     bucket = F.pmod(F.col("_h"), F.lit(n_buckets))
@@ -45,9 +49,7 @@ def shard(docs: DataFrame, n_shards: int = 40, seed: int = 23, key: str = "doc_i
     offsets = counts.select("_bucket", (F.sum("_n").over(
         Window.partitionBy(F.lit(0)).orderBy("_bucket")) - F.col("_n")).alias("_offset"))
 
-    record = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")])
-    scattered = (docs.select(scatter.alias("_h"), record.alias("_record"))
-                 .select("_h", bucket.alias("_bucket"), "_record")
+    scattered = (sizes.select("_h", bucket.alias("_bucket"), "_record")
                  .repartition(n_buckets, "_bucket").sortWithinPartitions("_bucket", "_h"))
     shuffled = (scattered.groupBy("_bucket").agg(F.collect_list("_record").alias("_records"))
                 .join(offsets, "_bucket")

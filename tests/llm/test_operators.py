@@ -263,6 +263,16 @@ def test_shards_mix_the_input(small, tmp_path, spark):
     assert back.count() == len(ids) and back.select("shard").distinct().count() == 4
 
 
+def test_equal_rows_spread_over_buckets(spark):
+    """Copies without an id do not fall into one bucket, so they do not stand together."""
+    rows = [(None, "the same text in every copy")] * 1000 + [(i, f"text number {i} of its own ...") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = shard.shard(docs, n_shards=4, bucket_bytes=4000).collect()
+    same([(r["doc_id"], r["text"]) for r in out], rows)
+    copies = collections.Counter(r["shard"] for r in out if r["doc_id"] is None)
+    assert all(150 <= copies[s] <= 350 for s in range(4))
+
+
 # 6 ---------------------------------------------------------------- language ID
 
 def test_language_edge_cases(edge):
