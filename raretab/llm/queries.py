@@ -6,8 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from raretab.llm import jaccard, langid, mix, pack, pii, quality, search, shard, substring, suffix
+from raretab.llm import (jaccard, langid, mix, pack, pii, quality, search, shard, spelling, substring, suffix, treap,
+                         urlrules)
 from raretab.llm._common import read_table
+from raretab.llm.sql import ORACLES  # noqa: F401
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +85,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_shingles", "component_id", "set_id")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
+# The host rules of the URL query.
+HOST_RULES = (
+    urlrules.HostRule("allow", "com", "/"),
+    urlrules.HostRule("block", "example.com", "/en/"),
+    urlrules.HostRule("allow", "www.example.com", "/en/"),
+    urlrules.HostRule("block", "net", "/es/"),
+    urlrules.HostRule("block", "net", "/fr/"),
+)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(read_table(spark, sf_dir, "pages"), HOST_RULES)
+
+
 REGISTRY = {
     "op1_bm25_search": op1_bm25_search,
     "op2_packing": op2_packing,
@@ -94,6 +118,7 @@ REGISTRY = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_jaccard_join": op10_jaccard_join,
     "op6_language_id": op6_language_id,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_url_filter": op13_url_filter,
 }
-
-ORACLES: dict[str, str] = {}
