@@ -478,6 +478,14 @@ def q_base_model_results(spark, sf):
     return EN.run_ensemble(spark, FX.patients_raw(spark, sf), stacking=False).results
 
 
+@query("stacking_results")
+def q_stacking_results(spark, sf):
+    """As ``base_model_results`` with out-of-fold stacking over five folds:
+    (mode, model, threshold, metrics on test) of all five models."""
+    from . import ensemble as EN
+    return EN.run_ensemble(spark, FX.patients_raw(spark, sf)).results
+
+
 @query("label_shuffle_auc")
 def q_label_shuffle_auc(spark, sf):
     from . import ensemble as EN
@@ -539,16 +547,7 @@ def q_chi_square_extended(spark, sf):
 def q_feature_importance(spark, sf):
     """M9 + K3: boosted-model importances on the full training split."""
     from . import ensemble as EN
-    from ..operators import models as MD
-    from ..session import cut_lineage
-    data = cut_lineage(EN.prepare(FX.patients_raw(spark, sf)))
-    sp = cut_lineage(SP.three_way_split(data, FX.TARGET, "row_id", 0.2, 0.2, 42))
-    full = sp.where(F.col("split") != "test").drop("split")
-    pre = fit_preprocess(full, list(FX.CATEGORICAL))
-    tr = cut_lineage(EN.design(pre, full))
-    gbt = [s for s in MD.default_specs() if s.kind == "boosted"]
-    fitted = EN._fit_all(spark, gbt, tr, 42, EN.positive_weight(tr))
-    return MD.feature_importance(spark, fitted[gbt[0].name], EN.FEATURE_COLS)
+    return EN.boosted_importance(spark, FX.patients_raw(spark, sf))
 
 
 # --- the same operators on real labels and on the largest table -------------------
