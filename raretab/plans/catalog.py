@@ -403,6 +403,21 @@ def q_csv_roundtrip(spark, sf):
     return back.select(*[F.col(c).cast(T._parse_datatype_string(schema[c])).alias(c) for c in p.columns])
 
 
+@query("csv_quoted_newlines")
+def q_csv_quoted_newlines(spark, sf):
+    """All documents as CSV, newlines inside quoted fields, read
+    back by byte ranges; texts are compared by digest."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    docs = IO.read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    IO.write_table(docs, path, fmt="csv")
+    back = IO.read_csv(spark, path, {"doc_id": "bigint"})
+    return back.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"),
+                       F.length("text").cast("long").alias("n_chars"),
+                       (F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n")))).cast("long").alias("n_newlines"))
+
+
 @query("model_features")
 def q_model_features(spark, sf):
     p = FE.drop_present(FX.patients(spark, sf).withColumn("row_id", F.col(FX.ID_COL)))

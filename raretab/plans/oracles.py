@@ -584,6 +584,12 @@ ORACLES["kde_grid"] = with_fixtures("""
 
 ORACLES["csv_roundtrip"] = with_fixtures("SELECT * FROM patients", "patients")
 
+ORACLES["csv_quoted_newlines"] = """
+  SELECT doc_id, nullif(source, '') AS source, md5(nullif(text, '')) AS text_md5,
+         length(nullif(text, ''))::BIGINT AS n_chars,
+         (length(nullif(text, '')) - length(replace(nullif(text, ''), chr(10), '')))::BIGINT AS n_newlines
+  FROM documents"""
+
 ORACLES["model_features"] = with_fixtures("""
   SELECT patient_id AS row_id, age * has_hypertension AS age_x_hypertension,
          age * has_heart_disease AS age_x_heart_disease,

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .records import read_csv_text
+
 # The missing-value markers a CSV reader treats as NA by default
 # (pandas' documented default list).
 MISSING_TOKENS = (
@@ -70,12 +72,13 @@ def read_csv(spark: SparkSession, path: str,
              schema: T.StructType | Mapping[str, str] | None = None,
              tokens: Sequence[str] = MISSING_TOKENS) -> DataFrame:
     """S1 + S2 + S4: header CSV, missing tokens -> NULL, safe casts, and the
-    accidental index column dropped when present.
+    accidental index column dropped when present.  Large files are read in
+    many tasks (see ``records``).
 
     ``schema`` gives target types per column, columns not named staying
     strings; without one, numeric columns are found by ``infer_types``.
     """
-    raw = spark.read.options(**CSV_OPTIONS, inferSchema=False).csv(path)
+    raw = read_csv_text(spark, path, CSV_OPTIONS)
     raw = raw.select(*[normalise_missing(c, tokens).alias(c) for c in raw.columns])
     targets: dict[str, str] = {}
     if schema is None:
