@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import safe_div
-from .prefix import prefix_before
+from .prefix import MAX_BUCKETS, prefix_before
 
 # Operating modes (precision floor and the objective maximised)
 # and the threshold grid 0.01 ... 0.98 with a default of 0.5 when no
@@ -57,7 +57,7 @@ def _desc_cumulative(sc: DataFrame, groups: Sequence[str], score: str, n_buckets
 
 
 def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-            label: str = "y", n_buckets: int = 256) -> DataFrame:
+            label: str = "y", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """AUC = sum_s pos_s * (neg below s + neg_s / 2) / (P * N)."""
     sc = score_counts(scored, groups, score, label)
     r = prefix_before(sc, groups, [score], ["neg", "pos"], n_buckets=n_buckets, with_totals=True)
@@ -69,7 +69,7 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-              label: str = "y", n_buckets: int = 256, drop_intermediate: bool = True) -> DataFrame:
+              label: str = "y", n_buckets: int = MAX_BUCKETS, drop_intermediate: bool = True) -> DataFrame:
     """(groups..., threshold, fpr, tpr) per distinct score plus the
     (0, 0) start at threshold +inf.  With ``drop_intermediate`` a point is
     dropped when it is collinear with its neighbours (its successor in
@@ -94,7 +94,7 @@ def roc_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str
 
 
 def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-             label: str = "y", n_buckets: int = 256) -> DataFrame:
+             label: str = "y", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """(groups..., threshold, precision, recall) per distinct score plus
     the end point (precision 1, recall 0, threshold null)."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
@@ -109,7 +109,7 @@ def pr_curve(scored: DataFrame, groups: Sequence[str] = ("model",), score: str =
 
 
 def average_precision(scored: DataFrame, groups: Sequence[str] = ("model",), score: str = "p",
-                      label: str = "y", n_buckets: int = 256) -> DataFrame:
+                      label: str = "y", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """W6 + W7: AP = sum_s (pos_s / P) * precision_s (step interpolation),
     and the no-skill baseline P / (P + N)."""
     c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
@@ -206,15 +206,27 @@ def confusion(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str] =
 
 
 def results_table(scored: DataFrame, thresholds: DataFrame, groups: Sequence[str] = ("model",),
-                  score: str = "p", label: str = "y", n_buckets: int = 256) -> DataFrame:
+                  score: str = "p", label: str = "y", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """(mode, group, threshold, auc_roc, auc_pr, recall, precision, f1,
-    accuracy)."""
-    auc = roc_auc(scored, groups, score, label, n_buckets)
-    ap = average_precision(scored, groups, score, label, n_buckets).drop("baseline")
-    conf = confusion(scored, thresholds, groups, score, label)
-    return (conf.join(auc, list(groups)).join(ap, list(groups))
-            .select("mode", *groups, "threshold", "auc_roc", "auc_pr", "recall", "precision", "f1",
-                    "accuracy"))
+    accuracy), all from one descending cumulative pass over the counted
+    scores: the areas as in ``roc_auc`` and ``average_precision``, the
+    confusion counts as sums of the counts on either side of the threshold."""
+    c = _desc_cumulative(score_counts(scored, groups, score, label), groups, score, n_buckets)
+    # modes x models rows, bounded by code: broadcast
+    j = c.join(F.broadcast(thresholds), list(groups))
+    chosen = F.col(score) >= F.col("threshold")
+    below = F.col("n_neg_all") - F.col("fps")
+    precise = F.col("tps").cast("double") / (F.col("tps") + F.col("fps"))
+    g = j.groupBy("mode", *groups, "threshold").agg(
+        F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0)).alias("_area"),
+        F.sum(F.col("pos") * precise).alias("_steps"),
+        F.sum(F.when(chosen, F.col("pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(chosen, F.col("neg")).otherwise(0)).alias("fp"),
+        F.max("n_pos_all").alias("_P"), F.max("n_neg_all").alias("_N"))
+    rated = with_rates(g.withColumns({"fn": F.col("_P") - F.col("tp"), "tn": F.col("_N") - F.col("fp")}))
+    return rated.select("mode", *groups, "threshold",
+                        F.try_divide(F.col("_area"), F.col("_P").cast("double") * F.col("_N")).alias("auc_roc"),
+                        safe_div(F.col("_steps"), F.col("_P")).alias("auc_pr"), "recall", "precision", "f1", "accuracy")
 
 
 METRICS = ("auc_roc", "auc_pr", "recall", "precision", "f1")

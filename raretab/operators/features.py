@@ -12,10 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.fixtures import MODEL_DROP
 
-
-def drop_present(df: DataFrame, names: Sequence[str] = MODEL_DROP) -> DataFrame:
+def drop_present(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Drop the named columns that exist (``drop`` ignores absent names)."""
     return df.drop(*names)
 

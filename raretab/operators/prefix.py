@@ -9,8 +9,8 @@ holds about 1/B of a part.
 Two bucketings are offered:
 
 * quantile buckets: cut points from ``percentile_approx`` of the sort key
-  (one broadcast row of B-1 doubles), mapped to a bucket by a two-level
-  count (2 sqrt(B) flat comparisons, codegen'd).
+  (one broadcast row of doubles), mapped to a bucket by a binary search, and
+  each bucket cut into equal value ranges where the input is large.
 * a caller-supplied bucket column, e.g. the top bits of a uniform hash.
 """
 
@@ -24,23 +24,21 @@ from pyspark.sql import functions as F
 BUCKET = "_bkt"
 
 
-def _two_level_bucket(x: Column, cuts: Column, side: int) -> Column:
-    """Number of ``cuts`` elements <= x for ``side**2 - 1`` sorted cuts.
+# Quantile buckets of the first level (a power of two): one broadcast row of this many doubles.
+MAX_BUCKETS = 1 << 10
+
+
+def _searched_bucket(x: Column, bounds: Column, n: int) -> Column:
+    """Number of the inner ``bounds`` (n - 1 sorted cuts between the first and
+    the last entry) that are <= x, n a power of two: a binary search."""
+    steps = F.array(*[F.lit(n >> i) for i in range(1, n.bit_length())])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        x >= F.get(bounds, at + step), at + step).otherwise(at))
 
-    A coarse count over every ``side``-th cut, then a fine count inside the
-    selected run read at a dynamic index: 2(side-1) flat comparisons,
-    codegen'd, and a small plan (nested CASE trees are slow to optimise).
-    """
-    coarse = None
-    for i in range(side - 1):
-        t = (x >= cuts.getItem(side * i + side - 1)).cast("int")
-        coarse = t if coarse is None else coarse + t
-    fine = None
-    for j in range(side - 1):
-        idx = (F.lit(side) * coarse + F.lit(j + 1)).cast("int")  # element_at is 1-based
-        t = F.coalesce((x >= F.element_at(cuts, idx)).cast("int"), F.lit(0))
-        fine = t if fine is None else fine + t
-    return F.lit(side) * coarse + fine
+
+def _fractions(n: int) -> Column:
+    """1/n .. (n-1)/n as one constant (an array of n literals would make a large plan)."""
+    return F.split(F.lit(",".join(repr(i / n) for i in range(1, n))), ",").cast("array<double>")
 
 
 # Target rows per bucket window; fewer rows use fewer buckets (down to one).
@@ -56,32 +54,36 @@ def _coarsen(bkt: Column, nb: int, rows: Column, rows_per_bucket: int | None) ->
     return F.floor(bkt * eff / F.lit(nb)).cast("int")
 
 
-def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int,
-                          descending: bool = False, accuracy: int = 10000,
-                          rows_per_bucket: int | None = None) -> DataFrame:
-    """Adds ``_bkt`` from approximate quantile cut points of ``order_col``;
-    at most B buckets (B rounded to a square, 256 = 16 x 16 by default),
-    fewer when the input is small (about ``rows_per_bucket`` rows each).
+def with_quantile_buckets(df: DataFrame, order_col: str, n_buckets: int = MAX_BUCKETS,
+                          descending: bool = False, rows_per_bucket: int | None = None) -> DataFrame:
+    """Adds ``_bkt``, monotone in ``order_col``, with about ``rows_per_bucket``
+    rows in each at every size.
+
+    First level: ``n_buckets`` (rounded down to a power of two) quantile
+    buckets, joined to fewer where the input is small.  Second level: where it
+    is larger than the first level holds, every quantile bucket is cut into
+    equal ranges of values, as many as its rows need; values crowded in one spot
+    of a quantile bucket share a range, which is at most 1 / n_buckets of all.
 
-    The cut points and the row count are a one-row aggregate (B-1 doubles
-    whatever the data size) broadcast to every task, so the input is not
-    shuffled and nothing reaches the driver; a dense value range receives
-    many cut points.
+    The cut points and the row count are a one-row aggregate (n_buckets + 1
+    doubles whatever the data size) broadcast to every task, so the input is not
+    shuffled and nothing reaches the driver.
     """
-    side = max(1, int(round(n_buckets ** 0.5)))
-    if side <= 1:
+    nb = 1 << (max(1, n_buckets).bit_length() - 1)
+    if nb == 1:
         return df.withColumn(BUCKET, F.lit(0))
-    nb = side * side
-    fr = [i / nb for i in range(1, nb)]
-    cuts = df.agg(F.percentile_approx(F.col(order_col).cast("double"), fr, accuracy).alias("_cuts"),
-                  F.count(F.lit(1)).alias("_rows"))
+    x = F.col(order_col).cast("double")
+    cuts = df.agg(F.percentile_approx(x, _fractions(nb), F.lit(16 * nb)).alias("_cuts"),
+                  F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(F.lit(1)).alias("_rows"))
+    cuts = cuts.select(F.concat(F.array("_lo"), "_cuts", F.array("_hi")).alias("_bounds"), "_rows")
     # Exactly one row: a size-proven broadcast.
-    j = df.join(F.broadcast(cuts), how="inner", on=F.lit(True))
-    bkt = _two_level_bucket(F.col(order_col).cast("double"), F.col("_cuts"), side)
-    if descending:
-        bkt = F.lit(nb - 1) - bkt
-    bkt = _coarsen(bkt, nb, F.col("_rows"), rows_per_bucket)
-    return j.withColumn(BUCKET, bkt).drop("_cuts", "_rows")
+    j = df.join(F.broadcast(cuts), how="inner", on=F.lit(True)).withColumn("_level", _searched_bucket(x, F.col("_bounds"), nb))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(float(nb * (rows_per_bucket or ROWS_PER_BUCKET)))))
+    lo, hi = F.get("_bounds", F.col("_level")), F.get("_bounds", F.col("_level") + 1)
+    at = F.coalesce(F.floor(F.try_divide(x - lo, hi - lo) * parts), F.lit(0))
+    at = F.least(F.greatest(at, F.lit(0)), parts - 1)
+    bkt = _coarsen(F.col("_level"), nb, F.col("_rows"), rows_per_bucket) * parts + F.when(parts > 1, at).otherwise(0)
+    return j.withColumn(BUCKET, -bkt if descending else bkt).drop("_bounds", "_rows", "_level")
 
 
 def with_hash_buckets(df: DataFrame, hash_col: str, bits: int,
@@ -95,7 +97,7 @@ def with_hash_buckets(df: DataFrame, hash_col: str, bits: int,
 
 
 def prefix_before(df: DataFrame, parts: Sequence[str], order_cols: Sequence[str],
-                  weights: Sequence[str], n_buckets: int = 256,
+                  weights: Sequence[str], n_buckets: int = MAX_BUCKETS,
                   bucket_col: Column | None = None, descending: bool = False,
                   with_totals: bool = False, hash_bits: int | None = None) -> DataFrame:
     """Adds ``<w>_before`` for each weight: the sum of ``w`` over rows of the

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, safe_div
+from .prefix import MAX_BUCKETS
 from .quantiles import grouped_quantiles
 
 
@@ -161,7 +162,7 @@ def class_means(df: DataFrame, features: Sequence[str], target: str) -> DataFram
 
 
 def box_summary(df: DataFrame, features: Sequence[str], target: str,
-                n_buckets: int = 256) -> DataFrame:
+                n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Quartiles, 1.5 IQR whiskers (most extreme value inside the
     fences) and the number of values outside, per feature and class.
     Everything is computed from one (feature, class, value) count table:
@@ -189,36 +190,45 @@ def box_summary(df: DataFrame, features: Sequence[str], target: str,
                     F.greatest("whisker_hi", "q3").alias("whisker_hi"), "n_outliers")
 
 
-def _pearson(a: str, b: str) -> Column:
-    """Pearson r over rows where both are known; null when one does not vary
-    (the built-in ``corr`` divides by zero there)."""
-    x, y = nan_to_null(F.col(a).cast("double")), nan_to_null(F.col(b).cast("double"))
-    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def _numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as doubles named c0, c1, ..., NaN as null, cast once."""
+    return df.select(*[nan_to_null(F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def _pearson_pairs(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """One row with ``r_i_j`` of every pair: Pearson r over the rows where both
+    are known; null where one of them does not vary there."""
+    x = _numbers(df, columns)
+
+    def r(i: int, j: int) -> Column:
+        a, b = F.col(f"c{i}"), F.col(f"c{j}")
+        a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        # the built-in corr divides by zero where a column does not vary
+        return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+    return x.agg(*[r(i, j).alias(f"r_{i}_{j}") for i, j in pairs])
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson r for every ordered pair (one agg)."""
     cols = list(columns)
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    agg = df.agg(*[_pearson(cols[i], cols[j]).alias(f"_r{i}_{j}") for i, j in pairs]) if pairs else None
-    items = []
-    for i, j in pairs:
-        r = F.col(f"_r{i}_{j}")
-        items.append(F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"), r.alias("r")))
-        items.append(F.struct(F.lit(cols[j]).alias("col_i"), F.lit(cols[i]).alias("col_j"), r.alias("r")))
-    for c in cols:
-        items.append(F.struct(F.lit(c).alias("col_i"), F.lit(c).alias("col_j"), F.lit(1.0).alias("r")))
-    base = agg if agg is not None else df.agg(F.count(F.lit(1)).alias("_n"))
+    base = _pearson_pairs(df, cols, pairs) if pairs else df.agg(F.count(F.lit(1)).alias("_n"))
+
+    def item(i: int, j: int, r: Column) -> Column:
+        return F.struct(F.lit(cols[i]).alias("col_i"), F.lit(cols[j]).alias("col_j"), r.alias("r"))
+
+    items = [item(*at, F.col(f"r_{i}_{j}")) for i, j in pairs for at in ((i, j), (j, i))]
+    items += [item(i, i, F.lit(1.0)) for i in range(len(cols))]
     return base.select(F.explode(F.array(*items)).alias("_kv")).select("_kv.*")
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """Correlation of each feature with the target, ranked by |r|."""
     feats = [c for c in columns if c != target]
-    agg = df.agg(*[_pearson(c, target).alias(f"_r{i}") for i, c in enumerate(feats)])
+    agg = _pearson_pairs(df, [*feats, target], [(i, len(feats)) for i in range(len(feats))])
     long = agg.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"_r{i}").alias("r"))
+        F.struct(F.lit(c).alias("feature"), F.col(f"r_{i}_{len(feats)}").alias("r"))
         for i, c in enumerate(feats)])).alias("_kv")).select("_kv.*")
     return long.withColumn("rank", F.row_number().over(
         Window.orderBy(F.abs("r").desc_nulls_last(), F.col("feature"))))
@@ -226,15 +236,16 @@ def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> D
 
 # --- snapshot ----------------------------------------------------------------
 
-def snapshot(df: DataFrame, target: str, source_name: str) -> DataFrame:
-    """(Metric, Value) strings: rows, cases, prevalence, source."""
+def snapshot(df: DataFrame, target: str, source_name: str, event: str = "Case") -> DataFrame:
+    """(Metric, Value) strings: rows, cases, prevalence, source; ``event``
+    names what the target counts."""
     a = prevalence(df, target)
     return a.select(F.explode(F.array(
         F.struct(F.lit(1).alias("ord"), F.lit("Rows").alias("Metric"),
                  F.format_number(F.col("n_rows"), 0).alias("Value")),
-        F.struct(F.lit(2).alias("ord"), F.lit("Stroke cases").alias("Metric"),
+        F.struct(F.lit(2).alias("ord"), F.lit(f"{event} cases").alias("Metric"),
                  F.format_number(F.col("n_pos"), 0).alias("Value")),
-        F.struct(F.lit(3).alias("ord"), F.lit("Stroke prevalence").alias("Metric"),
+        F.struct(F.lit(3).alias("ord"), F.lit(f"{event} prevalence").alias("Metric"),
                  F.format_string("%.2f%%", F.col("prevalence") * 100).alias("Value")),
         F.struct(F.lit(4).alias("ord"), F.lit("Source file").alias("Metric"),
                  F.lit(source_name).alias("Value")),

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .prefix import prefix_before
+from .prefix import MAX_BUCKETS, prefix_before
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -38,7 +38,7 @@ def _hit(rank: Column) -> Column:
 
 
 def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str,
-                       out: str = "median", n_buckets: int = 256) -> DataFrame:
+                       out: str = "median", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Medians from a (keys..., value, _n) value-count table."""
     r = _ranked(vc, keys, value, n_buckets)
     lo = F.floor((F.col("_n_total") + 1) / 2)      # 1-based lower middle
@@ -50,13 +50,13 @@ def median_from_counts(vc: DataFrame, keys: Sequence[str], value: str,
 
 
 def grouped_median(df: DataFrame, keys: Sequence[str], value: str,
-                   out: str = "median", n_buckets: int = 256) -> DataFrame:
+                   out: str = "median", n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """One row per group with at least one non-null value: ``keys + [out]``."""
     return median_from_counts(value_counts(df, keys, value), keys, value, out, n_buckets)
 
 
 def grouped_and_global_median(df: DataFrame, keys: Sequence[str], value: str,
-                              n_buckets: int = 256) -> tuple[DataFrame, DataFrame]:
+                              n_buckets: int = MAX_BUCKETS) -> tuple[DataFrame, DataFrame]:
     """Group medians and the global median from one value-count pass.
 
     The global value counts are re-aggregated from the grouped ones (small),
@@ -73,14 +73,14 @@ def grouped_and_global_median(df: DataFrame, keys: Sequence[str], value: str,
     return grouped, global_
 
 
-def median_scalar(df: DataFrame, value: str, n_buckets: int = 256) -> Column:
+def median_scalar(df: DataFrame, value: str, n_buckets: int = MAX_BUCKETS) -> Column:
     """A5 as a scalar-subquery column (evaluated once, no join)."""
     return grouped_median(df, [], value, "_m", n_buckets).select("_m").scalar()
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str,
                       qs: Sequence[float], names: Sequence[str] | None = None,
-                      n_buckets: int = 256, counts: DataFrame | None = None) -> DataFrame:
+                      n_buckets: int = MAX_BUCKETS, counts: DataFrame | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per q.
     ``counts`` may pass a ready (keys..., value, _n) value-count table."""
     names = list(names or [f"q{int(round(q * 100)):02d}" for q in qs])

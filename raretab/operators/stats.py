@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import neg_log10_floor
 from ..functions.pvalues import p_from_chi2, p_from_z
-from .prefix import prefix_before
+from .prefix import MAX_BUCKETS, prefix_before
 from .profile import unpivot_levels, unpivot_numeric
 
 
 def average_ranks(long: DataFrame, parts: Sequence[str], value: str, target: str = "y",
-                  n_buckets: int = 256) -> DataFrame:
+                  n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """Distinct (parts, value) rows with per-class counts and the
     average (mid) rank of the value within its part."""
     vc = long.groupBy(*parts, value).agg(
@@ -34,7 +34,7 @@ def average_ranks(long: DataFrame, parts: Sequence[str], value: str, target: str
 
 
 def mann_whitney(df: DataFrame, features: Sequence[str], target: str,
-                 n_buckets: int = 256) -> DataFrame:
+                 n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """T-1: (feature, n0, n1, u_stat, z) — U of class 0 as reported, |z| of
     the tie- and continuity-corrected normal approximation."""
     ranks = average_ranks(unpivot_numeric(df, features, target), ["feature"], "value",
@@ -83,7 +83,7 @@ def chi_square(df: DataFrame, features: Sequence[str], target: str,
 
 
 def test_battery(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
-                 target: str, n_buckets: int = 256) -> DataFrame:
+                 target: str, n_buckets: int = MAX_BUCKETS) -> DataFrame:
     """T-4 + T-3 + P16 + K4: (Feature, Test, p_value, statistic, neg_log10_p),
     ordered by significance within each test."""
     mw = mann_whitney(df, numeric, target, n_buckets).select(

@@ -165,7 +165,7 @@ def q_target_correlations(spark, sf):
 
 @query("snapshot")
 def q_snapshot(spark, sf):
-    return PR.snapshot(C.clean(FX.patients_raw(spark, sf)), FX.TARGET, "patients_cleaned")
+    return PR.snapshot(C.clean(FX.patients_raw(spark, sf)), FX.TARGET, "patients_cleaned", event="Stroke")
 
 
 @query("avg_ranks_age")
@@ -420,7 +420,7 @@ def q_csv_quoted_newlines(spark, sf):
 
 @query("model_features")
 def q_model_features(spark, sf):
-    p = FE.drop_present(FX.patients(spark, sf).withColumn("row_id", F.col(FX.ID_COL)))
+    p = FE.drop_present(FX.patients(spark, sf).withColumn("row_id", F.col(FX.ID_COL)), FX.MODEL_DROP)
     x = FE.model_features(p)
     return x.select("row_id", *[c for c in FE.MODEL_FEATURES if c != "log_glucose"],
                     F.round("log_glucose", 10).alias("log_glucose"))
@@ -521,7 +521,7 @@ def q_snapshot_preferred_source(spark, sf):
     cleaned_path = f"{base}/patients_cleaned-{uuid.uuid4().hex}.parquet"
     IO.write_table(C.clean(FX.patients_raw(spark, sf)), cleaned_path)
     df, source = IO.load_preferred(spark, cleaned_path, f"{sf.rstrip('/')}/orders.parquet")
-    return PR.snapshot(df, FX.TARGET, source.split("-")[0])
+    return PR.snapshot(df, FX.TARGET, source.split("-")[0], event="Stroke")
 
 
 @query("test_summary_sink")

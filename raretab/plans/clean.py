@@ -16,9 +16,10 @@ from ..operators.impute import impute_grouped_median
 from ..sources.fixtures import ID_COL, TARGET
 from ..session import cut_lineage
 from ..sources.io import drop_index_column
+from ..operators.prefix import MAX_BUCKETS
 
 
-def clean(raw: DataFrame, id_col: str = ID_COL, n_buckets: int = 256) -> DataFrame:
+def clean(raw: DataFrame, id_col: str = ID_COL, n_buckets: int = MAX_BUCKETS) -> DataFrame:
     df = drop_index_column(raw)
     # The deduplicated table is read twice (median fit, then fill): write it
     # once to the checkpoint folder rather than shuffling the raw rows twice.
