@@ -16,8 +16,12 @@ joined.
   elements together), which keeps lists short where single elements are common;
   of these keys a set leaves out its c - 1 most frequent (shared passages), and
   a linked pair still meets in one.
-  Lists are scanned against two hub sets each (grouped minimum and join, no
-  expansion).  Sets that share a list with another component after that enter
+  Lists are scanned against one hub set each, in rounds: linked sets are
+  contracted to their component, and only lists that still hold two components
+  enter the next round, where a set of the largest component is the hub and its
+  own component no longer asks.  So a round has at most ``HUBS`` pairs a set,
+  however large a group of near copies is.
+  Sets that share a list with another component after that enter
   lists of single elements, rarest first, with prefix and position filters, and
   are compared across components only.  Candidates are first held against parity sketches of the sets (a lower bound of their
   difference) and those left are verified on the sets.
@@ -52,6 +56,7 @@ from raretab.llm._common import Powers, mix64, range_hashes, stage, text_blocks,
 from raretab.llm._components import components
 from raretab.llm.mix import word_count
 
+HUBS, ROUNDS = 8, 3         # hubs of a set in a round, and rounds before the open pairs
 SPARE = 64                  # a level of sets below 2**l shares 1 + 2**l / SPARE equal parts
 LEVEL_BITS = np.uint64(63)
 LARGEST_BOUNDARY = 24       # sizes up to which the subset way is costed
@@ -285,12 +290,6 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spare = F.expr(f"1 + (1L << (key & {int(LEVEL_BITS)})) div {SPARE}")
     members = stage(listed.join(often, "key").distinct().withColumn("_n", F.row_number().over(by_length))
                     .where(F.col("_n") >= spare).select("key", "set_id"), "jaccard-lists")
-    # xor with the key orders each list its own way, so a set meets many different hubs
-    own = F.col("set_id").bitwiseXOR(F.col("key"))
-    ends = members.groupBy("key").agg(F.min(own).alias("_lo"), F.max(own).alias("_hi")).where("_lo < _hi")
-    ends = ends.select("key", F.col("_lo").bitwiseXOR(F.col("key")).alias("hub"),
-                       F.col("_hi").bitwiseXOR(F.col("key")).alias("hub2"))
-    members = stage(members.join(ends, "key"), "jaccard-hubs")
     wanted = stage(members.select("set_id").distinct().join(classes, "set_id"), "jaccard-wanted")
     # one plan at every size: texts are exchanged by their key, never against a broadcast
     keys = wanted.select("set_id", "n", F.col("text_key").alias("_text_key")).hint("merge")
@@ -298,22 +297,47 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
              .select("set_id", "n", "text").dropDuplicates(["set_id"]))
     found = stage(found, "jaccard-texts")
 
-    first = (members.select(F.explode(F.array("hub", "hub2")).alias("a"), F.col("set_id").alias("b")).where("a <> b")
-             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = [stage(light_links, "jaccard-links"), stage(_verified(_close(first, wanted, t), found, n, t), "jaccard-links")]
-    root = components(links[0].union(links[1]))
+    links = [stage(light_links, "jaccard-links")]
+    root, tried, mixed = components(links[0]), None, members
+    for turn in range(ROUNDS):
+        mixed = stage(_mixed(mixed.select("key", "set_id"), root), "jaccard-mixed")
+        pairs = _hub_pairs(mixed, turn)
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-hubs")
+        tried = pairs if tried is None else tried.union(pairs)
+        links.append(stage(_verified(_close(pairs, wanted, t), found, n, t), "jaccard-links"))
+        root = components(reduce(DataFrame.union, links))
 
     # what the hubs left open: sets that share a list with another component
-    named = members.select("key", "set_id").join(root, members["set_id"] == root["node"], "left").select(
-        "key", "set_id", F.coalesce("root", "set_id").alias("root"))
-    mixed = (named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b"))
-             .where("_a < _b").select("key"))
-    unsettled = named.join(mixed, "key").groupBy("set_id").agg(F.min("root").alias("root"))
-    rest = _open_pairs(found.join(unsettled, "set_id"), n, t).join(first, ["a", "b"], "left_anti")
+    unsettled = _mixed(mixed.select("key", "set_id"), root).groupBy("set_id").agg(F.min("root").alias("root"))
+    rest = _open_pairs(found.join(unsettled, "set_id"), n, t).join(tried, ["a", "b"], "left_anti")
     links.append(stage(_verified(_close(rest, wanted, t), found, n, t), "jaccard-links"))
     return rows.select("doc_id", "text_key", "n_shingles", "set_id"), reduce(DataFrame.union, links)
 
 
+def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, set_id, root) of the lists that hold more than one component."""
+    named = members.join(root, members["set_id"] == root["node"], "left").select(
+        "key", "set_id", F.coalesce("root", "set_id").alias("root"))
+    several = named.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).where("_a < _b").select("key")
+    return named.join(several, "key")
+
+
+def _hub_pairs(mixed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a < b) of one round: in each list a set of its most frequent
+    component is the hub of all others; a set takes the ``HUBS`` hubs that most
+    of its lists name.  Every list and every round has its own order, so lists of
+    the same sets name different hubs."""
+    own = F.xxhash64(F.lit(turn), "key").alias("_s")
+    parts = (mixed.groupBy("key", own, "root")
+             .agg(F.count("*").alias("c"), F.min(F.struct(F.col("set_id").bitwiseXOR(own).alias("_o"), "set_id")).alias("_m")))
+    major = parts.groupBy("key").agg(F.max(F.struct("c", F.col("_m._o").alias("_o"), "root", F.col("_m.set_id").alias("hub"))).alias("m"))
+    met = (mixed.join(major, "key").where("root <> m.root")
+           .groupBy(F.col("m.hub").alias("hub"), "set_id").agg(F.count("*").alias("c")))
+    by_lists = Window.partitionBy("set_id").orderBy(F.desc("c"), "hub")
+    return (met.withColumn("_n", F.row_number().over(by_lists)).where(F.col("_n") <= HUBS)
+            .select(F.least("hub", "set_id").alias("a"), F.greatest("hub", "set_id").alias("b")).distinct())
+
+
 def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
     """Pairs (a < b) of different components that can link, from inverted lists
     of single elements in order of frequency among these sets.
@@ -429,7 +453,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int
     keys = best.union(alone).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"),
                                     F.col("doc_id").isNull().alias("_no_id"), F.col("text_key").alias("_text_key"))
     names = ["_id", "_no_id", "_text_key"]
-    keyed = (docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-             .withColumn("_no_id", F.col(doc_id).isNull())
-             .withColumn("_text_key", F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
-    return keyed.join(keys, names, "left_semi").dropDuplicates(names).select(*docs.columns)
+    # the row travels as one column, so no name of its own can clash
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"),
+                        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_id"), F.col(doc_id).isNull().alias("_no_id"),
+                        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text_key"))
+    return keyed.join(keys, names, "left_semi").dropDuplicates(names).select("_row.*")

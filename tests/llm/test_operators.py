@@ -484,3 +484,34 @@ def test_empty_table(empty, run):
 
 def test_clashing_names_are_in_the_fixture(edge):
     assert set(CLASHING) <= set(edge.columns)
+
+
+def test_large_group_of_near_copies_meets_in_rounds(spark, monkeypatch):
+    """A round has at most sets times hubs pairs where several hundred texts
+    differ from one another by a few words, and no link is lost."""
+    rng = np.random.default_rng(11)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(240):
+        words = list(base)
+        for at in rng.integers(0, 120, rng.integers(0, 4)):
+            words[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(words))
+    counts = []
+    close = jaccard._close
+    monkeypatch.setattr(jaccard, "_close", lambda pairs, sets, t: counts.append(pairs.count()) or close(pairs, sets, t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
+    want, sets = brute.components(texts, 4, 85, 100)
+    assert [got[i] for i in range(len(texts))] == want
+    classes = len(set(sets))
+    assert len(counts) == jaccard.ROUNDS + 1
+    assert all(c <= classes * jaccard.HUBS for c in counts[:-1])
+
+
+def test_keep_one_leaves_clashing_columns_alone(spark):
+    rows = [(1, "a b c d e f", "mine", "his", 7), (2, "a b c d e f", "x", "y", 8), (3, None, "p", "q", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _text_key string, _no_id long")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
