@@ -2,19 +2,22 @@
 
 ``text_statistics`` adds the counts the base verdict needs.  ``Rule`` pairs a
 name with a predicate that is true for a text to reject.  ``order_rules`` runs
-every rule on a bounded hashed sample, takes its share of rejections
-(selectivity) and its seconds per pass (cost), and sorts by rejections per
-cost; ``cascade`` evaluates the rules in that order with CASE WHEN, so a later
-rule is not computed for a text that an earlier one has rejected.  The order
-changes the work only, never the verdict: a text is kept when no rule rejects
-it.
+every rule on a bounded hashed sample.  A rule's cost is the time of a pass over
+the sample, repeated so that the work outweighs the job, less the time of a pass
+without a rule; its selectivity is the share of texts that it rejects and that
+no rule placed before it does.  The rule with most such rejections per cost
+comes next.  ``cascade`` evaluates the rules in that order with CASE WHEN, so a
+later rule is not computed for a text that an earlier one has rejected.  The
+order changes the work only, never the verdict: a text is kept when no rule
+rejects it.  ``failed_rule`` names the first rule in that order, which depends
+on measured times.
 
 Everything is built-in column functions over whole texts, without a shuffle.
 
 Edge cases: null text has no words and fails the base; ties in rejections per
 cost keep the given order; an empty sample keeps the given order; repeated rows
-get equal verdicts; extra columns pass through, columns named as an output are
-replaced.
+get equal verdicts; extra columns pass through (``quality`` keeps those named
+like its scratch columns too), columns named as an output are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raretab.llm._common import SPACE, SPACE_CHARS
+from raretab.llm._common import SPACE, SPACE_CHARS, set_aside
 
 # Fixed values of the base verdict.
 SYMBOLS = "#*$%&|<>"
@@ -35,6 +38,8 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20          # percent of the words
 
 SAMPLE_ROWS = 2_000         # bound of the sample that orders the rules
+REPEATS = 10                # times a timed pass goes over the sample
+SCRATCH = ("_words", "_hashes", "_grams", "_sorted", "_placed", "_lines", "_n_lines", "_failed")
 
 
 @dataclass(frozen=True)
@@ -113,22 +118,38 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
+def _seconds(sample: DataFrame, rejects: Column) -> float:
+    """Time of one pass that counts ``rejects`` over the repeated sample."""
+    again = sample.withColumn("_again", F.explode(F.sequence(F.lit(1), F.lit(REPEATS))))
+    began = time.perf_counter()
+    again.agg(F.count_if(rejects & (F.col("_again") > 0))).first()
+    return time.perf_counter() - began
+
+
 def order_rules(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text",
                 sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, seconds) in the order of rejections per cost,
-    measured on about ``sample_rows`` rows that pass the base."""
+    """(rule, share it rejects beyond the rules before it, seconds) in the order
+    of rejections per cost, measured on about ``sample_rows`` rows that pass the
+    base."""
     rows = docs.count()
     share = min(1.0, sample_rows / max(rows, 1))
     sample = text_statistics(docs.sample(share, seed=5), text).where(~base_failed()).cache()
-    kept = sample.count()
-    measured = []
-    for rule in rules:
-        rejected = F.coalesce(F.sum(F.coalesce(rule.rejects(F.col(text)), F.lit(False)).cast("long")), F.lit(0))
-        began = time.perf_counter()
-        n = sample.agg(rejected).first()[0]
-        measured.append((rule, n / max(kept, 1), max(time.perf_counter() - began, 1e-6)))
+    flags = [F.coalesce(rule.rejects(F.col(text)), F.lit(False)) for rule in rules]
+    # verdicts of all rules: at most one row a sampled text
+    patterns = [(list(r[:-1]), r[-1]) for r in sample.groupBy(
+        *[f.alias(f"_{i}") for i, f in enumerate(flags)]).count().collect()]
+    kept = sum(n for _, n in patterns)
+    idle = _seconds(sample, F.col("n_words") < 0)
+    cost = [max(_seconds(sample, f) - idle, 1e-6) / REPEATS for f in flags]
     sample.unpersist()
-    return sorted(measured, key=lambda m: -m[1] / m[2])
+    ordered, waiting = [], list(range(len(rules)))
+    while waiting:
+        new = {i: sum(n for bad, n in patterns if bad[i]) / max(kept, 1) for i in waiting}
+        best = max(waiting, key=lambda i: (new[i] / cost[i], -i))
+        ordered.append((rules[best], new[best], cost[best]))
+        patterns = [(bad, n) for bad, n in patterns if not bad[best]]
+        waiting.remove(best)
+    return ordered
 
 
 def cascade(stats: DataFrame, rules: Sequence[Rule], text: str = "text") -> DataFrame:
@@ -146,8 +167,10 @@ def cascade(stats: DataFrame, rules: Sequence[Rule], text: str = "text") -> Data
 
 def quality(docs: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, text: str = "text") -> DataFrame:
     """Measure, order, apply."""
-    ordered = [rule for rule, _, _ in order_rules(docs, rules, text)]
-    return cascade(text_statistics(docs, text), ordered, text)
+    apart, moved = set_aside(docs, SCRATCH)
+    text = {own: free for free, own in moved.items()}.get(text, text)
+    ordered = [rule for rule, _, _ in order_rules(apart, rules, text)]
+    return cascade(text_statistics(apart, text), ordered, text).withColumnsRenamed(moved)
 
 
 __all__ = ["DEFAULT_RULES", "Rule", "base_failed", "cascade", "order_rules", "quality", "text_statistics"]
