@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,29 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
 
 
+def set_aside(docs: DataFrame, scratch: Sequence[str]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with the columns that clash with an operator's scratch names
+    under free names, and free name -> own name."""
+    taken = {c.lower() for c in [*docs.columns, *scratch]}
+    moved = {}
+    for c in docs.columns:
+        if c.lower() in {x.lower() for x in scratch}:
+            free = c
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            moved[free] = c
+    return docs.withColumnsRenamed({c: free for free, c in moved.items()}), moved
+
+
+def free_name(name: str, columns: Sequence[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raretab.llm._common import BLOCK_BYTES, raw_text
+from raretab.llm._common import BLOCK_BYTES, free_name, raw_text
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -152,6 +152,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text",
             yield pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(score, pa.float64())],
                                              ["label", "score"])
 
-    got = docs.withColumn("_lang", classify(F.col(text)))
-    return (got.withColumn(label_out, F.col("_lang.label")).withColumn(score_out, F.col("_lang.score"))
-            .drop("_lang"))
+    found = free_name("_lang", [*docs.columns, label_out, score_out])
+    got = docs.withColumn(found, classify(F.col(text)))
+    return (got.withColumn(label_out, F.col(f"{found}.label")).withColumn(score_out, F.col(f"{found}.score"))
+            .drop(found))

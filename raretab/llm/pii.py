@@ -34,7 +34,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from raretab.llm._common import stage
+from raretab.llm._common import free_name, stage
 
 # Kinds in their order and what they match.
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -189,9 +189,10 @@ def count_kind(spans: Column, kind: str) -> Column:
 def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with every span generalised to its kind's name in brackets;
     overlapping spans become the name of the first.  Null texts stay null."""
+    key, marked = free_name("_row_key", docs.columns), free_name("_spans", docs.columns)
     spans = find(docs, text, doc_id, rule).where(F.size("spans") > 0).select(
-        F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+        F.col("row_key").alias(key), F.col("spans").alias(marked)).dropDuplicates([key])
+    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col(text)
 
@@ -202,8 +203,8 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule:
                         F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate("_spans", start, step, lambda acc: F.concat(
+    done = F.aggregate(marked, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(t, acc["at"] + 1, F.length(t))))
-    return (keyed.join(spans, "_row_key", "left")
-            .withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(done))
+    return (keyed.join(spans, key, "left")
+            .withColumn(text, F.when(F.col(marked).isNull(), t).otherwise(done))
             .select(*docs.columns))

@@ -26,7 +26,7 @@ def op1_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     against all."""
     docs = read_table(spark, sf_dir, "documents")
     queries = docs.where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), "text")
-    return search.search(docs, queries, query_terms=None)
+    return search.search(docs, queries, query_terms=None).withColumn("score", F.round("score", 8))
 
 
 def tokenizer_files() -> tuple[str, str]:
@@ -51,7 +51,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return quality.quality(docs.select("doc_id", "text")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "failed_rule")
+        "base_failed", "kept")
 
 
 def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(read_table(spark, sf_dir, "documents")).select(
-        "doc_id", "n_shingles", "component_id", "set_id")
+        "doc_id", "n_shingles", "component_id")
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

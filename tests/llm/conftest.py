@@ -34,7 +34,9 @@ EDGE = [
     (40, "mail me at some.one@mail.example.com or +1 (555) 123-4567, 10.0.0.1, 4111 1111 1111 1111", "en", "b"),
 ]
 CLASHING = ["shard", "slot", "size", "score", "kept", "n_words", "begin", "seed", "key", "root", "term", "slice",
-            "rank", "item", "word", "near", "form", "host", "path", "rule", "verdict", "_canonical"]
+            "rank", "item", "word", "near", "form", "host", "path", "rule", "verdict", "_canonical",
+            "_words", "_sorted", "_placed", "_lines", "_n_lines", "_failed", "_row_key", "_spans", "_lang", "_id", "_no_id",
+            "_text_key", "_row", "_again"]
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, "
           + ", ".join(f"{c} string" for c in CLASHING) + ", nested map<string, int>")
 

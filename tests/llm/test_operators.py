@@ -515,3 +515,28 @@ def test_keep_one_leaves_clashing_columns_alone(spark):
     kept = jaccard.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
+# names --------------------------------------------------------------------
+
+@pytest.mark.parametrize("run", [
+    lambda d: quality.quality(d), lambda d: pii.sanitise(d), lambda d: jaccard.keep_one(d),
+    lambda d: langid.predict(d, langid.fit(d)), lambda d: mix.mixed_documents(d),
+], ids=["quality", "sanitise", "keep_one", "langid", "mixed_documents"])
+def test_columns_of_scratch_names_pass_through(edge, run):
+    own = [c for c in CLASHING if c.startswith("_")]
+    got = run(edge)
+    assert {*own} <= {*got.columns}
+    assert [tuple(r) for r in got.select(*own).distinct().collect()] == [("mine",) * len(own)]
+
+
+# contract queries against their SQL -----------------------------------------
+
+@pytest.mark.parametrize("name", ["op1_bm25_search", "op4_quality_rules", "op8_substring_dedup", "op9_suffix_dedup",
+                                  "op10_jaccard_join"])
+def test_queries_equal_their_sql(spark, name):
+    from raretab.llm.queries import ORACLES, REGISTRY
+    from tests.conftest import SF_SMALL
+    from tests.oracle_check import compare, duck
+    ok, message = compare(spark, duck(SF_SMALL), name, REGISTRY[name], ORACLES[name], SF_SMALL)
+    assert ok, message
