@@ -579,6 +579,20 @@ def q_doc_labels_mann_whitney(spark, sf):
     return m.select("feature", "n0", "n1", "u_stat", F.round("z", 9).alias("z"))
 
 
+@query("customer_rank_tests")
+def q_customer_rank_tests(spark, sf):
+    """T-1 for every customer: prices of finished orders (class 1) against the
+    others.  Most samples are tiny and without ties: exact p-values; a customer
+    with one class only has no test."""
+    from ..sources.io import read_table
+    long = (read_table(spark, sf, "orders")
+            .select("o_custkey", F.col("o_totalprice").alias("value"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+            .dropna())
+    t = ST.with_rank_p(ST.rank_tests(long, ["o_custkey"]))
+    return t.select("o_custkey", "n0", "n1", "u_stat", "tied",
+                    F.round(F.when(~F.isnan("p_value"), F.col("p_value")), 10).alias("p_value"))
+
+
 @query("lineitem_correlation")
 def q_lineitem_correlation(spark, sf):
     from ..sources.io import read_table

@@ -707,6 +707,33 @@ ORACLES["doc_labels_mann_whitney"] = with_fixtures(f"""
         FROM ({RANKS_SQL.format(src=unpivot_num_sql("doc_labels", ["n_chars"], "toxic"))}) r GROUP BY feature) g""",
                                                    "doc_labels")
 
+# ways(m, n, u): orders of m and n rows with u pairs out of order, one more row a round
+ORACLES["customer_rank_tests"] = f"""
+  WITH RECURSIVE long AS (
+    SELECT o_custkey, o_totalprice AS v, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y
+    FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL),
+  ranked AS (SELECT *, count(*) OVER (PARTITION BY o_custkey, v) AS t,
+               rank() OVER (PARTITION BY o_custkey ORDER BY v) + (count(*) OVER (PARTITION BY o_custkey, v) - 1) / 2.0::DOUBLE AS r
+             FROM long),
+  g AS (SELECT o_custkey, count(*) FILTER (WHERE y = 0) AS n0, count(*) FILTER (WHERE y = 1) AS n1,
+               coalesce(sum(r) FILTER (WHERE y = 0), 0)::DOUBLE - count(*) FILTER (WHERE y = 0) * (count(*) FILTER (WHERE y = 0) + 1) / 2 AS u0,
+               sum(t * t - 1)::DOUBLE AS ties FROM ranked GROUP BY o_custkey),
+  ways(m, n, u, c) AS (
+    SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 1::BIGINT
+    UNION ALL
+    SELECT m + dm, n + 1 - dm, u + dm * n, sum(c)::BIGINT FROM ways, (VALUES (0::BIGINT), (1::BIGINT)) d(dm)
+    WHERE m + dm <= 8 AND m + n < (SELECT max(n0 + n1) FROM g) GROUP BY 1, 2, 3),
+  tails AS (SELECT m, n, u, sum(c) OVER (PARTITION BY m, n ORDER BY u)::DOUBLE / sum(c) OVER (PARTITION BY m, n) AS tail FROM ways),
+  z AS (SELECT *, greatest((greatest(u0, n0 * n1 - u0) - n0 * n1 / 2.0::DOUBLE - 0.5)
+          / sqrt(n0 * n1 / 12.0::DOUBLE * ((n0 + n1 + 1) - ties / ((n0 + n1) * (n0 + n1 - 1.0::DOUBLE)))), 0) / sqrt(2.0::DOUBLE) AS x
+        FROM g WHERE n0 > 0 AND n1 > 0)
+  SELECT g.o_custkey, g.n0, g.n1, g.u0 AS u_stat, g.ties > 0 AS tied,
+         round(CASE WHEN g.n0 = 0 OR g.n1 = 0 THEN NULL
+                    WHEN g.ties = 0 AND least(g.n0, g.n1) <= 8 THEN least(1.0::DOUBLE, 2 * tail)
+                    ELSE least(1.0::DOUBLE, {erfc_sql("x")}) END, 10) AS p_value
+  FROM g LEFT JOIN z USING (o_custkey) LEFT JOIN tails
+    ON m = least(g.n0, g.n1) AND n = greatest(g.n0, g.n1) AND u = least(g.u0, g.n0 * g.n1 - g.u0)"""
+
 _LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _li_pairs = [(a, b) for i, a in enumerate(_LI) for b in _LI[i + 1:]]
 ORACLES["lineitem_correlation"] = " UNION ALL ".join(

@@ -1,5 +1,7 @@
 """Inline edge tables: bins, nulls, ties, zero division, allocation."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from raretab.operators.impute import fit_median_imputer
 from raretab.operators.oversample import knn_within, oversample, plan_oversampling
 from raretab.operators.quantiles import grouped_median, grouped_quantiles
 from raretab.operators.splits import holdout_flag, stratified_folds, three_way_split
-from raretab.operators.stats import chi_square, mann_whitney
+from raretab.operators.stats import chi_square, mann_whitney, rank_tests, with_rank_p
 
 
 def test_right_closed_bins(spark):
@@ -216,3 +218,16 @@ def test_split_multi_bucket_matches_single_bucket(spark, monkeypatch):
     assert one == many
     f1 = stratified_folds(df, "y", "id", k=5).collect()
     assert len(f1) == 5110
+
+
+def test_rank_tests_of_many_parts(spark):
+    """Exact p for a tiny part without ties, the normal one with ties, none for
+    a part with one class."""
+    rows = ([("clear", float(i), int(i < 4)) for i in range(9)] + [("tied", float(i // 2), i % 2) for i in range(8)]
+            + [("one class", 1.0, 0), ("one class", 2.0, 0), (None, 1.0, 0), (None, 2.0, 1)])
+    df = spark.createDataFrame(rows, "k string, value double, y int")
+    got = {r["k"]: r for r in with_rank_p(rank_tests(df, ["k"])).collect()}
+    assert got["clear"]["p_value"] == pytest.approx(2 / 126) and not got["clear"]["tied"]
+    assert got["tied"]["tied"] and got["tied"]["p_value"] == 1.0
+    assert math.isnan(got["one class"]["p_value"]) and got["one class"]["z"] is None
+    assert got[None]["p_value"] == 1.0 and (got[None]["n0"], got[None]["n1"]) == (1, 1)
