@@ -68,7 +68,7 @@ def rank_tests(long: DataFrame, parts: Sequence[str], value: str = "value", targ
 
 
 def with_rank_p(tests: DataFrame) -> DataFrame:
-    """Adds ``p_value`` to the rows of ``rank_tests``."""
+    """Adds ``p_value`` to the rows of ``rank_tests`` (null where z is)."""
     return tests.withColumn("p_value", p_from_ranks(*[F.col(c) for c in ("z", "u_stat", "n0", "n1", "tied")]))
 
 
