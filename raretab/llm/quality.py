@@ -38,7 +38,7 @@ LEAST_WORDS = 10
 MOST_REPEATED = 20          # percent of the words
 
 SAMPLE_ROWS = 2_000         # bound of the sample that orders the rules
-REPEATS = 10                # times a timed pass goes over the sample
+REPEATS = 4                 # times a timed pass goes over the sample
 SCRATCH = ("_words", "_hashes", "_grams", "_sorted", "_placed", "_lines", "_n_lines", "_failed")
 
 
