@@ -3,23 +3,38 @@
 Patterns find the protected entities (emails, addresses, cards, phones).  A
 term (a run of letters and digits of any length) anywhere in the documents of an
 entity reveals it when seeing the term tells most of what there is to know about
-the entity: with document counts over
-the whole corpus and whole texts,
+the entity.  With document counts over the whole corpus and whole texts,
 
     PMI(e, t) = log2(N * n(e, t) / (n(e) * n(t)))  >=  alpha * IC(e),
-    IC(e) = log2(N / n(e)),
+    IC(e) = log2(N / n(e)).
 
-and the pair is seen in at least ``min_texts`` different texts.  Every
-occurrence of a revealing term becomes a span of kind ``term`` in the documents
-that hold the entity, and ``sanitise`` generalises every span to its kind's
-name.
+One document proves nothing: every rare word of it has the highest PMI.  So the
+term must also be tied, by a lower confidence bound, to the entity or to a group
+of related entities (domain of an email, network of an address, leading digits
+of a card or phone, the kind):
+
+    log2(N * low(g, t) / n(g))  >=  alpha * IC(g),
+
+where ``low`` is the lower end of the Wilson interval of the share of t's
+documents that hold g.  Its hits are the different texts with both, less the one
+the term would be masked in; its misses are the documents with t and without g.
+A term of one text is thus never masked, a name of two texts is where both hold
+the entity or its rare relatives, and a common word is not.  There is no floor on
+the number of texts of an entity, and the rule is the same at every size.  Near
+copies of a text are different texts.
+
+Every occurrence of a revealing term becomes a span of kind ``term`` in the
+documents that hold the entity, and ``sanitise`` generalises every span to its
+kind's name.
 
 Everything is built-in column functions and joins: one pass finds spans, one
-counts terms (pre-aggregated per task), the distinct terms of documents with an
-entity are counted by (entity, term) and joined with those counts, and one pass
-over the documents that hold a revealing term finds its places.  Patterns are
-written so that matching is linear: possessive where nothing can follow, and
-started only where a run starts.
+counts terms (pre-aggregated per task), the terms of documents with an entity
+that are rare enough to reveal it are counted with it, those left with its
+groups, and one pass over the documents that hold a revealing term finds its
+places.  Entities and groups of equal document sets count as one, so a page with
+thousands of addresses does not pair each of them with each of its words.
+Patterns are written so that matching is linear: possessive where nothing can
+follow, and started only where a run starts.
 
 Edge cases: null text is empty; text without spans has empty results; spans of
 different kinds may overlap, a term never overlaps a pattern span; repeated
@@ -52,7 +67,7 @@ TERM = rf"{LETTER}++"
 @dataclass(frozen=True)
 class Disclosure:
     alpha: float = 0.85         # share of an entity's information that a term may not give
-    min_texts: int = 3          # different texts a pair must be seen in
+    z: float = 1.28             # one-sided normal quantile of the lower bound (0.90)
 
 
 def _valid(kind: str, m: Column) -> Column:
@@ -111,8 +126,13 @@ def base_spans(texts: DataFrame) -> DataFrame:
 
 
 def _entity(k: Column, value: Column) -> Column:
+    """(entity, related, kind): an entity and the groups it belongs to."""
     plain = F.when(k <= 1, F.lower(value)).otherwise(F.regexp_replace(value, "[^0-9]+", ""))
-    return F.concat_ws(":", k.cast("string"), plain)
+    related = (F.when(k == 0, F.substring_index(plain, "@", -1)).when(k == 1, F.substring_index(plain, ".", 3))
+               .otherwise(F.substring(plain, 1, 6)))
+    kind = k.cast("string")
+    return F.struct(F.concat_ws(":", kind, plain).alias("entity"), F.concat_ws("@", kind, related).alias("related"),
+                    kind.alias("kind"))
 
 
 def _words(text: Column) -> Column:
@@ -121,8 +141,77 @@ def _words(text: Column) -> Column:
 
 
 def term_counts(texts: DataFrame) -> DataFrame:
-    """(term, n): documents that hold each term, over all documents."""
-    return texts.select(F.explode(_words(F.col("_t"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    """(term, n_term, repeated): documents that hold each term, over all
+    documents, and whether these have more than one text."""
+    return (texts.select("text_key", F.explode(_words(F.col("_t"))).alias("term")).groupBy("term")
+            .agg(F.count("*").alias("n_term"), (F.min("text_key") < F.max("text_key")).alias("repeated")))
+
+
+def _classes(held: DataFrame) -> DataFrame:
+    """(group, class, n_class): entities, related groups and kinds; groups held
+    by the same rows share a class.  n_class counts their documents."""
+    rows = held.select("row_key", "copies", F.explode(F.array("entity", "related", "kind")).alias("group")).distinct()
+    marks = [F.bit_xor(F.xxhash64("row_key", F.lit(i))).cast("string") for i in range(2)]
+    return rows.groupBy("group").agg(
+        F.concat_ws(":", F.count("*").cast("string"), *marks).alias("class"), F.sum("copies").alias("n_class"))
+
+
+def _seen(pairs: DataFrame) -> DataFrame:
+    """(class, n_class, term, n_term, n_pair, texts): documents and different
+    texts that hold both."""
+    keys = ["class", "n_class", "term", "n_term"]
+    return (pairs.groupBy(*keys, "text_key").agg(F.sum("copies").alias("copies"))
+            .groupBy(*keys).agg(F.sum("copies").alias("n_pair"), F.count("*").alias("texts")))
+
+
+def _lower_bound(hits: Column, misses: Column, z: float) -> Column:
+    """Lower end of the Wilson interval of hits / (hits + misses)."""
+    n = (hits + misses).cast("double")
+    share = hits / n
+    spread = z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))
+    return F.when(hits > 0, (share + z * z / (2 * n) - spread) / (1 + z * z / n)).otherwise(0.0)
+
+
+def revealing_terms(texts: DataFrame, holders: DataFrame, rows: float, rule: Disclosure) -> DataFrame:
+    """(row_key, revealing): terms to mask in each row.  ``holders`` has a row
+    per different row with a span (row_key, text_key, _t, spans, copies),
+    ``texts`` all documents, ``rows`` of them."""
+    held = stage(holders.select("row_key", "copies", F.explode(F.array_distinct(F.transform(
+        "spans", lambda s: _entity(s["k"], s["value"])))).alias("e")).select("row_key", "copies", "e.*"), "pii-entities")
+    classes = stage(_classes(held), "pii-classes")
+
+    def placed(level: str) -> DataFrame:
+        return held.select("row_key", F.col(level).alias("group")).join(classes, "group").select("row_key", "class", "n_class")
+
+    own = placed("entity").distinct()
+    levels = held.select("entity", "related", "kind").distinct()
+    for level in ("entity", "related", "kind"):
+        levels = levels.join(classes.select(F.col("group").alias(level), F.col("class").alias(f"{level}_class")), level)
+
+    def share(n_class: Column) -> Column:       # the least share of t's documents: PMI >= alpha * IC
+        return F.pow(n_class / rows, F.lit(1 - rule.alpha))
+
+    # terms of one text cannot pass
+    words = (holders.select("row_key", "text_key", "copies", F.explode(_words(F.col("_t"))).alias("term"))
+             .join(term_counts(texts).where("repeated").drop("repeated"), "term"))
+    words = stage(words, "pii-words")
+    # nor can those too common for every entity of their row
+    most = own.groupBy("row_key").agg(F.max("n_class").alias("most"))
+    rare = words.join(most, "row_key").where(F.col("most") >= share(F.col("most")) * F.col("n_term"))
+    near = _seen(rare.join(own, "row_key")).where(F.col("n_pair") >= share(F.col("n_class")) * F.col("n_term"))
+    near = stage(near.select(F.col("class").alias("entity_class"), "term"), "pii-near")
+
+    # the groups count the terms left in all rows, also where no entity is near
+    asked = words.join(near.select("term").distinct(), "term", "left_semi")
+    every = placed("entity").unionByName(placed("related")).unionByName(placed("kind")).distinct()
+    low = _lower_bound(F.col("texts") - 1, F.col("n_term") - F.col("n_pair"), rule.z)
+    tied = _seen(asked.join(every, "row_key")).where(low >= share(F.col("n_class"))).select("class", "term")
+    groups = levels.select("entity_class", F.explode(F.array_distinct(F.array(
+        "entity_class", "related_class", "kind_class"))).alias("class")).distinct()
+    told = near.join(groups, "entity_class").join(tied, ["class", "term"], "left_semi")
+    return (own.select("row_key", F.col("class").alias("entity_class"))
+            .join(told.select("entity_class", "term").distinct(), "entity_class")
+            .groupBy("row_key").agg(F.collect_set("term").alias("revealing")))
 
 
 def _mentions(texts: DataFrame) -> DataFrame:
@@ -140,11 +229,17 @@ def _mentions(texts: DataFrame) -> DataFrame:
         F.lower(x["value"]).alias("value"))))
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """128 bits of a row's id and text (null text as empty)."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(F.col(doc_id), t).alias("a"), F.xxhash64(t, F.col(doc_id), F.lit(1)).alias("b"))
+
+
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Disclosure = Disclosure()) -> DataFrame:
     """One row per document: doc_id, row_key, base (pattern spans) and spans
     (with revealing terms): arrays of (start, k, end, value), sorted."""
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    texts = texts.withColumn("row_key", F.xxhash64("doc_id", "_t")).withColumn("text_key", F.xxhash64("_t"))
+    texts = texts.withColumn("row_key", row_key("doc_id", "_t")).withColumn("text_key", F.xxhash64("_t"))
     found = base_spans(texts)
     # text of documents without a span is not needed any more
     found = stage(found.withColumn("_t", F.when(F.size("spans") > 0, F.col("_t"))), "pii-spans")
@@ -152,23 +247,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule: Disc
     # one row for repeated rows, with their number
     holders = found.where(F.size("spans") > 0).groupBy("row_key").agg(
         *[F.first(c).alias(c) for c in ("text_key", "_t", "spans")], F.count("*").alias("copies"))
-    rows = float(max(docs.count(), 1))
-    held = stage(holders.select("row_key", "text_key", "copies", F.explode(F.array_distinct(F.transform(
-        "spans", lambda s: _entity(s["k"], s["value"])))).alias("entity")), "pii-entities")
-    # an entity in fewer texts has no pair in min_texts of them
-    entities = (held.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.countDistinct("text_key").alias("texts"))
-                .where(F.col("texts") >= rule.min_texts).select("entity", "n_entity"))
-    asked = held.join(entities, "entity").groupBy("row_key").agg(F.collect_set("entity").alias("entities"))
-    pairs = (holders.join(asked, "row_key")
-             .select("text_key", "copies", "entities", F.explode(_words(F.col("_t"))).alias("term"))
-             .select("text_key", "copies", "term", F.explode("entities").alias("entity"))
-             .groupBy("entity", "term", "text_key").agg(F.sum("copies").alias("copies"))
-             .groupBy("entity", "term").agg(F.sum("copies").alias("n_pair"), F.count("*").alias("texts"))
-             .where(F.col("texts") >= rule.min_texts))
-    pmi = F.log2(F.lit(rows) * F.col("n_pair") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    revealing = (pairs.join(entities, "entity").join(term_counts(texts), "term")
-                 .where(pmi >= rule.alpha * F.log2(F.lit(rows) / F.col("n_entity"))).select("entity", "term"))
-    told = held.join(revealing, "entity").groupBy("row_key").agg(F.collect_set("term").alias("revealing"))
+    told = revealing_terms(texts, holders, float(max(docs.count(), 1)), rule)
     terms = _mentions(holders.join(told, "row_key")).select("row_key", "terms")
     return (found.join(terms, "row_key", "left")
             .select("doc_id", "row_key", F.col("spans").alias("base"), F.when(
@@ -192,7 +271,7 @@ def sanitise(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rule:
     key, marked = free_name("_row_key", docs.columns), free_name("_spans", docs.columns)
     spans = find(docs, text, doc_id, rule).where(F.size("spans") > 0).select(
         F.col("row_key").alias(key), F.col("spans").alias(marked)).dropDuplicates([key])
-    keyed = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))))
+    keyed = docs.withColumn(key, row_key(doc_id, text))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     t = F.col(text)
 

@@ -364,6 +364,90 @@ def test_short_names_and_numbers_reveal(spark, name):
     assert all(got[i] == [""] and clean[i] == text for i, text in rows[6:])
 
 
+def plain_disclosure(rows, alpha=0.85, z=1.28):
+    """doc_id -> revealing terms, by the rule in plain Python."""
+    import math
+    import re
+    words = {d: {w.lower() for w in re.findall(r"[^\W_]+", t)} for d, t in rows}
+    groups = {}
+    for d, t in rows:
+        for m in re.findall(r"[a-z.]+@[a-z.]+", t):
+            for g in (m, "@" + m.split("@")[1], "email"):
+                groups.setdefault(g, set()).add(d)
+    text, n = dict(rows), len(rows)
+    holding = {w: {d for d in words if w in words[d]} for w in set().union(*words.values())}
+
+    def low(both, of):
+        hits, misses = len({text[d] for d in both}) - 1, len(of - both)
+        if hits <= 0:
+            return 0.0
+        k = hits + misses
+        p = hits / k
+        return (p + z * z / 2 / k - z * math.sqrt(p * (1 - p) / k + z * z / 4 / k / k)) / (1 + z * z / k)
+
+    out = {d: set() for d in words}
+    for e, docs in groups.items():
+        if "@" not in e[1:]:
+            continue
+        for w, of in holding.items():
+            if len(docs & of) < len(of) * (len(docs) / n) ** (1 - alpha):
+                continue
+            related = [groups[g] for g in (e, "@" + e.split("@")[1], "email")]
+            if any(low(g & of, of) >= (len(g) / n) ** (1 - alpha) for g in related):
+                for d in docs & of:
+                    out[d].add(w)
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    """Names beside one or several addresses, of one domain or of several, words
+    of one text, common words, copies."""
+    import random
+    random.seed(4)
+    common = [f"w{i}" for i in range(40)]
+    rows, n = [], 0
+    for _ in range(700):
+        body = [random.choice(common) for _ in range(12)]
+        if random.random() < 0.2:
+            person = random.randrange(25)
+            body += [f"{random.choice('abc')}.p{'abcdefghijklmnopqrstuvwxyz'[person]}@dom{'xyz'[person % 3]}.example.org"]
+            body += [f"Name{person}"] if random.random() < 0.8 else []
+        if random.random() < 0.05:
+            body += [f"Name{random.randrange(25)}"]
+        if random.random() < 0.2:
+            body += [f"once{n}"]
+        random.shuffle(body)
+        rows.append((n, " ".join(body)))
+        n += 1
+    rows += [(n + i, rows[i][1]) for i in range(60)]
+    want = plain_disclosure(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = dict(rows)
+    got = {r["doc_id"]: {text[r["doc_id"]][s["start"]:s["end"]].lower() for s in r["spans"] if s["k"] == 4}
+           for r in pii.find(docs).select("doc_id", "spans").collect()}
+    apart = {d: {w for w in ws if f" {w} " in f" {text[d].lower()} "} for d, ws in want.items()}
+    assert got == apart
+    assert any(w.startswith("name") for ws in got.values() for w in ws)
+    assert not any(w.startswith(("once", "w")) for ws in got.values() for w in ws)
+
+
+def test_terms_of_a_single_text_stay(spark):
+    """Nothing is known of a word seen in one text, however often it is copied."""
+    rows = [(i, "so Solo wrote to only.one@mail.example.org about it") for i in range(5)]
+    rows += [(50 + i, f"so about it to nothing {i % 7} wrote") for i in range(300)]
+    got, _ = spans_and_clean(spark, rows)
+    assert all(len(got[i]) == 1 and got[i][0].startswith("email:") for i in range(5))
+
+
+def test_page_of_many_entities(spark):
+    """A directory page: entities of equal document sets are counted as one."""
+    page = " ".join(f"person{i} p{i}@mail.example.org" for i in range(1500))
+    rows = [(0, page), (1, page + " again")] + [(10 + i, f"nothing here {i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: len(r["base"]) for r in pii.find(docs).collect()}
+    assert got[0] == got[1] == 1500 and got[10] == 0
+
+
 def test_sanitise_keeps_columns(edge):
     got = pii.sanitise(edge)
     assert got.columns == edge.columns
