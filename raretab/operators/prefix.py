@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 BUCKET = "_bkt"
 
 
@@ -137,6 +139,21 @@ def prefix_before(df: DataFrame, parts: Sequence[str], order_cols: Sequence[str]
         *[F.col(f"{w}_total") for w in weights if with_totals])
 
 
+def range_positions(df: DataFrame, parts: Sequence[str], order_cols: Sequence[str], out: str) -> DataFrame:
+    """Adds ``out``: the 0-based position of each row in its part, rows being
+    distinct on ``parts + order_cols`` (any sortable types).
+
+    The rows are range-partitioned in that order and their partition number is
+    the bucket, so a part of any size is spread over as many windows as it has
+    partitions.  The numbers are fixed by a reliable checkpoint before the
+    bucket totals and the windows read them.
+    """
+    ranged = df.repartitionByRange(*parts, *order_cols).select(
+        *df.columns, F.spark_partition_id().alias(BUCKET), F.lit(1).alias("_one"))
+    ranked = prefix_before(cut_lineage(ranged), parts, order_cols, ["_one"], bucket_col=F.col(BUCKET))
+    return ranked.withColumn(out, F.col("_one_before")).drop(BUCKET, "_one", "_one_before")
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "inner") -> DataFrame:
     """Equi-join where NULL keys match NULL keys (grouping semantics); the

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, safe_div
-from .prefix import MAX_BUCKETS
+from .prefix import MAX_BUCKETS, range_positions
 from .quantiles import grouped_quantiles
 
 
@@ -131,11 +131,10 @@ def category_counts(df: DataFrame, features: Sequence[str], target: str) -> Data
     cnt = (unpivot_levels(df, features, target, keep_null=True)
            .groupBy("feature", "level", "y").agg(F.count(F.lit(1)).cast("bigint").alias("count")))
     tot = cnt.groupBy("feature", "level").agg(F.sum("count").alias("_level_total"))
-    ranked = tot.select(
-        F.col("feature").alias("_f"), F.col("level").alias("_l"),
-        F.row_number().over(Window.partitionBy("feature").orderBy(
-            F.col("_level_total").desc(), F.col("level").asc_nulls_last())).alias("freq_rank"))
-    # ranked has one row per (feature, level): small, AQE broadcasts it.
+    order = tot.select(F.col("feature").alias("_f"), (-F.col("_level_total")).alias("_rarity"),
+                       F.col("level").isNull().alias("_last"), F.col("level").alias("_l"))
+    ranked = range_positions(order, ["_f"], ["_rarity", "_last", "_l"], "_at").select(
+        "_f", "_l", (F.col("_at") + 1).cast("int").alias("freq_rank"))
     j = cnt.join(ranked, (F.col("feature") == F.col("_f")) & F.col("level").eqNullSafe(F.col("_l")))
     return j.select("feature", "level", "freq_rank", "y", "count")
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from raretab.operators import dedup as D
+from raretab.operators import density
+from raretab.operators.encode import fit_label_codes
 from raretab.operators import prefix
 from raretab.operators import profile as PR
 
@@ -48,3 +50,50 @@ def test_correlation_of_missing_and_constant_columns(spark):
         spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
     assert got["a", "b"] == got["b", "a"] == pytest.approx(0.5728546, abs=1e-6)
     assert got["a", "c"] is None and got["c", "c"] == 1.0
+
+
+@pytest.fixture
+def many_partitions(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+
+
+def test_label_codes_of_large_vocabularies(spark, many_partitions):
+    """Codes follow the byte order over several range partitions; long shared
+    prefixes, accents, empty and missing values."""
+    rows = [(f"a long shared prefix {i * 7919 % 3000}", None if i % 50 == 0 else chr(0x61 + i % 700) + str(i % 3))
+            for i in range(3000)] + [("", "")]
+    df = spark.createDataFrame(rows, "u string, v string")
+    got = {(r["column"], r["value"]): r["code"] for r in fit_label_codes(df, ["u", "v"]).collect()}
+    for k, c in enumerate("uv"):
+        values = sorted({"nan" if r[k] is None else r[k] for r in rows}, key=str.encode)
+        assert [got.pop((c, value)) for value in values] == list(range(len(values)))
+    assert not got
+
+
+def test_frequency_ranks_over_partitions(spark, many_partitions):
+    rows = [(f"level {i % 401}" if i % 13 else None, i % 2) for i in range(4000)]
+    df = spark.createDataFrame(rows, "c string, y int")
+    got = {r["level"]: r["freq_rank"] for r in PR.category_counts(df, ["c"], "y").collect()}
+    count = {}
+    for level, _ in rows:
+        count[level] = count.get(level, 0) + 1
+    want = sorted(count, key=lambda x: (-count[x], x is None, x or ""))
+    assert got == {level: i + 1 for i, level in enumerate(want)}
+
+
+def test_density_with_values_far_apart(spark):
+    """Grid points out of every kernel's reach have density zero; the others
+    equal the plain sum."""
+    import math
+    values = [i / 1000 for i in range(4000)] * 5 + [4000.0, -2500.0]
+    df = spark.createDataFrame([(v, 1) for v in values], "v double, y int")
+    got = density.kde_grid(df, ["v"], "y").collect()
+    n, mean = len(values), math.fsum(values) / len(values)
+    h = math.sqrt(math.fsum((v - mean) ** 2 for v in values) / (n - 1)) * n ** -0.2
+    assert len(got) == 200 and sum(r["density"] == 0 for r in got) > 100
+    for r in got:
+        plain = math.fsum(math.exp(-((r["x"] - v) / h) ** 2 / 2) for v in values) / (n * h * math.sqrt(2 * math.pi))
+        assert abs(r["density"] - plain) < 1e-12
