@@ -52,14 +52,14 @@ NO_DOC = (1 << 63) - 1
 
 def _pack(seed: np.ndarray, block: np.ndarray, begin: np.ndarray, n: np.ndarray, row: np.ndarray,
           doc: np.ndarray, key: np.ndarray) -> bytes:
-    """Column file of runs: 6 bytes of seed and of block, byte planes of the
-    numbers, and the table of rows."""
+    """Column file of runs: 6 bytes of seed, all 8 of block (its equality decides
+    removals), byte planes of the numbers, and the table of rows."""
     rows, at = np.unique(row, return_inverse=True)
     planes = [x.astype("<u4").view(np.uint8).reshape(-1, 4).T for x in (begin, at)]
     return b"".join([
         np.array([len(seed), len(rows)], "<u4").tobytes(),
         np.ascontiguousarray(seed.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(),
-        np.ascontiguousarray(block.view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes(),
+        block.astype("<u8").tobytes(),
         *[np.ascontiguousarray(p).tobytes() for p in planes], n.astype(np.uint8).tobytes(),
         doc[rows].astype("<i8").tobytes(), key[rows].astype("<i8").tobytes()])
 
@@ -67,11 +67,11 @@ def _pack(seed: np.ndarray, block: np.ndarray, begin: np.ndarray, n: np.ndarray,
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     n, rows = np.frombuffer(blob, "<u4", 2)
     at, out = 8, []
-    for _ in range(2):
-        x = np.zeros((n, 8), np.uint8)
-        x[:, 2:] = np.frombuffer(blob, np.uint8, n * 6, at).reshape(n, 6)
-        out.append(x.view("<u8").ravel())
-        at += int(n) * 6
+    x = np.zeros((n, 8), np.uint8)
+    x[:, 2:] = np.frombuffer(blob, np.uint8, n * 6, at).reshape(n, 6)
+    at += int(n) * 6
+    out += [x.view("<u8").ravel(), np.frombuffer(blob[at:at + int(n) * 8], "<u8")]
+    at += int(n) * 8
     for _ in range(2):
         out.append(np.ascontiguousarray(np.frombuffer(blob, np.uint8, n * 4, at).reshape(4, n).T).view("<u4").ravel())
         at += int(n) * 4

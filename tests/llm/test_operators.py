@@ -474,6 +474,18 @@ def test_suffix_equals_brute_force(edge, length, gram):
          [(e[0], *w) for e, w in zip(EDGE, want, strict=True)])
 
 
+def test_packed_runs_keep_whole_block_hashes():
+    rng = np.random.default_rng(6)
+    seed = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    block = np.arange(50, dtype=np.uint64) + (np.uint64(7) << np.uint64(50))     # differ in their low bytes only
+    begin, n, row = np.arange(50, dtype=np.int32), np.full(50, 9), rng.integers(0, 8, 50)
+    doc, key = np.arange(100, 108), np.arange(-4, 4)
+    got = suffix._unpack(suffix._pack(seed, block, begin, n, row, doc, key))
+    assert (got[0] >> np.uint64(16) == seed >> np.uint64(16)).all() and (got[1] == block).all()
+    for x, want in zip(got[2:], (begin, n, doc[row], key[row])):
+        assert (x == want).all()
+
+
 def test_column_construction_on_random_segments():
     rng = np.random.default_rng(5)
     for _ in range(30):
