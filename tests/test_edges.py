@@ -229,3 +229,46 @@ def test_rank_tests_of_many_parts(spark):
     assert got["tied"]["tied"] and got["tied"]["p_value"] == 1.0
     assert got["one class"]["p_value"] is None and got["one class"]["z"] is None
     assert got[None]["p_value"] == 1.0 and (got[None]["n0"], got[None]["n1"]) == (1, 1)
+
+
+def _brute_neighbours(rows, k):
+    """By id: a missing distance first, NaN last, ties by id; ids may repeat."""
+    import math
+    found = {}
+    for a, x in rows:
+        for b, y in rows:
+            if a is None or b is None or a == b:
+                continue
+            missing = x is None or y is None or len(x) != len(y) or None in x or None in y
+            d = None if missing else sum((u - v) * (u - v) for u, v in zip(x, y))
+            found.setdefault(a, []).append((0 if missing else 2 if math.isnan(d) else 1, d if d == d and not missing else 0, b))
+    return {(a, b, i + 1) for a, t in found.items() for i, (_, _, b) in enumerate(sorted(t)[:k])}
+
+
+def test_knn_odd_vectors_and_repeated_ids(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(i, [rnd.gauss(0, 1) * s for s in (1e5, 100.0, 1.0, 1.0, 0.1)]) for i in range(300)]
+    rows += rows[:7] + [(None, rows[0][1]), (900, None), (901, [1.0] * 3), (902, [1.0, None, 0.0, 0.0, 0.0]),
+                        (903, [float("nan")] * 5)]
+    df = spark.createDataFrame(rows, "id long, features array<double>").repartition(5)
+    expected = _brute_neighbours(rows, 4)
+    for block in (4096, 32):
+        got = knn_within(df, "id", "features", 4, len(rows), block_size=block).collect()
+        assert {(r["id"], r["nbr_id"], r["rank"]) for r in got} == expected
+        assert len(got) == len(expected)
+
+
+def test_knn_of_many_rows(spark):
+    """20,000 rows: as shuffled pairs of vectors, blocks along four directions
+    are some 70 GB; here only rows and their k neighbours leave a task."""
+    import numpy as np
+    n, k = 20_000, 3
+    x = np.random.default_rng(8).normal(size=(n, 6))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, features array<double>")
+    got = {(r["id"], r["rank"]): r["nbr_id"] for r in knn_within(df, "id", "features", k, n).collect()}
+    assert len(got) == n * k
+    for i in range(0, n, 97):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[i, j + 1] for j in range(k)] == np.argsort(d, kind="stable")[:k].tolist()
