@@ -272,3 +272,14 @@ def test_knn_of_many_rows(spark):
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         assert [got[i, j + 1] for j in range(k)] == np.argsort(d, kind="stable")[:k].tolist()
+
+
+def test_oversample_counts_of_many_rows(spark):
+    """A minority of several blocks: every draw finds its base and its neighbour."""
+    df = spark.range(70_000).selectExpr(
+        "id", "cast(id % 7 = 0 as int) as y", "transform(sequence(1, 6), j -> hash(id, j) / 2147483648D) as features")
+    plan = plan_oversampling(df, "y")
+    assert plan.n_min == 10_000 and plan.n_gen == 11_000
+    counts = {(r["origin"], r["y"]): r["count"] for r in
+              oversample(spark, df, "id", "features", "y").groupBy("origin", "y").count().collect()}
+    assert counts == {("majority", 0): 60_000, ("minority", 1): 10_000, ("synthetic", 1): 11_000}
