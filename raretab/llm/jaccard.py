@@ -56,7 +56,8 @@ from raretab.llm._common import Powers, mix64, range_hashes, stage, text_blocks,
 from raretab.llm._components import components
 from raretab.llm.mix import word_count
 
-HUBS, ROUNDS = 8, 3         # hubs of a set in a round, and rounds before the open pairs
+HUBS, ROUNDS = 8, 2         # hubs of a set in a round, and rounds before the open pairs
+EXTRA = 8                   # elements beyond the first that an open pair shares at the head of its lists
 SPARE = 64                  # a level of sets below 2**l shares 1 + 2**l / SPARE equal parts
 LEVEL_BITS = np.uint64(63)
 LARGEST_BOUNDARY = 24       # sizes up to which the subset way is costed
@@ -343,9 +344,11 @@ def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
     of single elements in order of frequency among these sets.
 
     Only the first ``m - overlap + 1`` elements of a set are listed, rarest
-    first, and a pair is taken up where it can still reach its overlap behind
-    that place.  In each list the component with most sets meets the others but
-    not itself."""
+    first.  In each list the component with most sets meets the others but not
+    itself.  With ``need`` the overlap of two sets, ``e`` more elements than
+    ``m - need + 1`` are looked at on both sides: of a linked pair ``e + 1`` of
+    them are shared, as only ``need - 1 - e`` come behind on the side that ends
+    first.  ``e`` is ``EXTRA``, or what the listed elements allow."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,11 +374,15 @@ def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
              .where("c > 1").select("element", "major"))
     y = prefix.join(major, "element")
     x = y.where("root <> major").drop("major")
-    need = f"({t.num} * (x.m + y.m) + {t.num + t.den - 1}) div {t.num + t.den}"
+    need = f"(({t.num} * (x.m + y.m) + {t.num + t.den - 1}) div {t.num + t.den})"
+    listed_to = f"(({t.num} * greatest(x.m, y.m) + {t.den - 1}) div {t.den})"
+    extra = f"least({EXTRA}, {need} - {listed_to})"
     meets = (x.alias("x").join(y.alias("y"), F.expr(
         "x.element = y.element and x.root <> y.root and (y.root = y.major or x.set_id < y.set_id)"
-        f" and x.m - x.at >= {need} and y.m - y.at >= {need}")))
-    return meets.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
+        f" and least(x.m, y.m) >= {need} and x.m - x.at >= {need} - {extra} and y.m - y.at >= {need} - {extra}")))
+    return (meets.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"),
+                         F.expr(extra).alias("e"))
+            .groupBy("a", "b").agg(F.count("*").alias("c"), F.min("e").alias("e")).where("c > e").select("a", "b"))
 
 
 def _key_batch(keys: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:

@@ -166,14 +166,21 @@ def mixed_documents(docs: DataFrame, max_repeat: int = 3, seed: int = 17, **colu
                                 for x in (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name),
                                           F.col(c).isNull().alias(null))], size.alias("_size"))
 
-    def numbered(df: DataFrame, order: Column) -> DataFrame:
-        return df.withColumn("_nth", F.row_number().over(Window.partitionBy(same_row).orderBy(order)))
-
-    streams = numbered(keyed(m.documents.where(F.col("size") > 0), F.col("size"), "doc_id", "source"), F.col("_row"))
-    streams = streams.join(places, "_row").select(*same_row, "_nth", "_places")
+    # texts are exchanged once to meet their places, and once for the order of the mix: rows and
+    # streams go by the same keys, are numbered there and paired by number
+    streams = keyed(m.documents.where(F.col("size") > 0), F.col("size"), "doc_id", "source").join(places, "_row", "left")
     blank = F.btrim(F.coalesce(F.col(text), F.lit("")), F.lit(SPACE_CHARS)) == ""
-    rows = numbered(keyed(docs.where(~blank), word_count(F.col(text)), key, source), F.xxhash64(text))
+    rows = keyed(docs.where(~blank), word_count(F.col(text)), key, source)
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    both = rows.select(*same_row, F.xxhash64(text).alias("_order"), whole.alias("_whole"), F.lit(None).cast(
+        places.schema["_places"].dataType).alias("_places")).unionByName(
+        streams.select(*same_row, F.col("_row").alias("_order"), F.lit(None).cast(
+            rows.select(whole.alias("_whole")).schema["_whole"].dataType).alias("_whole"), "_places"))
+    both = both.withColumn("_text", F.col("_whole").isNotNull()).repartition(*same_row)
+    nth = F.row_number().over(Window.partitionBy(*same_row, "_text").orderBy("_order"))
+    pair = Window.partitionBy(*same_row, "_nth").orderBy("_text")
+    dealt = (both.withColumn("_nth", nth).withColumn("_dealt", F.lag("_places").over(pair))
+             .where("_text").withColumn("_place", F.explode("_dealt"))
+             .orderBy("_place.position", "_place._k", "_place.at").select("_whole.*"))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    dealt = (rows.join(streams, [*same_row, "_nth"]).withColumn("_place", F.explode("_places"))
-             .orderBy("_place.position", "_place._k", "_place.at").select(*names))
     return dealt.union(docs.where(blank).select(*names))

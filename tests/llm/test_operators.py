@@ -636,3 +636,24 @@ def test_queries_equal_their_sql(spark, name):
     from tests.oracle_check import compare, duck
     ok, message = compare(spark, duck(SF_SMALL), name, REGISTRY[name], ORACLES[name], SF_SMALL)
     assert ok, message
+
+
+def test_mix_exchanges_texts_twice(spark):
+    """Texts meet their places in one exchange and are put in order by another
+    (before, numbering and joining took one each)."""
+    docs = spark.createDataFrame([(i, f"w{i} v{i} u{i}", f"s{i % 3}") for i in range(40)] * 2, "doc_id long, text string, source string")
+    plan = mix.mixed_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("_nth" in line for line in joins)
+
+
+def test_open_pairs_share_several_elements(spark):
+    """A pair that shares one rare element only is no candidate; linked pairs stay."""
+    base = [f"a{i}" for i in range(60)]
+    other = [f"b{i}" for i in range(59)] + ["a0"]
+    near = base[:57] + ["x", "y", "z"]
+    rows = [(1, 1, " ".join(base)), (2, 2, " ".join(near)), (3, 3, " ".join(other)), (4, 4, " ".join(other[:57] + ["p", "q", "a0"]))]
+    texts = spark.createDataFrame(rows, "set_id long, root long, text string")
+    got = {tuple(r) for r in jaccard._open_pairs(texts, 1, jaccard.Threshold(80, 100)).collect()}
+    assert got == {(1, 2), (3, 4)}
