@@ -40,6 +40,18 @@ def components(links: DataFrame, tag: str = "cc") -> DataFrame:
         mark = after
 
 
+def merged(root: DataFrame, links: DataFrame, tag: str = "cc") -> DataFrame:
+    """(node, root) of ``components`` after more links (a, b): only components
+    are linked, so links within one are not followed again."""
+    for c in ("a", "b"):
+        to = root.select(F.col("node").alias(c), F.col("root").alias("_root"))
+        links = links.join(to, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    step = components(links, tag)
+    moved = step.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    kept = root.join(moved, "root", "left").select("node", F.coalesce("_root", "root").alias("root"))
+    return stage(kept.union(step.join(root, "node", "left_anti").select("node", "root")), tag)
+
+
 def _mark(links: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
     return tuple(links.agg(F.count("*"), F.coalesce(F.bit_xor(h), F.lit(0)),

@@ -43,7 +43,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -53,7 +52,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from raretab.llm._common import Powers, mix64, range_hashes, stage, text_blocks, word_hashes
-from raretab.llm._components import components
+from raretab.llm._components import components, merged
 from raretab.llm.mix import word_count
 
 HUBS, ROUNDS = 8, 2         # hubs of a set in a round, and rounds before the open pairs
@@ -227,9 +226,10 @@ def boundary(docs: DataFrame, text: str, n: int, t: Threshold) -> int:
     return min(range(LARGEST_BOUNDARY + 1), key=lambda x: (cost(x), x))
 
 
-def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
+def grouped_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", n: int = 4,
                    t: Threshold = Threshold(85, 100)) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, text_key, n_shingles, set_id), (links between set_ids)."""
+    """(rows: doc_id, text_key, n_shingles, set_id), (components of the linked
+    set_ids: node, root)."""
     light_to = boundary(docs, text, n, t)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,21 +298,19 @@ def linked_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
              .select("set_id", "n", "text").dropDuplicates(["set_id"]))
     found = stage(found, "jaccard-texts")
 
-    links = [stage(light_links, "jaccard-links")]
-    root, tried, mixed = components(links[0]), None, members
+    root, tried, mixed = components(stage(light_links, "jaccard-links")), None, members
     for turn in range(ROUNDS):
         mixed = stage(_mixed(mixed.select("key", "set_id"), root), "jaccard-mixed")
         pairs = _hub_pairs(mixed, turn)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "jaccard-hubs")
         tried = pairs if tried is None else tried.union(pairs)
-        links.append(stage(_verified(_close(pairs, wanted, t), found, n, t), "jaccard-links"))
-        root = components(reduce(DataFrame.union, links))
+        root = merged(root, stage(_verified(_close(pairs, wanted, t), found, n, t), "jaccard-links"))
 
     # what the hubs left open: sets that share a list with another component
     unsettled = _mixed(mixed.select("key", "set_id"), root).groupBy("set_id").agg(F.min("root").alias("root"))
     rest = _open_pairs(found.join(unsettled, "set_id"), n, t).join(tried, ["a", "b"], "left_anti")
-    links.append(stage(_verified(_close(rest, wanted, t), found, n, t), "jaccard-links"))
-    return rows.select("doc_id", "text_key", "n_shingles", "set_id"), reduce(DataFrame.union, links)
+    root = merged(root, stage(_verified(_close(rest, wanted, t), found, n, t), "jaccard-links"))
+    return rows.select("doc_id", "text_key", "n_shingles", "set_id"), root
 
 
 def _mixed(members: DataFrame, root: DataFrame) -> DataFrame:
@@ -438,8 +436,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                     num: int = 85, den: int = 100) -> DataFrame:
     """One row per document: doc_id, text_key, n_shingles, set_id, group (null
     for an empty set) and component_id."""
-    rows, links = linked_classes(docs, text, doc_id, n, Threshold(num, den))
-    root = components(links)
+    rows, root = grouped_classes(docs, text, doc_id, n, Threshold(num, den))
     placed = rows.join(root, rows["set_id"] == root["node"], "left").withColumn(
         "group", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id")))
     least = placed.where(F.col("group").isNotNull()).groupBy("group").agg(F.min("doc_id").alias("_least"))

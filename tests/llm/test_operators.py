@@ -657,3 +657,15 @@ def test_open_pairs_share_several_elements(spark):
     texts = spark.createDataFrame(rows, "set_id long, root long, text string")
     got = {tuple(r) for r in jaccard._open_pairs(texts, 1, jaccard.Threshold(80, 100)).collect()}
     assert got == {(1, 2), (3, 4)}
+
+
+def test_links_within_a_component_are_not_followed_again(spark, monkeypatch):
+    """Later links join components; those between sets of one component are gone before the steps."""
+    from raretab.llm import _components
+    followed, whole = [], _components.components
+    root = whole(spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 21), (31, 30)], "a long, b long"))
+    monkeypatch.setattr(_components, "components", lambda links, tag="cc": followed.append(links.where("a <> b").distinct().count()) or whole(links, tag))
+    more = [(a, b) for a in range(2, 9) for b in range(2, 9) if a != b] + [(21, 8), (21, 7), (40, 31), (50, 51)]
+    got = {tuple(r) for r in _components.merged(root, spark.createDataFrame(more, "a long, b long")).collect()}
+    assert got == {(i, 1) for i in [*range(1, 9), 20, 21]} | {(30, 30), (31, 30), (40, 30), (50, 50), (51, 50)}
+    assert followed == [3]
