@@ -23,8 +23,10 @@ joined.
   however large a group of near copies is.
   Sets that share a list with another component after that enter
   lists of single elements, rarest first, with prefix and position filters, and
-  are compared across components only.  Candidates are first held against parity sketches of the sets (a lower bound of their
-  difference) and those left are verified on the sets.
+  are compared across components only.  Tasks compare the sets of a list by
+  parity sketches (a lower bound of their difference) and return the pairs that
+  may link, so no pair of a list is a row of a join; a long list is cut into
+  blocks and compared block by block.  Those left are verified on the sets.
 * The boundary minimises the keys and verified elements of both ways, taken
   over a sample of set sizes.  It changes the work, never the links.
 
@@ -56,7 +58,8 @@ from raretab.llm._components import components, merged
 from raretab.llm.mix import word_count
 
 HUBS, ROUNDS = 8, 2         # hubs of a set in a round, and rounds before the open pairs
-EXTRA = 8                   # elements beyond the first that an open pair shares at the head of its lists
+LIST_BLOCK = 1 << 11        # sets of a list that a task compares with as many others
+CELLS = 1 << 18             # pairs of sets compared at once inside a task
 SPARE = 64                  # a level of sets below 2**l shares 1 + 2**l / SPARE equal parts
 LEVEL_BITS = np.uint64(63)
 LARGEST_BOUNDARY = 24       # sizes up to which the subset way is costed
@@ -342,11 +345,9 @@ def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
     of single elements in order of frequency among these sets.
 
     Only the first ``m - overlap + 1`` elements of a set are listed, rarest
-    first.  In each list the component with most sets meets the others but not
-    itself.  With ``need`` the overlap of two sets, ``e`` more elements than
-    ``m - need + 1`` are looked at on both sides: of a linked pair ``e + 1`` of
-    them are shared, as only ``need - 1 - e`` come behind on the side that ends
-    first.  ``e`` is ``EXTRA``, or what the listed elements allow."""
+    first; linked sets share one of them.  Tasks compare the sets of a list (of
+    a pair of blocks, where a list has more than ``LIST_BLOCK``) and return the
+    pairs whose places, sizes and sketches allow a link."""
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,6 +358,11 @@ def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
                     [pa.array(u.view(np.int64)), pa.array(np.full(size, ids[i])), pa.array(np.full(size, roots[i])),
                      pa.array(np.full(size, size, np.int32))], ["element", "set_id", "root", "m"])
 
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = pa.array([sketch(u) for u in sets_of(batch.column("text"), n)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("set_id"), bits], ["set_id", "bits"])
+
     listed = stage(texts.select("set_id", "root", "text")
                    .mapInArrow(elements, "element long, set_id long, root long, m int"), "jaccard-elements")
     common = listed.groupBy("element").agg(F.count("*").alias("f")).where("f > 1")
@@ -367,20 +373,86 @@ def _open_pairs(texts: DataFrame, n: int, t: Threshold) -> DataFrame:
               .where(F.expr(f"at <= m - ({t.num} * m + {t.den - 1}) div {t.den}"))
               .select("element", "set_id", "root", "m", "at"))
     prefix = stage(prefix, "jaccard-prefix")
-    sizes = prefix.groupBy("element", "root").agg(F.count("*").alias("c"))
-    major = (sizes.groupBy("element").agg(F.max_by("root", F.struct("c", "root")).alias("major"), F.count("*").alias("c"))
-             .where("c > 1").select("element", "major"))
-    y = prefix.join(major, "element")
-    x = y.where("root <> major").drop("major")
-    need = f"(({t.num} * (x.m + y.m) + {t.num + t.den - 1}) div {t.num + t.den})"
-    listed_to = f"(({t.num} * greatest(x.m, y.m) + {t.den - 1}) div {t.den})"
-    extra = f"least({EXTRA}, {need} - {listed_to})"
-    meets = (x.alias("x").join(y.alias("y"), F.expr(
-        "x.element = y.element and x.root <> y.root and (y.root = y.major or x.set_id < y.set_id)"
-        f" and least(x.m, y.m) >= {need} and x.m - x.at >= {need} - {extra} and y.m - y.at >= {need} - {extra}")))
-    return (meets.select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b"),
-                         F.expr(extra).alias("e"))
-            .groupBy("a", "b").agg(F.count("*").alias("c"), F.min("e").alias("e")).where("c > e").select("a", "b"))
+    several = (prefix.groupBy("element").agg(F.count("*").alias("c"), F.min("root").alias("_a"), F.max("root").alias("_b"))
+               .where("_a < _b").select("element", F.expr(f"(c + {LIST_BLOCK - 1}) div {LIST_BLOCK}").alias("_blocks")))
+    bits = texts.select("set_id", "text").mapInArrow(describe, "set_id long, bits binary")
+    block = F.pmod(F.xxhash64("set_id"), F.col("_blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    members = (prefix.join(several, "element").withColumn("block", block).withColumn("_other", other)
+               .withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other"))
+               .drop("_blocks", "_other").join(bits, "set_id"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for table in _whole_lists(batches, ["element", "lo", "hi"]):
+            pairs = {(min(p), max(p)) for p in _list_pairs(table, t)} - seen
+            if len(seen) < CELLS:
+                seen |= pairs
+            a, b = zip(*sorted(pairs), strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return (members.repartition("element", "lo", "hi").sortWithinPartitions("element", "lo", "hi")
+            .mapInArrow(compare, "a long, b long").distinct())
+
+
+def _whole_lists(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows again, no list of equal ``names`` being cut between tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            keys = np.stack([batch.column(c).to_numpy() for c in names])
+            cut = int(np.flatnonzero((keys != keys[:, -1:]).any(axis=0)).max(initial=-1)) + 1
+            first = [held[-1].column(c)[-1].as_py() for c in names] if held else None
+            if cut or (first is not None and first != keys[:, 0].tolist()):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _list_pairs(table: pa.Table, t: Threshold) -> Iterator[tuple[int, int]]:
+    """Pairs of each list: different roots, blocks ``lo`` and ``hi``, and a
+    link allowed by sizes, places and sketches."""
+    col = {c: table.column(c).to_numpy() for c in ("element", "lo", "hi", "block", "root", "set_id")}
+    m, at = (table.column(c).to_numpy().astype(np.int64) for c in ("m", "at"))
+    sketches = table.column("bits").to_pylist()
+    rows = len(m)
+    new = np.ones(rows, bool)
+    new[1:] = np.any([col[c][1:] != col[c][:-1] for c in ("element", "lo", "hi")], axis=0)
+    end = np.append(np.flatnonzero(new)[1:], rows)[np.cumsum(new) - 1]
+    partners = end - np.arange(rows) - 1
+    total = np.concatenate([[0], np.cumsum(partners)])
+    lo = 0
+    while lo < rows:
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + CELLS, side="right")) - 1)
+        n = partners[lo:hi]
+        x = np.repeat(np.arange(lo, hi), n)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+        need = -(-t.num * (m[x] + m[y]) // (t.num + t.den))
+        ok = (col["root"][x] != col["root"][y]) & (np.minimum(m[x], m[y]) >= need)
+        ok &= (m[x] - at[x] >= need) & (m[y] - at[y] >= need)
+        ok &= (col["lo"][x] == col["hi"][x]) | (col["block"][x] != col["block"][y])
+        x, y, need = x[ok], y[ok], need[ok]
+        ok = _sketch_distances(sketches, x, y) <= m[x] + m[y] - 2 * need
+        yield from zip(col["set_id"][x[ok]].tolist(), col["set_id"][y[ok]].tolist(), strict=True)
+        lo = hi
+
+
+def _sketch_distances(sketches: list[bytes], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """``sketch_distance`` of many pairs: each at the width of its shorter sketch."""
+    size = np.array([len(s) for s in sketches], np.int64)
+    width, out = np.minimum(size[x], size[y]), np.zeros(len(x), np.int64)
+    for w in np.unique(width):
+        these = np.flatnonzero(width == w)
+        used, code = np.unique(np.concatenate([x[these], y[these]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[i], np.uint64).reshape(-1, w // 8), axis=0) for i in used])
+        half, step = len(these), max(1, CELLS * 8 // int(w))
+        for k in range(0, half, step):
+            part = slice(k, min(k + step, half))
+            differ = folded[code[:half][part]] ^ folded[code[half:][part]]
+            out[these[part]] = np.bitwise_count(differ).sum(axis=1)
+    return out
 
 
 def _key_batch(keys: list[np.ndarray], sid: list[np.ndarray]) -> pa.RecordBatch:

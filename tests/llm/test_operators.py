@@ -669,3 +669,36 @@ def test_links_within_a_component_are_not_followed_again(spark, monkeypatch):
     got = {tuple(r) for r in _components.merged(root, spark.createDataFrame(more, "a long, b long")).collect()}
     assert got == {(i, 1) for i in [*range(1, 9), 20, 21]} | {(30, 30), (31, 30), (40, 30), (50, 50), (51, 50)}
     assert followed == [3]
+
+
+def _open_sets(spark, copies):
+    """Texts of one word list with own words: many share rare words, few are linked."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(copies):
+        words = [f"w{j}" for j in range(80)]
+        for at in rng.integers(0, 80, 12 if i % 10 else 2):
+            words[at] = f"own{rng.integers(0, 400)}"
+        rows.append((i, i // 2 if i % 3 else i, " ".join(words)))
+    rows.append((copies, copies, " ".join(f"w{j}" for j in range(70))))
+    return rows, spark.createDataFrame(rows, "set_id long, root long, text string")
+
+
+@pytest.mark.parametrize("block,cells", [(1 << 11, 1 << 18), (16, 50)])
+def test_open_pairs_hold_all_links(spark, monkeypatch, block, cells):
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", block)
+    monkeypatch.setattr(jaccard, "CELLS", cells)
+    rows, texts = _open_sets(spark, 150)
+    got = [tuple(r) for r in jaccard._open_pairs(texts, 1, jaccard.Threshold(80, 100)).collect()]
+    sets = [(i, r, set(t.split())) for i, r, t in rows]
+    linked = {(a, b) for a, ra, u in sets for b, rb, v in sets if a < b and ra != rb and 100 * len(u & v) >= 80 * len(u | v)}
+    roots = {i: r for i, r, _ in rows}
+    assert len(got) == len(set(got)) and linked and linked <= set(got)
+    assert all(a < b and roots[a] != roots[b] for a, b in got)
+
+
+def test_open_pairs_are_compared_inside_tasks(spark):
+    """No join makes the pairs of a list: each joins rows with one row a key."""
+    plan = jaccard._open_pairs(_open_sets(spark, 20)[1], 1, jaccard.Threshold(80, 100))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line]
+    assert joins and not any("<" in line or "root" in line for line in joins)
