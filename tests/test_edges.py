@@ -283,3 +283,18 @@ def test_oversample_counts_of_many_rows(spark):
     counts = {(r["origin"], r["y"]): r["count"] for r in
               oversample(spark, df, "id", "features", "y").groupBy("origin", "y").count().collect()}
     assert counts == {("majority", 0): 60_000, ("minority", 1): 10_000, ("synthetic", 1): 11_000}
+
+
+def test_neighbour_search_crosses_blocks(spark):
+    """Blocks meet by a cross join: no vector is shuffled once for every block that it asks."""
+    import numpy as np
+    x = np.random.default_rng(9).normal(size=(400, 8))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, features array<double>")
+    found = knn_within(df, "id", "features", 3, 400, block_size=32)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    got = {(r["id"], r["rank"]): r["nbr_id"] for r in found.collect()}
+    for i in range(400):
+        d = ((x - x[i]) ** 2).sum(axis=1)
+        d[i] = np.inf
+        assert [got[i, j + 1] for j in range(3)] == np.argsort(d, kind="stable")[:3].tolist()
