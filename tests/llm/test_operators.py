@@ -86,6 +86,59 @@ def test_block_max_equals_exhaustive():
             assert got == want
 
 
+def test_search_crosses_chunks_and_shards(spark, monkeypatch):
+    """Queries of many chunks against many shards, lists above and below the
+    dense share, one text in many copies: no shuffle carries queries to shards."""
+    monkeypatch.setattr(search, "CHUNK_TERMS", 300)
+    rng = np.random.default_rng(8)
+    skew = rng.dirichlet(np.full(60, 0.4))
+    texts = [" ".join(f"w{i}" for i in rng.choice(60, rng.integers(0, 40), p=skew)) for _ in range(500)]
+    texts += ["w1 w2 w3 w59 copy"] * 30 + [None, " "]
+    ids = rng.permutation(len(texts)).tolist()
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    hits = search.search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"),
+                         shard_bytes=4000)
+    plan = hits._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan
+    got = collections.defaultdict(list)
+    for r in hits.collect():
+        got[r["query_id"]].append((r["rank"], r["score"], r["doc_id"]))
+    split = [(t or "").encode().split() for t in texts]
+    df = collections.Counter(w for s in split for w in set(s))
+    for q, words in zip(ids, split, strict=True):
+        if q % 20 == 0:
+            weight = {w: c * brute.idf(len(texts), df[w]) for w, c in collections.Counter(words).items()}
+            all_scores = {ids[d]: s for s, d in brute.bm25(texts, weight, len(texts))}
+            want = sorted(all_scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:10]
+            assert [r for r, _, _ in sorted(got[q])] == list(range(1, len(want) + 1))
+            assert [round(s, 9) for _, s, _ in sorted(got[q])] == [round(s, 9) for _, s in want]
+            assert all(round(all_scores[d], 9) == round(s, 9) for _, s, d in got[q])
+            copies = [d for _, _, d in sorted(got[q]) if texts[ids.index(d)].endswith("copy")]
+            everywhere = sorted(d for d, t in zip(ids, texts, strict=True) if (t or "").endswith("copy"))
+            assert copies == everywhere[:len(copies)]
+
+
+def test_search_scores_few_documents_exactly(monkeypatch):
+    """Whole documents as queries, with a floor: block bounds and float32 sums
+    leave few documents to be scored."""
+    rng = np.random.default_rng(9)
+    skew = 1 / np.arange(1, 3001)
+    texts = [" ".join(f"w{i}" for i in rng.choice(3000, 80, p=skew / skew.sum())) for _ in range(1500)]
+    index, scored = search.Index(pa.array(texts), 80.0), []
+    whole = search.Index.scores
+    monkeypatch.setattr(search.Index, "scores", lambda self, q, *x: scored.append(len(q)) or whole(self, q, *x))
+    terms = [np.unique(search.shard_terms(pa.array([t]))[0]) for t in texts[:40]]
+    query = np.repeat(np.arange(40), [len(t) for t in terms])
+    code = np.concatenate(terms)
+    q, doc, score = index.answer(query, code, np.ones(len(code)), 5, np.arange(1500), np.zeros(40))
+    assert np.bincount(q).tolist() == [5] * 40 and sum(scored) < 40 * 10
+    first = np.zeros(40)
+    first[q[::5]] = score[::5] * search.ALMOST
+    scored.clear()
+    again = index.answer(query, code, np.ones(len(code)), 5, np.arange(1500), first)
+    assert again[1].tolist() == doc[::5].tolist() and sum(scored) < 50
+
+
 # 2 ------------------------------------------------------------------ packing
 
 def test_packing_is_exact(edge):
