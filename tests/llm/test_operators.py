@@ -2,6 +2,7 @@
 an empty table."""
 
 import collections
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -118,6 +119,29 @@ def test_search_crosses_chunks_and_shards(spark, monkeypatch):
             assert copies == everywhere[:len(copies)]
 
 
+def test_search_tasks_do_not_grow_with_the_square(spark, monkeypatch):
+    """Shards and chunks share tasks: 6 GB has 1,230 shards and 92 chunks, a
+    task for each pair of them would be 113,160."""
+    for shards, chunks in ((1, 1), (21, 2), (103, 8), (1230, 92), (6150, 460), (400_000, 30_000)):
+        left, right = search.cross_tasks(shards, chunks)
+        assert 1 <= left <= shards and 1 <= right <= chunks and left * right <= search.TASKS
+    assert search.cross_tasks(103, 8) == (103, 4)
+    monkeypatch.setattr(search, "CHUNK_TERMS", 100)
+    monkeypatch.setattr(search, "TASKS", 6)
+    texts = [" ".join(f"w{(i * k) % 23}" for k in range(1, 12)) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    queries = docs.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    before = spark.conf.getAll
+    hits = search.search(docs, queries, shard_bytes=1500)
+    left, right = (int(n) for n in re.findall(r"Coalesce (\d+)", hits._jdf.queryExecution().executedPlan().toString())[-2:])
+    assert left * right <= 6
+    assert spark.conf.getAll == before and hits.sparkSession.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+    got = list(map(tuple, hits.collect()))
+    monkeypatch.undo()
+    assert len(got) == 300
+    same(got, search.search(docs, queries).collect())
+
+
 def test_search_scores_few_documents_exactly(monkeypatch):
     """Whole documents as queries, with a floor: block bounds and float32 sums
     leave few documents to be scored."""
